@@ -42,10 +42,12 @@ def compare_offsets(
     lead over the best neighbour in percent of the host count,
     ``change_over_best_pct`` the same lead in percent of the best neighbour.
 
-    However many pairs are marked, ``counts`` is read once: the wanted cells are
-    joined to it and summed into columns.
+    However many pairs are marked, the data is read once: the wanted cells are
+    joined to ``counts`` and summed into columns. Counts without a period or
+    group belong to no pair and are left out.
     """
     pairs = _frame(counts, marked, period, group)
+    counts = counts.filter(F.col(period).isNotNull() & F.col(group).isNotNull())
     steps = [0, *offsets]
     names = [f"{count}_host", *[f"{count}_other{i}" for i in range(1, len(steps))]]
 
@@ -72,19 +74,22 @@ def compare_offsets(
         {n: F.coalesce(n, F.lit(0).cast("bigint")) for n in names}
     )
 
-    ends = counts.agg(F.min(period).alias("first"), F.max(period).alias("last"))
-    first, last = ends.select("first").scalar(), ends.select("last").scalar()
-    in_range = [
-        (F.col(period) + F.lit(step)).between(first, last).alias(f"other{i}_in_range")
-        for i, step in enumerate(steps)
-        if i > 0
-    ]
+    # The test is always true. It makes both aggregations need the same columns
+    # of ``counts``, so that they share one scan and one shuffle.
+    counted = F.when(F.col(count) >= 0, F.col(period))
+    ends = counts.agg(F.struct(F.min(counted).alias("first"), F.max(counted).alias("last")))
     host, best = F.col(names[0]), _best(names[1:])
-    return compared.select(
+    return compared.withColumn("_ends", ends.scalar()).select(
         period,
         group,
         *names,
-        *in_range,
+        *[
+            (F.col(period) + F.lit(step))
+            .between(F.col("_ends.first"), F.col("_ends.last"))
+            .alias(f"other{i}_in_range")
+            for i, step in enumerate(steps)
+            if i > 0
+        ],
         ratio_pct(host - best, host).alias("margin_over_host_pct"),
         ratio_pct(host - best, best).alias("change_over_best_pct"),
     )

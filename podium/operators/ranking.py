@@ -73,27 +73,30 @@ def modal_bands(
     has no known band at all; with ``null_competes`` it wins when it is the most
     frequent. Equal counts go to the lowest band, and to a known one first.
 
-    One pass: each value is one grouping set over band numbers, combined before
-    the shuffle, and the winners come from one more aggregation of those counts.
+    One pass: a row becomes one short row per value, holding only the number of
+    its band. These are counted before the shuffle, and the winners come from one
+    more aggregation of the counts.
     """
     names = list(bands)
     numbered = df.select(
-        F.col(group), *[scale.index(value).alias(f"_{name}") for name, (value, scale) in bands.items()]
-    )
-    keys = [f"_{name}" for name in names]
-    counts = numbered.groupingSets([[group, key] for key in keys], group, *keys).agg(
-        *[F.grouping(key).alias(f"{key}_off") for key in keys],
-        F.count(F.lit(1)).alias("_n"),
+        F.col(group),
+        F.inline(
+            F.array(*[
+                F.struct(F.lit(i).alias("_value"), scale.index(value).alias("_band"))
+                for i, (value, scale) in enumerate(bands.values())
+            ])
+        ),
     )
+    counts = numbered.groupBy(group, "_value", "_band").agg(F.count(F.lit(1)).alias("_n"))
 
-    def winner(key: str) -> Column:
-        unknown = F.col(key).isNull().alias("unknown")
+    def winner(i: int) -> Column:
+        unknown = F.col("_band").isNull().alias("unknown")
         fewest_last = (-F.col("_n")).alias("neg_n")
         order = [fewest_last, unknown] if null_competes else [unknown, fewest_last]
-        candidate = F.struct(*order, F.col(key).alias("band"))
-        return F.min(F.when(F.col(f"{key}_off") == 0, candidate))["band"]
+        candidate = F.struct(*order, F.col("_band").alias("band"))
+        return F.min(F.when(F.col("_value") == i, candidate))["band"]
 
-    best = counts.groupBy(group).agg(*[winner(key).alias(key) for key in keys])
+    best = counts.groupBy(group).agg(*[winner(i).alias(f"_{name}") for i, name in enumerate(names)])
     return best.select(
         group, *[scale.label_of(F.col(f"_{name}")).alias(name) for name, (_, scale) in bands.items()]
     )

@@ -32,6 +32,8 @@ def growth_and_share(
 ) -> DataFrame:
     """:func:`growth` plus ``total_<count>`` per period, ``share_pct`` and both rates as text.
 
+    Counts without a period are left out: they belong to no point in time.
+
     ``totals`` decides where the period total comes from:
 
     * ``"join"``: a second, partially combined sum over ``counts``, joined back.
@@ -41,6 +43,7 @@ def growth_and_share(
       period meets in one task: only for a handful of categories.
     """
     total = f"total_{count}"
+    counts = counts.filter(F.col(period).isNotNull())
     grown = growth(counts, category, period, count)
     if totals == "window":
         with_total = grown.withColumn(total, F.sum(count).over(Window.partitionBy(period)))
