@@ -15,9 +15,9 @@ def enrich(df: DataFrame, lookup: Mapping | DataFrame, on: str, name: str) -> Da
     """Add ``name`` by looking ``on`` up; rows without an entry keep NULL.
 
     ``lookup`` is a mapping, or a DataFrame with the columns ``on`` and ``name``
-    and one row per key.
+    and one row per key. The new column comes last.
     """
-    return df.join(_frame(df, lookup, on, name), on, "left")
+    return df.join(_frame(df, lookup, on, name), on, "left").select(*df.columns, name)
 
 
 def compare_offsets(
@@ -153,6 +153,5 @@ def _best(names: list[str]):
 def _frame(df: DataFrame, lookup: Mapping | DataFrame, key: str, value: str) -> DataFrame:
     if isinstance(lookup, DataFrame):
         return lookup.select(key, value)
-    return dimension(
-        df.sparkSession, lookup, key, value, key_type=df.schema[key].dataType.simpleString()
-    )
+    types = dict(df.dtypes)
+    return dimension(df.sparkSession, lookup, key, value, types[key], types.get(value))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from podium.operators.quality import impute_means, missing_by_group, null_fractions, table_profile
 from podium.plans import games
 from podium.session import build_session
+from podium.sources.readers import read_csv_text
 from podium.sources.scratch import scratch_path
 from podium.sources.sinks import write_csv, write_parquet
 
@@ -93,7 +94,8 @@ def run(
         else:
             write_csv(result, target, mode=mode)
         if preview:
-            spark.read.format(fmt).option("header", True).load(target).show(preview, truncate=False)
+            written_rows = spark.read.parquet(target) if fmt == "parquet" else read_csv_text(spark, target)
+            written_rows.show(preview, truncate=False)
         written[name] = target
     return written
 

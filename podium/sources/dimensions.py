@@ -18,21 +18,22 @@ def dimension(
     entries: Mapping,
     key: str,
     value: str,
-    *,
-    key_type: str = "int",
-    value_type: str = "string",
+    key_type: str | None = None,
+    value_type: str | None = None,
 ) -> DataFrame:
     """A two-column table from a mapping written in the program.
 
+    Types are those of the Python values unless given.
+
     It becomes a local relation, whose exact size Spark knows while planning. A
     join with it is broadcast when that size is within
     ``spark.sql.autoBroadcastJoinThreshold`` and shuffled when it is not, so no
     hint is given.
     """
     table = pa.table({key: list(entries.keys()), value: list(entries.values())})
-    return spark.createDataFrame(table).select(
-        F.col(key).cast(key_type), F.col(value).cast(value_type)
-    )
+    frame = spark.createDataFrame(table)
+    casts = {c: F.col(c).cast(t) for c, t in ((key, key_type), (value, value_type)) if t}
+    return frame.withColumns(casts) if casts else frame
 
 
 def codes(spark: SparkSession, values: Iterable[str]) -> DataFrame:

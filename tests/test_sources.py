@@ -1,0 +1,136 @@
+"""Readers and writers on awkward files."""
+
+from __future__ import annotations
+
+import glob
+
+import pytest
+from pyspark.errors import AnalysisException
+
+from podium.sources import (
+    convert_dialect,
+    dimension,
+    export_single,
+    infer_csv_schema,
+    read_code_dimension,
+    read_csv_inferred,
+    read_csv_text,
+    read_csv_typed,
+    read_format,
+    scratch_path,
+    write_csv,
+    write_parquet,
+)
+
+PEOPLE = 'ID,Name,Age,Medal\n1,"Al ""Bob"", Jr.",23,Gold\n2,Ann,NA,NA\n3,,31.5,\n'
+PEOPLE_SCHEMA = "ID int, Name string, Age double, Medal string"
+
+
+@pytest.fixture
+def people(tmp_path):
+    path = tmp_path / "people.csv"
+    path.write_text(PEOPLE, encoding="UTF-8")
+    return str(path)
+
+
+def rows(frame):
+    return [tuple(r) for r in frame.orderBy(frame.columns[0]).collect()]
+
+
+def test_sentinel_without_null_value(spark, people):
+    assert rows(read_csv_typed(spark, people, PEOPLE_SCHEMA)) == [
+        (1, 'Al "Bob", Jr.', 23.0, "Gold"),
+        (2, "Ann", None, "NA"),
+        (3, None, 31.5, None),
+    ]
+
+
+def test_sentinel_as_null(spark, people):
+    assert rows(read_csv_typed(spark, people, PEOPLE_SCHEMA, null_value="NA"))[1] == (2, "Ann", None, None)
+
+
+def test_text_and_inferred_readers(spark, people):
+    assert dict(read_csv_text(spark, people).dtypes) == dict.fromkeys(["ID", "Name", "Age", "Medal"], "string")
+    assert dict(read_csv_inferred(spark, people, null_value="NA").dtypes) == {
+        "ID": "int", "Name": "string", "Age": "double", "Medal": "string",
+    }
+    frozen = infer_csv_schema(spark, people, null_value="NA")
+    assert rows(read_csv_typed(spark, people, frozen, null_value="NA")) == rows(
+        read_csv_inferred(spark, people, null_value="NA")
+    )
+
+
+def test_dialect_conversion_keeps_texts(spark, people, tmp_path):
+    target = str(tmp_path / "semicolons")
+    convert_dialect(spark, people, target, to_sep=";", drop_pattern="^Med")
+    got = read_csv_text(spark, target, sep=";")
+    assert got.columns == ["ID", "Name", "Age"]
+    assert rows(got)[:2] == [("1", 'Al "Bob", Jr.', "23"), ("2", "Ann", "NA")]
+
+
+def test_code_file_with_bare_carriage_returns(spark, tmp_path):
+    path = tmp_path / "codes.csv"
+    path.write_bytes(b'NOC,region,notes\rISV,"Virgin Islands, US",Virgin Islands\rROT,NA,Refugee Team\rAFG,Afghanistan,\r')
+    assert rows(read_code_dimension(spark, str(path))) == [
+        ("AFG", "Afghanistan", None),
+        ("ISV", "Virgin Islands, US", "Virgin Islands"),
+        ("ROT", None, "Refugee Team"),
+    ]
+
+
+def test_sink_modes(spark, people, tmp_path):
+    target = str(tmp_path / "out")
+    frame = read_csv_typed(spark, people, PEOPLE_SCHEMA)
+    write_csv(frame, target, mode="errorifexists")
+    with pytest.raises(AnalysisException):
+        write_csv(frame, target, mode="errorifexists")
+    write_csv(frame, target)
+    assert rows(read_csv_typed(spark, target, PEOPLE_SCHEMA)) == rows(frame)
+
+
+def test_partitioned_parquet_prunes(spark, people, tmp_path):
+    target = str(tmp_path / "parquet")
+    write_parquet(read_csv_typed(spark, people, PEOPLE_SCHEMA), target, partition_by=["ID"])
+    read = read_format(spark, target, "parquet")
+    assert read.filter("ID = 2").count() == 1
+    assert "PartitionFilters: [isnotnull(ID" in (
+        read.filter("ID = 2")._jdf.queryExecution().executedPlan().toString()
+    )
+
+
+def read_lines(folder):
+    return [open(f).read().splitlines() for f in sorted(glob.glob(folder + "/part-*"))]
+
+
+def test_single_file_export(spark, tmp_path):
+    frame = spark.range(1000).selectExpr("999 - id AS v", "concat('x', id) AS t").repartition(7)
+    target = str(tmp_path / "single")
+    assert export_single(frame, target, ["v"])
+    (only,) = read_lines(target)
+    assert only[0] == "v,t" and [int(line.split(",")[0]) for line in only[1:]] == list(range(1000))
+
+
+def test_export_beyond_the_bound_stays_whole(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        frame = spark.range(1000).selectExpr("999 - id AS v", "concat('x', id) AS t")
+        target = str(tmp_path / "several")
+        assert not export_single(frame, target, ["v"], max_bytes=100)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = read_lines(target)
+    assert len(files) > 1 and all(lines[0] == "v,t" for lines in files)
+    assert [int(line.split(",")[0]) for lines in files for line in lines[1:]] == list(range(1000))
+
+
+def test_dimension_is_a_local_relation(spark):
+    frame = dimension(spark, {1956: "AUS", 1960: "ITA"}, "Year", "Country", "int")
+    assert frame.dtypes == [("Year", "int"), ("Country", "string")]
+    assert dimension(spark, {"a": 1}, "k", "v").dtypes == [("k", "string"), ("v", "bigint")]
+    assert "LocalTableScan" in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scratch_paths_are_new_and_shared(spark):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    first, second = scratch_path(spark, "x"), scratch_path(spark, "x")
+    assert first != second and first.startswith(shared + "/x-")
