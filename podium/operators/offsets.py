@@ -61,18 +61,25 @@ def compare_offsets(
             ])
         ),
     )
-    found = (
-        counts.join(
-            cells,
-            (F.col(period) == F.col("_at")) & (F.col(group) == F.col("_group")),
-        )
+    found = counts.join(
+        cells, (F.col(period) == F.col("_at")) & (F.col(group) == F.col("_group"))
+    ).select("_period", "_group", "_slot", F.col(count).alias("_count"))
+    # One zero per pair keeps those for which nothing was found.
+    zeros = pairs.select(
+        F.col(period).alias("_period"),
+        F.col(group).alias("_group"),
+        F.lit(0).alias("_slot"),
+        F.lit(0).cast("bigint").alias("_count"),
+    )
+    compared = (
+        found.unionByName(zeros)
         .groupBy("_period", "_group")
-        .agg(*[F.sum(F.when(F.col("_slot") == i, F.col(count))).alias(n) for i, n in enumerate(names)])
+        .agg(*[
+            F.coalesce(F.sum(F.when(F.col("_slot") == i, F.col("_count"))), F.lit(0)).alias(n)
+            for i, n in enumerate(names)
+        ])
         .withColumnsRenamed({"_period": period, "_group": group})
     )
-    compared = pairs.join(found, [period, group], "left").withColumns(
-        {n: F.coalesce(n, F.lit(0).cast("bigint")) for n in names}
-    )
 
     # The test is always true. It makes both aggregations need the same columns
     # of ``counts``, so that they share one scan and one shuffle.
