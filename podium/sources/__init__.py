@@ -8,7 +8,7 @@ from podium.sources.readers import (
     read_csv_typed,
     read_format,
 )
-from podium.sources.scratch import scratch_path
+from podium.sources.scratch import scratch_path, shared_dir, stage
 from podium.sources.sinks import convert_dialect, export_single, write_csv, write_parquet
 
 __all__ = [
@@ -22,6 +22,8 @@ __all__ = [
     "read_csv_typed",
     "read_format",
     "scratch_path",
+    "shared_dir",
+    "stage",
     "write_csv",
     "write_parquet",
 ]

@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SHARED_DIR = "spark.checkpoint.dir"
+WAREHOUSE_DIR = "spark.sql.warehouse.dir"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or one below the warehouse if unset."""
+    shared = spark.conf.get(SHARED_DIR, None) or spark.sparkContext.getConf().get(SHARED_DIR)
+    return (shared or f"{spark.conf.get(WAREHOUSE_DIR).rstrip('/')}/scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path not used before, below the folder all executors share.
+    """A path not used before, below the shared folder.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. In local mode,
-    where every task runs on this machine, a new temporary folder replaces an
-    unset one; on a cluster an unset folder is an error.
+    What is written there stays until its user removes it, as frames that read
+    it may still be evaluated later.
     """
-    shared = spark.conf.get(SHARED_DIR, None) or spark.sparkContext.getConf().get(SHARED_DIR)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {SHARED_DIR} to a folder that all executors can reach")
-        shared = tempfile.mkdtemp(prefix="podium-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared folder as parquet and read it back.
+
+    This cuts the lineage: what is lost with an executor is read again, not
+    computed again, and a frame used several times is computed once.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
