@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from podium.llm import mixing
+from podium.llm import mixing, topk
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -34,3 +35,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from every document by the mix of all sources."""
     chosen = mixing.mix(table(spark, sf_dir, "documents"))
     return chosen.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@corpus_query(topk.SQL)
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector against all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, F.col("vec_id") % 100 == 0, k=10)
