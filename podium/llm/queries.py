@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import mixing, topk
+from podium.llm import language, mixing, topk
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -42,3 +42,13 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best inner products of every hundredth vector against all others."""
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
+@corpus_query()
+def op7_language_by_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the labelled ones that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs, docs.filter(~language.held_out()))
+    return found.select(
+        "doc_id", language.held_out().alias("held_out"), F.col("language").alias("lang_pred"), "score", "accepted"
+    )
