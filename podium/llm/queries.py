@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import language, mixing, topk
+from podium.llm import language, mixing, simhash_links, topk
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -52,3 +52,9 @@ def op7_language_by_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", language.held_out().alias("held_out"), F.col("language").alias("lang_pred"), "score", "accepted"
     )
+
+
+@corpus_query()
+def op4_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of near-duplicates of every document."""
+    return simhash_links.near_duplicates(table(spark, sf_dir, "documents"))
