@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import language, mixing, simhash_links, topk
+from podium.llm import bpe, language, mixing, simhash_links, topk
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -58,3 +59,16 @@ def op7_language_by_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of near-duplicates of every document."""
     return simhash_links.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@corpus_query()
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of the text that they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return coded.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
