@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import bpe, language, mixing, simhash_links, topk
+from podium.llm import bpe, language, mixing, pii, simhash_links, topk
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -72,3 +72,12 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@corpus_query()
+def op1_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the rules' spans, and all spans."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    kinds = F.transform(F.split("base", ","), lambda s: F.substring_index(s, ":", 1))
+    count = lambda kind: F.size(F.filter(kinds, lambda k: k == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(kind) for kind in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
