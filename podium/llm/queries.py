@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import bpe, language, mixing, pii, simhash_links, topk
+from podium.llm import bpe, language, mixing, passages, pii, simhash_links, topk
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -81,3 +81,9 @@ def op1_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.transform(F.split("base", ","), lambda s: F.substring_index(s, ":", 1))
     count = lambda kind: F.size(F.filter(kinds, lambda k: k == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(kind) for kind in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@corpus_query()
+def op3_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without windows of 20 words that came earlier."""
+    return passages.remove_repeats(table(spark, sf_dir, "documents"))

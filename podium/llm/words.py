@@ -105,18 +105,23 @@ class WordBlock:
     def hashes(self, which: int = 0) -> np.ndarray:
         return _WORDS[which].spans(_BYTES[which][self.data], self.starts, self.ends)
 
-    def runs(self, word_hashes: np.ndarray, length: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """First words and hashes of all runs of ``length`` words within one document."""
-        n = len(self.starts)
-        at = np.arange(max(0, n - length + 1))
-        at = at[self.doc[at] == self.doc[at + length - 1]] if len(at) else at
-        return at, _RUNS[which].spans(word_hashes, at, at + length)
+    def code_points(self) -> np.ndarray:
+        """The number of code points before each byte, and before the end."""
+        out = np.zeros(len(self.data) + 1, dtype=np.int64)
+        np.cumsum((self.data & 0xC0) != 0x80, out=out[1:])
+        return out
 
     def text(self, a: int, b: int) -> bytes:
         """Words a to b of the block joined by one space."""
         return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.starts[a:b], self.ends[a:b], strict=True))
 
 
+def runs_everywhere(word_hashes: np.ndarray, length: int, which: int = 0) -> np.ndarray:
+    """Hashes of all runs of ``length`` words of a block, also of those that leave a document."""
+    at = np.arange(max(0, len(word_hashes) - length + 1))
+    return _RUNS[which].spans(word_hashes, at, at + length)
+
+
 def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
     """For each run of ``width`` values, the index of its smallest, the leftmost of equals."""
     n = len(values) - width + 1
