@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import bpe, language, mixing, passages, pii, simhash_links, topk
+from podium.llm import bpe, language, mixing, passages, pii, simhash_links, suffixes, topk
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -87,3 +87,9 @@ def op1_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without windows of 20 words that came earlier."""
     return passages.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@corpus_query()
+def op2_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of at least 50 words that occur earlier, in all documents."""
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))

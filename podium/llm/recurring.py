@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from podium.llm.words import WordBlock, blocks, document_key, leftmost_minima, runs_everywhere
 from podium.sources.scratch import stage
 
+BLANKS = " \t\n\v\f\r"
+NAMES = ["doc_id", "key", "own", "copy_of", "hits", "n_words", "words_sha256", "text", "begins", "ends"]
+
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, key and text; rows that repeat id and text share the key and count as one document."""
@@ -78,7 +81,8 @@ def representatives(rows: DataFrame) -> DataFrame:
 
 def surveyed(docs: DataFrame, length: int, k: int, name: str) -> DataFrame:
     """One row for each document, written to the shared folder: doc_id, key, n_words, words_sha256 (of its words joined by one space),
-    copy_of, and hits and text where it has recurring runs and is its own representative.
+    begins and ends (code points of its first and last word), copy_of, own (whether it is its own representative), and hits and text where
+    it is that and has recurring runs.
     """
     rows = keyed(docs)
     info = representatives(rows).join(recurring_runs(rows, length, k, name), "key", "left")
@@ -89,7 +93,7 @@ def surveyed(docs: DataFrame, length: int, k: int, name: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch):
-                counts, digests, texts = [], [], []
+                counts, digests, texts, edges = [], [], [], []
                 marked = part.column("hits").is_valid().to_pylist()
                 for text, own_text, hit in zip(part.column("text"), part.column("own").to_pylist(), marked, strict=True):
                     body = text.as_py()
@@ -97,11 +101,14 @@ def surveyed(docs: DataFrame, length: int, k: int, name: str) -> DataFrame:
                     counts.append(len(words))
                     digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
                     texts.append(body if own_text and hit else None)
+                    left = (body or "").lstrip(BLANKS)
+                    edges.append((len(body or "") - len(left), len((body or "").rstrip(BLANKS))))
                 columns = {n: part.column(n) for n in ("doc_id", "key", "own", "copy_of", "hits")}
+                columns |= {n: pa.array(e, pa.int32()) for n, e in zip(("begins", "ends"), zip(*edges, strict=True), strict=True)}
                 columns |= {"n_words": pa.array(counts, pa.int64()), "words_sha256": pa.array(digests, pa.string()), "text": pa.array(texts, pa.string())}
-                yield pa.RecordBatch.from_pydict(columns)
+                yield pa.RecordBatch.from_pydict({n: columns[n] for n in NAMES})
 
-    schema = "doc_id long, key long, own boolean, copy_of long, hits array<int>, n_words long, words_sha256 string, text string"
+    schema = "doc_id long, key long, own boolean, copy_of long, hits array<int>, n_words long, words_sha256 string, text string, begins int, ends int"
     return stage(joined.mapInArrow(run, schema), f"{name}-documents")
 
 
