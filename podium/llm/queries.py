@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import bpe, language, mixing, passages, pii, simhash_links, suffixes, topk
+from podium.llm import bpe, fingerprints, language, mixing, passages, pii, simhash_links, suffixes, topk
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -93,3 +93,9 @@ def op3_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of at least 50 words that occur earlier, in all documents."""
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@corpus_query()
+def op6_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how near they are."""
+    return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
