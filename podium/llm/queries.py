@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import bpe, fingerprints, language, mixing, passages, pii, simhash_links, suffixes, topk
+from podium.llm import (
+    bpe,
+    fingerprints,
+    language,
+    language_model,
+    mixing,
+    passages,
+    pii,
+    simhash_links,
+    suffixes,
+    topk,
+)
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -99,3 +110,9 @@ def op2_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how near they are."""
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
+
+
+@corpus_query()
+def op8_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of every document under the unigram base and the attention model."""
+    return language_model.scored(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
