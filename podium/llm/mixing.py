@@ -52,9 +52,9 @@ def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats:
         F.sum("source_size").over(before), F.lit(0)
     )
     weights_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    levels = weighed.select("*", (left.cast("double") / weights_left).alias("level"))
-    reached = F.when(cap / F.col("weight") >= F.col("level"), F.col("level"))
-    fitted = levels.withColumn("share", F.min(reached).over(everything))
+    levels = weighed.select("*", (left.cast("double") / weights_left).alias("level"), F.row_number().over(by_cap).alias("turn"))
+    reached = F.when(cap / F.col("weight") >= F.col("level"), F.struct("turn", "level"))
+    fitted = levels.withColumn("share", F.min(reached).over(everything)["level"])
     return fitted.select(
         "source", "source_size", F.least(cap, F.coalesce(F.col("share"), F.lit(0.0)) * F.col("weight")).alias("target")
     )
@@ -176,11 +176,12 @@ levels AS (
   SELECT *, CAST(sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
     / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST
-      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level,
+    row_number() OVER (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST) AS turn
   FROM weighed
 ),
 fitted AS (
-  SELECT *, min(CASE WHEN 3.0::DOUBLE * source_size / weight >= level THEN level END) OVER () AS share FROM levels
+  SELECT *, (SELECT arg_min(level, turn) FROM levels WHERE 3.0::DOUBLE * source_size / weight >= level) AS share FROM levels
 ),
 goal AS (
   SELECT source, source_size, least(3.0::DOUBLE * source_size, coalesce(share, 0) * weight) AS target FROM fitted
