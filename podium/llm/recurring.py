@@ -1,34 +1,85 @@
 """Where runs of words recur: what the two operators on repeated passages have in common.
 
-Of the runs of ``k`` words of a document, those at content-selected positions are retained: the smallest hash of any ``length - k + 1``
-runs in a row, so that every window of ``length`` words retains at least one, and equal windows retain equal ones. A window can only recur if
-the run that it retains recurs. So most of a corpus is ruled out by counting retained runs, a few for every hundred words, and full
-windows are compared only where their retained run was seen twice.
+Documents are dealt into blocks of bounded size by a hash of their key; that is the only time their texts are shuffled, as every later step
+reads the same exchange. Of the runs of ``k`` words of a document, those at content-selected positions are retained: the smallest hash of any
+``length - k + 1`` runs in a row, so that every window of ``length`` words retains at least one, and equal windows retain equal ones. A
+window can only recur if the run that it retains recurs. So most of a corpus is ruled out by counting retained runs, a few for every
+hundred words, and full windows are compared only where their retained run was seen twice.
+
+What blocks send is unique within the block: a run or window that is in a third of all documents is at most one row of each block, so
+no key grows with its occurrences.
 
 Texts that are equal as a whole are compared through the first of them, their representative.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from podium.llm.words import WordBlock, blocks, document_key, leftmost_minima, runs_everywhere
+from podium.llm.words import WordBlock, document_key, leftmost_minima, runs_everywhere
 from podium.sources.scratch import stage
 
+BLOCK_CHARS = 4 << 20
+#: A place is a document's number in the order of ids, and a word number below this many bits.
+WORD_BITS = 28
 BLANKS = " \t\n\v\f\r"
-NAMES = ["doc_id", "key", "own", "copy_of", "hits", "n_words", "words_sha256", "text", "begins", "ends"]
+COPY = -1
+RUN_ROWS, DOCUMENT_ROWS = 0, 1
+
 
+class Corpus:
+    """Documents in blocks, and what is known of each.
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, key and text; rows that repeat id and text share the key and count as one document."""
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), document_key().alias("key"), text.alias("text"))
+    ``blocks``: block, doc_id, key, text. ``info``: key, block, doc_id, ``number`` in the order of doc_id (null first, ties by key), and ``of``, the
+    number of the first document of equal text. Rows that repeat id and text share the key and count as one document.
+    """
+
+    def __init__(self, docs: DataFrame, name: str):
+        text = F.col("text").cast("string")
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), document_key().alias("key"), text.alias("text"))
+        chars = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+        self.n_blocks = max(1, -(-chars // BLOCK_CHARS))
+        block = F.pmod(F.xxhash64("key"), F.lit(self.n_blocks)).cast("int")
+        self.blocks = rows.select(block.alias("block"), "doc_id", "key", "text")
+        digests = stage(rows.select("doc_id", "key", F.xxhash64("text").alias("h1"), F.md5(F.col("text").cast("binary")).alias("h2")).distinct(), f"{name}-texts")
+        order = [F.col("doc_id").asc_nulls_first(), F.col("key").asc()]
+        ranged = digests.select("doc_id", "key").repartitionByRange(*order).sortWithinPartitions(*order)
+        ranged = stage(ranged.withColumn("id", F.monotonically_increasing_id()), f"{name}-order")
+        # Partition and row number are in the id's upper and lower bits; a row for each partition makes the numbers dense.
+        part = F.shiftright("id", 33)
+        sizes = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        offsets = sizes.select("part", before.alias("before"))
+        numbered = ranged.join(offsets, part == F.col("part")).select(
+            F.col("key").alias("k"), (F.col("before") + F.col("id").bitwiseAND((1 << 33) - 1)).alias("number")
+        )
+        known = stage(digests.join(numbered, F.col("key") == F.col("k")).drop("k"), f"{name}-numbers")
+        first = known.groupBy("h1", "h2").agg(F.min("number").alias("of")).withColumnsRenamed({"h1": "g1", "h2": "g2"})
+        joined = known.join(first, F.col("h1").eqNullSafe(F.col("g1")) & F.col("h2").eqNullSafe(F.col("g2")))
+        self.info = stage(joined.select("key", block.alias("block"), "doc_id", "number", "of"), f"{name}-info")
+
+    def told(self) -> DataFrame:
+        """For each block, rows (block, kind, a, b): key and number of its documents, the number COPY for those equal to an earlier one."""
+        number = F.when(F.col("number") == F.col("of"), F.col("number")).otherwise(F.lit(COPY))
+        return self.info.select("block", F.lit(DOCUMENT_ROWS).alias("kind"), F.col("key").alias("a"), number.cast("long").alias("b"))
+
+
+def own_documents(table: pa.Table, told: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """Texts and numbers of a block's documents, each once, without copies."""
+    kind = np.asarray(told.column("kind"))
+    rows = kind == DOCUMENT_ROWS
+    numbers = dict(zip(np.asarray(told.column("a"))[rows].tolist(), np.asarray(told.column("b"))[rows].tolist(), strict=True))
+    chosen, out = [], []
+    for i, key in enumerate(table.column("key").to_pylist()):
+        number = numbers.pop(key, COPY)
+        if number != COPY:
+            chosen.append(i)
+            out.append(number)
+    texts = table.column("text").take(pa.array(chosen, pa.int64())).combine_chunks()
+    return texts, np.array(out, dtype=np.int64)
 
 
 def retained(block: WordBlock, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,103 +94,68 @@ def retained(block: WordBlock, length: int, k: int) -> tuple[np.ndarray, np.ndar
     return windows, leftmost_minima(hashes, length - k + 1)[windows], hashes
 
 
-def retained_runs(rows: DataFrame, length: int, k: int) -> DataFrame:
-    """``key``, ``at`` (word number in its document) and ``hash`` of every retained run."""
+def retained_hashes(texts: pa.Array, length: int, k: int) -> np.ndarray:
+    _, chosen, hashes = retained(WordBlock(texts), length, k)
+    return hashes[np.unique(chosen)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks(batch):
-                block = WordBlock(part.column("text"))
-                _, chosen, hashes = retained(block, length, k)
-                chosen = np.unique(chosen)
-                doc = block.doc[chosen]
-                keys = np.asarray(part.column("key"))[doc]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array((chosen - block.first[doc]).astype(np.int32)), pa.array(hashes[chosen].view(np.int64))],
-                    ["key", "at", "hash"],
-                )
 
-    return rows.select("key", "text").mapInArrow(run, "key long, at int, hash long")
+def recurring_runs(corpus: Corpus, length: int, k: int) -> DataFrame:
+    """``block`` and ``hash`` of the retained runs that occur at least twice in the corpus."""
 
+    def run(table: pa.Table, told: pa.Table) -> pa.Table:
+        texts, _ = own_documents(table, told)
+        hashes, counts = np.unique(retained_hashes(texts, length, k), return_counts=True)
+        block = np.full(len(hashes), table.column("block")[0].as_py() if table.num_rows else 0, dtype=np.int32)
+        return pa.table({"block": block, "hash": hashes.view(np.int64), "n": counts})
 
-def recurring_runs(rows: DataFrame, length: int, k: int, name: str) -> DataFrame:
-    """``key`` and ``hits``, the word numbers of the retained runs that occur at least twice in the corpus, for documents that have any."""
-    counts = retained_runs(rows, length, k).groupBy("hash").agg(F.count("*").alias("n"))
-    twice = stage(counts.filter("n > 1").select(F.col("hash").alias("seen")), f"{name}-runs")
-    found = retained_runs(rows, length, k).join(twice, F.col("hash") == F.col("seen"))
-    # A list is no longer than its document.
-    return found.groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("hits"))
+    runs = corpus.blocks.groupBy("block").cogroup(corpus.told().groupBy("block")).applyInArrow(run, "block int, hash long, n long")
+    total = F.sum("n").over(Window.partitionBy("hash"))
+    return runs.withColumn("total", total).filter("total > 1").select("block", "hash")
 
 
-def representatives(rows: DataFrame) -> DataFrame:
-    """``key`` and ``copy_of`` (doc_id and key of the first document of equal text) for each document."""
-    digest = [F.xxhash64("text").alias("h1"), F.md5(F.col("text").cast("binary")).alias("h2")]
-    texts = rows.filter("text IS NOT NULL").select("doc_id", "key", *digest)
-    first = texts.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "key")).alias("copy_of"))
-    return texts.select("key", "h1", "h2").distinct().join(first, ["h1", "h2"]).select("key", "copy_of")
+def window_hashes(block: WordBlock, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of hash for the windows at ``starts``."""
+    first = runs_everywhere(block.hashes(0), length, 0)[starts].view(np.int64)
+    second = (runs_everywhere(block.hashes(1), length, 1)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return first, second
 
 
-def surveyed(docs: DataFrame, length: int, k: int, name: str) -> DataFrame:
-    """One row for each document, written to the shared folder: doc_id, key, n_words, words_sha256 (of its words joined by one space),
-    begins and ends (code points of its first and last word), copy_of, own (whether it is its own representative), and hits and text where
-    it is that and has recurring runs.
-    """
-    rows = keyed(docs)
-    info = representatives(rows).join(recurring_runs(rows, length, k, name), "key", "left")
-    joined = rows.join(info.withColumnRenamed("key", "of"), F.col("key") == F.col("of"), "left").drop("of")
-    own = F.col("copy_of.key") == F.col("key")
-    joined = joined.select("doc_id", "key", "text", F.coalesce(own, F.lit(True)).alias("own"), F.col("copy_of.doc_id").alias("copy_of"), "hits")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks(batch):
-                counts, digests, texts, edges = [], [], [], []
-                marked = part.column("hits").is_valid().to_pylist()
-                for text, own_text, hit in zip(part.column("text"), part.column("own").to_pylist(), marked, strict=True):
-                    body = text.as_py()
-                    words = body.encode().split() if body else []
-                    counts.append(len(words))
-                    digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                    texts.append(body if own_text and hit else None)
-                    left = (body or "").lstrip(BLANKS)
-                    edges.append((len(body or "") - len(left), len((body or "").rstrip(BLANKS))))
-                columns = {n: part.column(n) for n in ("doc_id", "key", "own", "copy_of", "hits")}
-                columns |= {n: pa.array(e, pa.int32()) for n, e in zip(("begins", "ends"), zip(*edges, strict=True), strict=True)}
-                columns |= {"n_words": pa.array(counts, pa.int64()), "words_sha256": pa.array(digests, pa.string()), "text": pa.array(texts, pa.string())}
-                yield pa.RecordBatch.from_pydict({n: columns[n] for n in NAMES})
-
-    schema = "doc_id long, key long, own boolean, copy_of long, hits array<int>, n_words long, words_sha256 string, text string, begins int, ends int"
-    return stage(joined.mapInArrow(run, schema), f"{name}-documents")
-
-
-def windows(documents: DataFrame, length: int, k: int) -> DataFrame:
-    """The windows that may recur, of the rows with text: h1, h2 (128 bits of hash), doc_id, key, ``start`` (word number), and the
-    code points ``begins`` and ``ends``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks(batch):
-                block = WordBlock(part.column("text"))
-                starts, chosen, hashes = retained(block, length, k)
-                hits = part.column("hits")
-                owners = np.repeat(np.arange(part.num_rows), np.asarray(hits.value_lengths()))
-                recurring = np.zeros(len(block.starts) + 1, dtype=bool)
-                recurring[np.asarray(hits.flatten()) + block.first[owners]] = True
-                starts = starts[recurring[chosen]]
-                first_words, second_words = block.hashes(0), block.hashes(1)
-                doc = block.doc[starts]
-                points = block.code_points()
-                base = points[block.bounds[doc]]
-                columns = {
-                    "h1": pa.array(runs_everywhere(first_words, length, 0)[starts].view(np.int64)),
-                    "h2": pa.array(runs_everywhere(second_words, length, 1)[starts].view(np.int64)),
-                    "doc_id": part.column("doc_id").take(pa.array(doc)),
-                    "key": part.column("key").take(pa.array(doc)),
-                    "start": pa.array((starts - block.first[doc]).astype(np.int32)),
-                    "begins": pa.array((points[block.starts[starts]] - base).astype(np.int32)),
-                    "ends": pa.array((points[block.ends[starts + length - 1]] - base).astype(np.int32)),
-                }
-                yield pa.RecordBatch.from_pydict(columns)
-
-    schema = "h1 long, h2 long, doc_id long, key long, start int, begins int, ends int"
-    return documents.filter("text IS NOT NULL").select("doc_id", "key", "text", "hits").mapInArrow(run, schema)
+def candidate_windows(texts: pa.Array, told: pa.Table, length: int, k: int) -> tuple[WordBlock, np.ndarray]:
+    """A block's words, and the starts of the windows whose retained run recurs."""
+    block = WordBlock(texts)
+    starts, chosen, hashes = retained(block, length, k)
+    rows = np.asarray(told.column("kind")) == RUN_ROWS
+    recurring = np.asarray(told.column("a"))[rows].view(np.uint64)
+    return block, starts[np.isin(hashes[chosen], recurring)]
+
+
+def with_runs(corpus: Corpus, runs: DataFrame) -> DataFrame:
+    """The rows told to blocks, with the runs that recur."""
+    return corpus.told().unionAll(runs.select("block", F.lit(RUN_ROWS).alias("kind"), F.col("hash").alias("a"), F.lit(0).cast("long").alias("b")))
+
+
+def recurring_windows(corpus: Corpus, runs: DataFrame, length: int, k: int) -> DataFrame:
+    """The windows that occur at least twice: block, h1, h2, ``place`` (the first in this block), ``first`` (the first of all) and ``n`` (how often
+    this block holds it)."""
+
+    def run(table: pa.Table, told: pa.Table) -> pa.Table:
+        texts, numbers = own_documents(table, told)
+        block, starts = candidate_windows(texts, told, length, k)
+        h1, h2 = window_hashes(block, starts, length)
+        doc = block.doc[starts]
+        places = (numbers[doc] << WORD_BITS) + starts - block.first[doc]
+        order = np.lexsort((places, h2, h1))
+        h1, h2, places = h1[order], h2[order], places[order]
+        new = np.ones(len(h1), dtype=bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        heads = np.flatnonzero(new)
+        n = np.diff(np.append(heads, len(h1)))
+        number = np.full(len(heads), table.column("block")[0].as_py() if table.num_rows else 0, dtype=np.int32)
+        return pa.table({"block": number, "h1": h1[heads], "h2": h2[heads], "place": places[heads], "n": n})
+
+    found = corpus.blocks.groupBy("block").cogroup(with_runs(corpus, runs).groupBy("block")).applyInArrow(
+        run, "block int, h1 long, h2 int, place long, n long"
+    )
+    same = Window.partitionBy("h1", "h2")
+    both = found.withColumns({"total": F.sum("n").over(same), "first": F.min("place").over(same)})
+    return both.filter("total > 1").select("block", "h1", "h2", "place", "first", "n")

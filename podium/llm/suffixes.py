@@ -5,77 +5,101 @@ words are neighbours in sorted order; those without such a neighbour are dropped
 and to the right, which takes in every window of 50 words that retains the suffix; windows are sorted in turn, equal neighbours
 compared, and the earliest of them kept as the source. Matches that go on in both documents are joined, so a match ends where the texts differ.
 
-The sorted orders are not written out: all that is asked of them is which neighbours are equal and which comes first, and Spark's
-shuffles by the 128-bit hash of the compared words give that without a task that would hold a frequent passage alone.
+The sorting is Spark's: windows over the hash of the compared words sort each shuffle partition, so that equal prefixes are next to each other.
+A block of documents sends a suffix once however often it holds it, so a frequent passage is a row of each block at most.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.llm import recurring
-from podium.sources.scratch import stage
+from podium.llm.recurring import COPY, DOCUMENT_ROWS, WORD_BITS, Corpus
 
 MATCH_WORDS = 50
 PREFIX_WORDS = 16
-SPANS = "doc_id long, begins int, ends int, n_words int, of_doc_id long, of_begins int"
+MATCH_ROWS = 2
+SPANS = "number long, begins int, ends int, n_words int, of long, of_word int"
 
 
-def _joined(matches: DataFrame) -> DataFrame:
-    """Spans from lists of matching windows: neighbouring windows that match neighbouring windows of one document are one span."""
+def spans_of_block(table: pa.Table, told: pa.Table) -> pa.Table:
+    """Spans of the block's documents, from the first places of the windows that recur in it."""
+    texts, numbers = recurring.own_documents(table, told)
+    block, starts = recurring.candidate_windows(texts, told, MATCH_WORDS, PREFIX_WORDS)
+    h1, h2 = recurring.window_hashes(block, starts, MATCH_WORDS)
+    rows = np.asarray(told.column("kind")) == MATCH_ROWS
+    known, second, firsts = (np.asarray(told.column(c))[rows] for c in ("a", "c", "b"))
+    order = np.lexsort((second, known))
+    known, second, firsts = known[order], second[order], firsts[order]
+    # Hashes of windows are compared by their 64 bits here, and by the other 32 where those are equal.
+    at = np.searchsorted(known, h1)
+    while True:
+        short = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == h1) & (second[np.minimum(at, len(known) - 1)] < h2) if len(known) else None
+        if short is None or not short.any():
+            break
+        at = at + short
+    hit = np.zeros(len(h1), dtype=bool) if not len(known) else (known[np.minimum(at, len(known) - 1)] == h1) & (second[np.minimum(at, len(known) - 1)] == h2)
+    hit &= at < len(known)
+    starts, of = starts[hit], firsts[at[hit]]
+    doc = block.doc[starts]
+    places = (numbers[doc] << WORD_BITS) + starts - block.first[doc]
+    later = of != places
+    starts, of, doc, places = starts[later], of[later], doc[later], places[later]
+    breaks = np.flatnonzero((np.diff(places) != 1) | (np.diff(of) != 1)) + 1
+    heads = np.concatenate([[0], breaks]).astype(np.int64) if len(starts) else np.zeros(0, dtype=np.int64)
+    tails = np.append(breaks, len(starts)).astype(np.int64) - 1 if len(starts) else heads
+    points = block.code_points()
+    base = points[block.bounds[doc[heads]]]
+    return pa.table({
+        "number": numbers[doc[heads]],
+        "begins": (points[block.starts[starts[heads]]] - base).astype(np.int32),
+        "ends": (points[block.ends[starts[tails] + MATCH_WORDS - 1]] - base).astype(np.int32),
+        "n_words": (tails - heads + MATCH_WORDS).astype(np.int32),
+        "of": of[heads] >> WORD_BITS,
+        "of_word": (of[heads] & ((1 << WORD_BITS) - 1)).astype(np.int32),
+    })
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {n: [] for n in ("doc_id", "begins", "ends", "n_words", "of_doc_id", "of_begins")}
-            for row in batch.to_pylist():
-                found = row["found"]
-                start = np.array([m["start"] for m in found])
-                shift = start - np.array([m["of_start"] for m in found])
-                of = np.array([m["of_key"] for m in found])
-                breaks = np.flatnonzero((np.diff(start) != 1) | (np.diff(shift) != 0) | (np.diff(of) != 0)) + 1
-                for some in np.split(np.arange(len(found)), breaks):
-                    a, b = found[some[0]], found[some[-1]]
-                    values = (row["doc_id"], a["begins"], b["ends"], len(some) - 1 + MATCH_WORDS, a["of_doc_id"], a["of_begins"])
-                    for name, value in zip(out, values, strict=True):
-                        out[name].append(value)
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
 
-    return matches.select("doc_id", "found").mapInArrow(run, SPANS)
+def copies_of_block(table: pa.Table, told: pa.Table) -> pa.Table:
+    """A span over all words of each copy that is long enough; ``of`` is filled in later."""
+    rows = np.asarray(told.column("kind")) == DOCUMENT_ROWS
+    copies = {k for k, n in zip(np.asarray(told.column("a"))[rows].tolist(), np.asarray(told.column("b"))[rows].tolist(), strict=True) if n == COPY}
+    out: list[tuple] = []
+    for key, text in zip(table.column("key").to_pylist(), table.column("text").to_pylist(), strict=True):
+        if key in copies and text:
+            copies.discard(key)
+            n = len(text.encode().split())
+            if n >= MATCH_WORDS:
+                out.append((key, len(text) - len(text.lstrip(recurring.BLANKS)), len(text.rstrip(recurring.BLANKS)), n))
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "begins", "ends", "n_words"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """Every passage of at least 50 words that occurs earlier: doc_id, begins, ends (code points, end exclusive), n_words, of_doc_id and
-    of_begins (where it occurs first).
+    of_word (the document where it occurs first, and the word number at which it does).
 
     A window of 50 consecutive words is matched to its first occurrence, by doc_id and then by position; matches that go on are one
     row, so rows of one document may overlap where its windows come from different places. Words are told apart by their bytes; blanks
-    between them do not count. A document equal to an earlier one, blanks too, is one row over all its words, with begins at its first.
+    between them do not count. A document equal to an earlier one, blanks too, is one row over all its words.
 
     A null doc_id counts as the smallest; rows that repeat id and text are one document. Documents without a match have no row. An
     empty table gives an empty result.
     """
-    documents = recurring.surveyed(docs, MATCH_WORDS, PREFIX_WORDS, "suffixes")
-    rows = stage(recurring.windows(documents.dropDuplicates(["key"]), MATCH_WORDS, PREFIX_WORDS), "suffixes-windows")
-    groups = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "start", "begins")).alias("first"))
-    equal = groups.filter("n > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first")
-    later = rows.join(equal, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).filter(
-        (F.col("key") != F.col("first.key")) | (F.col("start") != F.col("first.start"))
-    )
-    match = F.struct(
-        "start", "begins", "ends", F.col("first.key").alias("of_key"), F.col("first.doc_id").alias("of_doc_id"),
-        F.col("first.start").alias("of_start"), F.col("first.begins").alias("of_begins"),
-    )
-    # A list is no longer than its document.
-    lists = later.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.sort_array(F.collect_list(match)).alias("found"))
-    copies = documents.filter(~F.col("own") & (F.col("n_words") >= MATCH_WORDS)).dropDuplicates(["key"])
-    whole = copies.select(
-        "doc_id", F.col("begins"), F.col("ends"), F.col("n_words").cast("int").alias("n_words"),
-        F.col("copy_of").alias("of_doc_id"), F.col("begins").alias("of_begins"),
-    )
-    return _joined(lists).unionByName(whole)
+    corpus = Corpus(docs, "suffixes")
+    runs = recurring.recurring_runs(corpus, MATCH_WORDS, PREFIX_WORDS)
+    windows = recurring.recurring_windows(corpus, runs, MATCH_WORDS, PREFIX_WORDS)
+    matches = windows.select("block", F.lit(MATCH_ROWS).alias("kind"), F.col("h1").alias("a"), F.col("first").alias("b"), F.col("h2").alias("c"))
+    told = recurring.with_runs(corpus, runs).withColumn("c", F.lit(0)).unionAll(matches)
+    blocks = corpus.blocks.groupBy("block")
+    spans = blocks.cogroup(told.groupBy("block")).applyInArrow(spans_of_block, SPANS)
+    whole = blocks.cogroup(corpus.told().groupBy("block")).applyInArrow(copies_of_block, "key long, begins int, ends int, n_words int")
+    copied = whole.join(corpus.info.select("key", "number", "of"), "key").select("number", "begins", "ends", "n_words", "of", F.lit(0).alias("of_word"))
+    ids = corpus.info.select("number", "doc_id")
+    sources = ids.select(F.col("number").alias("of"), F.col("doc_id").alias("of_doc_id"))
+    found = spans.unionAll(copied).join(ids, "number").join(sources, "of")
+    return found.select("doc_id", "begins", "ends", "n_words", "of_doc_id", "of_word")
