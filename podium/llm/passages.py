@@ -1,12 +1,12 @@
 """Removing repeated passages with sharded Aho-Corasick automata.
 
-First the recurring windows are confirmed (podium.llm.recurring), and the first occurrences of them are joined into passages, each
-held once however often it is repeated. Then every passage is cut into aligned phrases of half a window, of which any window within it
-holds at least one whole. The phrases are compiled into Aho-Corasick automata over word numbers, in shards of bounded size, and the
-documents are streamed through: each hit is extended left and right along its passage, which gives every occurrence of every recurring window.
+First the recurring windows are confirmed (podium.llm.recurring). Each block of documents is told of those it holds, once each, and where they
+occur first in the corpus; windows that follow each other in both places are joined into passages. Every passage is cut into aligned
+phrases of half a window, of which any window within it holds at least one whole. The phrases are compiled into Aho-Corasick automata over word
+numbers, in shards of bounded size, and all documents of the block are streamed through: each hit is extended left and right along its
+passage, which gives every occurrence of every recurring window.
 
-Documents are dealt into blocks of bounded size, and a passage goes to the blocks in which a run that it retains occurs. So each block has
-automata of what can occur in it, and the work grows with the corpus and not with its square.
+So a block's automata hold what recurs in it and nothing else, and the work grows with the corpus and not with its square.
 """
 
 from __future__ import annotations
@@ -16,61 +16,35 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.llm import recurring
-from podium.llm.words import WordBlock, blocks
-from podium.sources.scratch import stage
+from podium.llm.recurring import COPY, DOCUMENT_ROWS, WORD_BITS, Corpus
 
 WINDOW = 20
 RUN = 8
 PHRASE = WINDOW // 2
-BLOCK_CHARS = 4 << 20  # text of the documents in a block
 SHARD_WORDS = 200_000  # words of the phrases in an automaton
-RESULT = "doc_id long, key long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:int,end:int>>"
-
-
-def confirmed_passages(documents: DataFrame) -> DataFrame:
-    """The first occurrences of recurring windows, adjoining ones joined: doc_id, key, start (word number) and ``body``."""
-    found = recurring.windows(documents, WINDOW, RUN)
-    groups = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "start")).alias("first"))
-    firsts = groups.filter("n > 1").groupBy(F.col("first.key").alias("of")).agg(F.sort_array(F.collect_list("first.start")).alias("starts"))
-    # A repeated row has the same key; one of them gives the passage.
-    sources = documents.filter("text IS NOT NULL").dropDuplicates(["key"]).join(firsts, F.col("key") == F.col("of"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {"doc_id": [], "key": [], "start": [], "body": []}
-            for row in batch.to_pylist():
-                words, starts = row["text"].encode().split(), np.array(row["starts"])
-                for some in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-                    a, b = int(some[0]), int(some[-1]) + WINDOW
-                    body = b" ".join(words[a:b]).decode()
-                    for name, value in zip(out, (row["doc_id"], row["key"], a, body), strict=True):
-                        out[name].append(value)
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
-
-    return sources.select("doc_id", "key", "text", "starts").mapInArrow(run, "doc_id long, key long, start int, body string")
-
-
-def _hashes_of(frame: DataFrame, body: str, schema: str) -> DataFrame:
-    """The other columns, with ``hash`` for each run that the text in ``body`` retains."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks(batch, body):
-                block = WordBlock(part.column(body))
-                _, chosen, hashes = recurring.retained(block, WINDOW, RUN)
-                chosen = np.unique(chosen)
-                table = pd.DataFrame({"row": block.doc[chosen], "hash": hashes[chosen].view(np.int64)}).drop_duplicates()
-                others = {n: part.column(n).take(pa.array(table["row"].to_numpy())) for n in part.schema.names if n != body}
-                yield pa.RecordBatch.from_pydict(others | {"hash": pa.array(table["hash"].to_numpy())})
-
-    return frame.mapInArrow(run, schema)
+PASSAGE_ROWS = 2
+STRETCHES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:int,end:int>>"
+
+
+def confirmed_passages(told: pa.Table, documents: list[tuple[int, list[bytes]]]) -> list[tuple[int, list[bytes]]]:
+    """Passages of a block as (first place in the corpus, words), from its documents (number, words) and the windows told to it."""
+    rows = np.asarray(told.column("kind")) == PASSAGE_ROWS
+    places, firsts = np.asarray(told.column("a"))[rows], np.asarray(told.column("b"))[rows]
+    order = np.argsort(places)
+    places, firsts = places[order], firsts[order]
+    words = dict(documents)
+    out = []
+    for some in np.split(np.arange(len(places)), np.flatnonzero((np.diff(places) != 1) | (np.diff(firsts) != 1)) + 1):
+        if len(some):
+            number, a = divmod(int(places[some[0]]), 1 << WORD_BITS)
+            out.append((int(firsts[some[0]]), words[number][a : a + len(some) - 1 + WINDOW]))
+    return out
 
 
 def automata(passages: list[list[int]]) -> Iterator[ahocorasick.Automaton]:
@@ -105,25 +79,24 @@ def _extent(document: tuple[int, ...], passage: list[int], at: int, place: int)
     return a, b
 
 
-def repeats_in_block(documents: list[tuple[int, list[bytes]]], passages: list[tuple[int, int, list[bytes]]]) -> list[np.ndarray]:
-    """For each document (key, words), which words are in an occurrence of a passage (key, start, words) other than the first."""
+def repeats_in_block(documents: list[tuple[int, list[bytes]]], passages: list[tuple[int, list[bytes]]]) -> list[np.ndarray]:
+    """For each document (number, words), which words are in an occurrence of a passage (first place, words) other than the first."""
     numbers: dict[bytes, int] = {}
-    bodies = [[numbers.setdefault(w, len(numbers) + 1) for w in words] for _, _, words in passages]
+    bodies = [[numbers.setdefault(w, len(numbers) + 1) for w in words] for _, words in passages]
     coded = [tuple(numbers.get(w, 0) for w in words) for _, words in documents]
     gone = [np.zeros(len(words), dtype=bool) for _, words in documents]
     for automaton in automata(bodies):
-        for (key, _), words, mask in zip(documents, coded, gone, strict=True):
+        for (number, _), words, mask in zip(documents, coded, gone, strict=True):
             upto: dict[tuple[int, int], int] = {}  # by passage and shift: where the last occurrence ended
             for last, where in automaton.iter(words) if len(words) >= WINDOW else ():
                 at = last - PHRASE + 1
-                for number, place in where:
-                    shift = (number, at - place)
+                for passage, place in where:
+                    shift = (passage, at - place)
                     if at < upto.get(shift, 0):
                         continue
-                    a, b = _extent(words, bodies[number], at, place)
+                    a, b = _extent(words, bodies[passage], at, place)
                     upto[shift] = b
-                    home, start, _ = passages[number]
-                    if b - a >= WINDOW and not (home == key and at - place == start):
+                    if b - a >= WINDOW and passages[passage][0] != (number << WORD_BITS) + at - place:
                         mask[a:b] = True
     return gone
 
@@ -133,15 +106,29 @@ def _stretches(mask: np.ndarray) -> list[dict[str, int]]:
     return [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def clean_block(documents: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
-    texts = [(key, text.encode().split()) for key, text in zip(documents["key"], documents["text"], strict=True)]
-    bodies = [(k, s, b.encode().split()) for k, s, b in zip(passages["key"], passages["start"], passages["body"], strict=True)]
-    rows = []
-    for doc_id, (key, words), gone in zip(documents["doc_id"], texts, repeats_in_block(texts, bodies), strict=True):
-        kept = b" ".join(w for w, g in zip(words, gone, strict=True) if not g)
-        rows.append((doc_id, key, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), _stretches(gone)))
-    out = pd.DataFrame(rows, columns=["doc_id", "key", "n_words", "n_removed", "kept_sha256", "removed"])
-    return out.astype({"doc_id": "Int64"})
+def clean_block(table: pa.Table, told: pa.Table) -> pa.Table:
+    """The result of a block's documents, from the passages and the document numbers told to it."""
+    kinds = np.asarray(told.column("kind"))
+    rows = kinds == DOCUMENT_ROWS
+    numbers = dict(zip(np.asarray(told.column("a"))[rows].tolist(), np.asarray(told.column("b"))[rows].tolist(), strict=True))
+    documents, ids = [], []
+    for doc_id, key, text in zip(*[table.column(c).to_pylist() for c in ("doc_id", "key", "text")], strict=True):
+        number = numbers.pop(key, None)
+        if number is not None:  # else a row that was there before
+            documents.append((number, (text or "").encode().split()))
+            ids.append(doc_id)
+    own = [i for i, (number, _) in enumerate(documents) if number != COPY]
+    mine = [documents[i] for i in own]
+    found = dict(zip(own, repeats_in_block(mine, confirmed_passages(told, mine)), strict=True))
+    out: list[list] = [[], [], [], []]
+    for i, (_, words) in enumerate(documents):
+        # An equal text came earlier: every window of a copy goes.
+        gone = found[i] if i in found else np.full(len(words), len(words) >= WINDOW)
+        kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if gone.any() else b" ".join(words)
+        for values, value in zip(out, (len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), _stretches(gone)), strict=True):
+            values.append(value)
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), STRETCHES]
+    return pa.table([pa.array(v, t) for v, t in zip([ids, *out], types, strict=True)], [c.split()[0] for c in RESULT.split(", ")[:5]])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -151,28 +138,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     judged on the input. A null doc_id counts as the smallest; of different texts with one doc_id, an arbitrary but fixed one is
     earlier. Rows that repeat both doc_id and text are one document and one row. A null text has no words. An empty table gives an empty result.
     """
-    documents = recurring.surveyed(docs, WINDOW, RUN, "passages")
-    passages = stage(confirmed_passages(documents), "passages-confirmed")
-    active = documents.filter("text IS NOT NULL")
-    chars = active.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    n_blocks = max(1, -(-chars // BLOCK_CHARS))
-    block = F.pmod(F.xxhash64("key"), F.lit(n_blocks)).alias("block")
-    in_blocks = _hashes_of(active.select(block, "text"), "text", "block long, hash long").distinct()
-    in_passages = _hashes_of(
-        passages.select(F.col("key").alias("home"), F.col("start").alias("place"), "body"), "body", "home long, place int, hash long"
-    )
-    routes = in_blocks.join(in_passages, "hash").select("block", "home", "place").distinct()
-    routed = routes.join(passages, (F.col("home") == F.col("key")) & (F.col("place") == F.col("start"))).select("block", "key", "start", "body")
-    held = active.dropDuplicates(["key"]).select(block, "doc_id", "key", "text")
-    cleaned = held.groupBy("block").cogroup(routed.groupBy("block")).applyInPandas(clean_block, RESULT)
-    nothing = F.lit(None).cast("array<struct<start:int,end:int>>")
-    # An equal text came earlier: every window of a copy goes.
-    copy = ~F.col("own") & (F.col("n_words") >= WINDOW)
-    gone = F.when(copy, F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))).otherwise(F.coalesce(nothing, F.array()))
-    rest = documents.filter("text IS NULL").dropDuplicates(["key"]).select(
-        "doc_id", "key", "n_words",
-        F.when(copy, F.col("n_words")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
-        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.col("words_sha256")).alias("kept_sha256"),
-        gone.cast("array<struct<start:int,end:int>>").alias("removed"),
-    )
-    return cleaned.unionByName(rest).drop("key")
+    corpus = Corpus(docs, "passages")
+    runs = recurring.recurring_runs(corpus, WINDOW, RUN)
+    windows = recurring.recurring_windows(corpus, runs, WINDOW, RUN)
+    # A window that a block holds once, at its first place of all, takes no word from the block.
+    needed = windows.filter((F.col("n") > 1) | (F.col("place") != F.col("first")))
+    told = corpus.told().unionAll(needed.select("block", F.lit(PASSAGE_ROWS).alias("kind"), F.col("place").alias("a"), F.col("first").alias("b")))
+    return corpus.blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(clean_block, RESULT)
