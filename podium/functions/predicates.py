@@ -12,6 +12,11 @@ def as_column(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and blanks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def is_present(c: str | Column, sentinel: str = SENTINEL) -> Column:
     """True when ``c`` holds a value: neither NULL nor the missing-value text.
 
@@ -39,10 +44,10 @@ def in_scope(text: str | Column, part: str, period: str | Column, first_period:
 
 
 def violates_format(c: str | Column, pattern: str, include_null: bool = False) -> Column:
-    """True when no part of ``c`` matches ``pattern``.
+    """True when no part of ``c`` matches ``pattern``, or only an empty part.
 
     A NULL is unknown and not reported unless ``include_null`` is set.
     """
     c = as_column(c)
-    wrong = ~c.rlike(pattern)
+    wrong = F.regexp_extract(c, pattern, 0) == ""
     return (c.isNull() | wrong) if include_null else wrong

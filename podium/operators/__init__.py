@@ -4,6 +4,7 @@ from podium.operators.offsets import compare_offsets, compare_offsets_sql, enric
 from podium.operators.quality import (
     distinct_row_count,
     drop_columns_matching,
+    format_report,
     impute_means,
     leak_summary,
     leaked_rows,
@@ -26,6 +27,7 @@ __all__ = [
     "distinct_values",
     "drop_columns_matching",
     "enrich",
+    "format_report",
     "growth",
     "growth_and_share",
     "impute_means",

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from podium.functions.predicates import quoted
 from podium.functions.rates import ratio_pct
 from podium.sources.dimensions import dimension
 
@@ -17,7 +18,8 @@ def enrich(df: DataFrame, lookup: Mapping | DataFrame, on: str, name: str) -> Da
     ``lookup`` is a mapping, or a DataFrame with the columns ``on`` and ``name``
     and one row per key. The new column comes last.
     """
-    return df.join(_frame(df, lookup, on, name), on, "left").select(*df.columns, name)
+    entries = _frame(df, lookup, on, name).select(quoted(on).alias("_key"), quoted(name).alias(name))
+    return df.join(entries, quoted(on) == F.col("_key"), "left").select(*[quoted(c) for c in df.columns], quoted(name))
 
 
 def compare_offsets(
@@ -33,7 +35,8 @@ def compare_offsets(
 
     ``counts`` has one row per period and group, covering all periods of the
     data. ``marked`` names the group to look at in each marked period: a mapping
-    ``period -> group``, or a DataFrame with these two columns, no pair twice.
+    ``period -> group``, or a DataFrame with these two columns; a pair given
+    twice counts once.
 
     Per marked pair the result holds ``<count>_host`` and, for the offset at
     place *i*, ``<count>_other<i>`` (0 when there is nothing to count) with
@@ -44,10 +47,10 @@ def compare_offsets(
 
     However many pairs are marked, the data is read once: the wanted cells are
     joined to ``counts`` and summed into columns. Counts without a period or
-    group belong to no pair and are left out.
+    group belong to no pair, but a period with any row is in the data, whatever
+    its groups and counts.
     """
-    pairs = _frame(counts, marked, period, group)
-    counts = counts.filter(F.col(period).isNotNull() & F.col(group).isNotNull())
+    pairs = _frame(counts, marked, period, group).distinct()
     steps = [0, *offsets]
     names = [f"{count}_host", *[f"{count}_other{i}" for i in range(1, len(steps))]]
 
@@ -62,7 +65,7 @@ def compare_offsets(
         ),
     )
     found = counts.join(
-        cells, (F.col(period) == F.col("_at")) & (F.col(group) == F.col("_group"))
+        cells, F.col(period).eqNullSafe(F.col("_at")) & F.col(group).eqNullSafe(F.col("_group"))
     ).select("_period", "_group", "_slot", F.col(count).alias("_count"))
     # One zero per pair keeps those for which nothing was found.
     zeros = pairs.select(
@@ -81,10 +84,10 @@ def compare_offsets(
         .withColumnsRenamed({"_period": period, "_group": group})
     )
 
-    # The test is always true. It makes both aggregations need the same columns
-    # of ``counts``, so that they share one scan and one shuffle.
-    counted = F.when(F.col(count) >= 0, F.col(period))
-    ends = counts.agg(F.struct(F.min(counted).alias("first"), F.max(counted).alias("last")))
+    # The ends carry a count along. So both aggregations need the same columns of
+    # ``counts`` and share one scan and one shuffle, as does the null-safe join.
+    end = F.when(F.col(period).isNotNull(), F.struct(F.col(period).alias("at"), F.col(count)))
+    ends = counts.agg(F.struct(F.min(end)["at"].alias("first"), F.max(end)["at"].alias("last")))
     host, best = F.col(names[0]), _best(names[1:])
     return compared.withColumn("_ends", ends.scalar()).select(
         period,
@@ -142,7 +145,7 @@ def compare_offsets_sql(
     )
     pairs = _frame(entries, marked, period, group).select(
         F.col(period).alias("period"), F.col(group).alias("member")
-    )
+    ).distinct()
     compared = entries.sparkSession.sql(
         OFFSETS_STATEMENT, args={"step": step}, entries=view, marked=pairs
     )
@@ -159,6 +162,6 @@ def _best(names: list[str]):
 
 def _frame(df: DataFrame, lookup: Mapping | DataFrame, key: str, value: str) -> DataFrame:
     if isinstance(lookup, DataFrame):
-        return lookup.select(key, value)
+        return lookup.select(quoted(key), quoted(value))
     types = dict(df.dtypes)
     return dimension(df.sparkSession, lookup, key, value, types[key], types.get(value))

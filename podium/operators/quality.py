@@ -4,20 +4,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from podium.functions.predicates import SENTINEL, is_sentinel
+from podium.functions.predicates import SENTINEL, is_sentinel, quoted, violates_format
 from podium.sources.dimensions import codes as code_frame
 
 
-def quoted(name: str) -> Column:
-    """The column of that very name, dots and blanks included."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def _long(
     df: DataFrame,
     columns: Sequence[str],
@@ -79,9 +75,9 @@ def sentinel_profile(
 def missing_by_group(df: DataFrame, by: str, counts: dict[str, str]) -> DataFrame:
     """NULLs per group, worst group first; ``counts`` maps output name to column."""
     return (
-        df.groupBy(by)
+        df.groupBy(quoted(by))
         .agg(*[F.count_if(quoted(c).isNull()).alias(name) for name, c in counts.items()])
-        .orderBy(*[F.desc(name) for name in counts], F.asc(by))
+        .orderBy(*[quoted(name).desc() for name in counts], quoted(by).asc())
     )
 
 
@@ -91,18 +87,19 @@ def sentinel_by_group(
     """Missing-value texts per group; groups without any are left out."""
     flags = {name: is_sentinel(quoted(c), sentinel) for name, c in counts.items()}
     return (
-        df.select(by, *[flag.alias(name) for name, flag in flags.items()])
-        .filter(" OR ".join(f"`{name}`" for name in flags))
-        .groupBy(by)
-        .agg(*[F.count_if(name).alias(name) for name in flags])
+        df.select(quoted(by), *[flag.alias(name) for name, flag in flags.items()])
+        .filter(reduce(Column.__or__, [quoted(name) for name in flags]))
+        .groupBy(quoted(by))
+        .agg(*[F.count_if(quoted(name)).alias(name) for name in flags])
     )
 
 
 def table_profile(df: DataFrame) -> DataFrame:
-    """Summary statistics of every numeric and text column, one row each.
+    """Summary statistics of every number, text, date and time column, one row each.
 
     Values keep their type: ``mean``, ``stddev``, ``min_number`` and
-    ``max_number`` for numbers, ``min_text`` and ``max_text`` for text.
+    ``max_number`` for numbers, ``min_text`` and ``max_text`` for text,
+    ``min_time`` and ``max_time`` (without time zone) for dates and times.
 
     Numbers and text are aggregated apart. The smallest and largest text need an
     aggregation without hashing and generated code that would slow the numbers
@@ -123,14 +120,23 @@ def table_profile(df: DataFrame) -> DataFrame:
         value = quoted(c)
         return {"non_null": F.count(value), "min_text": F.min(value), "max_text": F.max(value)}
 
+    def time(c: str) -> dict[str, Column]:
+        value = quoted(c)
+        ends = {"min_time": F.min(value), "max_time": F.max(value)}
+        return {"non_null": F.count(value)} | {n: v.cast("timestamp_ntz") for n, v in ends.items()}
+
+    times = [
+        f.name for f in df.schema if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+    ]
     numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    parts = [_long(df, c, stats) for c, stats in ((numbers, number), (texts, text)) if c]
+    # Times are as cheap as numbers, but a row has the statistics of one kind.
+    parts = [_long(df, c, stats) for c, stats in ((numbers, number), (texts, text), (times, time)) if c]
     if not parts:
-        raise ValueError("the table has neither numeric nor text columns")
-    whole = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+        raise ValueError("the table has no number, text or time columns")
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     kinds = {"mean": "double", "stddev": "double", "min_number": "double", "max_number": "double",
-             "min_text": "string", "max_text": "string"}
+             "min_text": "string", "max_text": "string", "min_time": "timestamp_ntz", "max_time": "timestamp_ntz"}
     return whole.select(
         "column_name",
         "non_null",
@@ -177,6 +183,16 @@ def impute_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     })
 
 
+def format_report(df: DataFrame, patterns: dict[str, str], include_null: bool = False) -> DataFrame:
+    """``column_name, pattern, violations`` for every column with a pattern: how many values it does not match."""
+    return _long(
+        df,
+        list(patterns),
+        lambda c: {"violations": F.count_if(violates_format(quoted(c), patterns[c], include_null))},
+        lambda c: {"pattern": F.lit(patterns[c])},
+    )
+
+
 def drop_columns_matching(df: DataFrame, pattern: str) -> DataFrame:
     """Leave out the columns whose name matches ``pattern`` anywhere."""
     return df.select(*[quoted(c) for c in df.columns if not re.search(pattern, c)])
@@ -202,9 +218,9 @@ def leak_summary(df: DataFrame, column: str, codes: Sequence[str] | DataFrame) -
     """``code, leaked_rows, leaked`` for every code, also for codes never found."""
     wanted = codes if isinstance(codes, DataFrame) else code_frame(df.sparkSession, codes)
     wanted = wanted.select(wanted[wanted.columns[0]].alias("code")).distinct()
-    hits = leaked_rows(df, column, codes).groupBy(quoted(column).alias("code")).agg(
-        F.count(F.lit(1)).alias("leaked_rows")
-    )
+    # Values are counted first, so what meets the codes is a row per value and not per row of the table.
+    found = df if isinstance(codes, DataFrame) else leaked_rows(df, column, codes)
+    hits = found.groupBy(quoted(column).alias("code")).agg(F.count(F.lit(1)).alias("leaked_rows"))
     rows = F.coalesce("leaked_rows", F.lit(0).cast("bigint"))
     return wanted.join(hits, "code", "left").select(
         "code", rows.alias("leaked_rows"), (rows > 0).alias("leaked")

@@ -73,21 +73,23 @@ def modal_bands(
     has no known band at all; with ``null_competes`` it wins when it is the most
     frequent. Equal counts go to the lowest band, and to a known one first.
 
-    One pass: a row becomes one short row per value, holding only the number of
-    its band. These are counted before the shuffle, and the winners come from one
-    more aggregation of the counts.
+    One pass: rows are counted by group and combination of band numbers first,
+    before the shuffle. Only these counts are laid out by value and summed, and
+    the winners come from one more aggregation.
     """
     names = list(bands)
-    numbered = df.select(
+    numbers = [scale.index(value).alias(f"_band{i}") for i, (value, scale) in enumerate(bands.values())]
+    together = df.groupBy(group, *numbers).agg(F.count(F.lit(1)).alias("_rows"))
+    laid_out = together.select(
         F.col(group),
+        "_rows",
         F.inline(
             F.array(*[
-                F.struct(F.lit(i).alias("_value"), scale.index(value).alias("_band"))
-                for i, (value, scale) in enumerate(bands.values())
+                F.struct(F.lit(i).alias("_value"), F.col(f"_band{i}").alias("_band")) for i in range(len(names))
             ])
         ),
     )
-    counts = numbered.groupBy(group, "_value", "_band").agg(F.count(F.lit(1)).alias("_n"))
+    counts = laid_out.groupBy(group, "_value", "_band").agg(F.sum("_rows").alias("_n"))
 
     def winner(i: int) -> Column:
         unknown = F.col("_band").isNull().alias("unknown")

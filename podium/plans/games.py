@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from podium.functions.bands import Bands
 from podium.functions.predicates import SENTINEL, in_scope, is_present
 from podium.operators.offsets import compare_offsets, enrich
+from podium.operators.quality import format_report
 from podium.operators.ranking import leaders, modal_bands, rollup_text, top_k
 from podium.operators.tally import tally
 from podium.operators.trend import growth_and_share
@@ -59,7 +60,7 @@ HOSTS = {
     2016: "BRA",
 }
 
-# Scope of the analyses.
+# Scope of the analyses, format of the games' names, ends and widths of the bands.
 SCOPE_TEXT = "Summer"
 SCOPE_FIRST_YEAR = 1956
 GAMES_FORMAT = r"^\d{4} Summer$"
@@ -69,16 +70,24 @@ HEIGHT_BANDS = Bands.even(120, 220, 5)
 WEIGHT_BANDS = Bands.even(30, 150, 10)
 
 
-def read_results(spark: SparkSession, path: str, *, sep: str = ",") -> DataFrame:
-    """The results file. A missing medal stays the text ``NA``; missing numbers are NULL."""
-    return read_csv_typed(spark, path, RESULTS_SCHEMA, sep=sep)
+def read_results(
+    spark: SparkSession, path: str, *, sep: str = ",", null_value: str | None = None
+) -> DataFrame:
+    """The results file. A missing medal stays the text ``NA``, unless ``null_value`` names it; missing numbers are NULL."""
+    return read_csv_typed(spark, path, RESULTS_SCHEMA, sep=sep, null_value=null_value)
 
 
 def scope(
-    results: DataFrame, text: str = SCOPE_TEXT, first_year: int = SCOPE_FIRST_YEAR
+    results: DataFrame, text: str | None = None, first_year: int = SCOPE_FIRST_YEAR, *, season: str = SCOPE_TEXT
 ) -> DataFrame:
-    """Entries of the chosen season from the chosen year on."""
-    return results.filter(in_scope("Games", text, "Year", first_year))
+    """Entries of the chosen season from the chosen year on.
+
+    The season is a column of its own, so its test reaches the scan. ``text``
+    looks for a part of ``Games`` instead, for tables where only that is right.
+    """
+    if text is not None:
+        return results.filter(in_scope("Games", text, "Year", first_year))
+    return results.filter((F.col("Season") == season) & (F.col("Year") >= first_year))
 
 
 def participation(results: DataFrame) -> DataFrame:
@@ -172,6 +181,11 @@ def host_advantage(
     )
 
 
+def format_check(results: DataFrame) -> DataFrame:
+    """How many entries have a ``Games`` text of another form; NULL counts too."""
+    return format_report(results, {"Games": GAMES_FORMAT}, include_null=True)
+
+
 def with_host(results: DataFrame, hosts: Mapping[int, str] | None = None) -> DataFrame:
     """Every entry with the country that hosted its year, NULL where none did."""
     return enrich(results, hosts or HOSTS, "Year", "Host_Country")

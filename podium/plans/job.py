@@ -16,11 +16,21 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from podium.operators.quality import impute_means, missing_by_group, null_fractions, table_profile
+from podium.functions.predicates import violates_format
+from podium.operators.quality import (
+    column_catalog,
+    distinct_row_count,
+    impute_means,
+    missing_by_group,
+    null_fractions,
+    null_profile,
+    sentinel_profile,
+    table_profile,
+)
 from podium.plans import games
 from podium.session import build_session
 from podium.sources.readers import read_csv_text
-from podium.sources.scratch import scratch_path
+from podium.sources.scratch import stage as staged
 from podium.sources.sinks import write_csv, write_parquet
 
 
@@ -44,20 +54,37 @@ def load_environments(path: str) -> dict[str, Environment]:
         return {name: Environment(**entry) for name, entry in json.load(file).items()}
 
 
+MEASURES = ["Age", "Height", "Weight"]
+
 ANALYSES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "gender_ratio": lambda df: games.participation(df).orderBy("Year", "Sex"),
     "top10_countries": games.top_countries,
     "dominant_sports": games.dominant_sports,
     "height_weight_age": games.winner_profile,
     "host_country_medals": games.host_advantage,
+    "host_enrichment": games.with_host,
+    "format_check": games.format_check,
+    "format_violations": lambda df: df.filter(violates_format("Games", games.GAMES_FORMAT, include_null=True)),
+    "null_profile": null_profile,
+    "sentinel_profile": sentinel_profile,
+    "distinct_rows": distinct_row_count,
+    "column_catalog": column_catalog,
+    "complete_rows": lambda df: df.na.drop(how="any"),
     "table_profile": table_profile,
     "missing_fractions": null_fractions,
     "missing_by_games": lambda df: missing_by_group(
         df, "Games", {"Weight_NA_Count": "Weight", "Height_NA_Count": "Height"}
     ),
-    "imputed": lambda df: impute_means(df, ["Age", "Height", "Weight"]),
+    "imputed": lambda df: impute_means(df, MEASURES),
 }
-DEFAULT_ANALYSES = list(ANALYSES)[:5]
+#: The published results; the others are checks and repairs that a run asks for by name.
+DEFAULT_ANALYSES = [
+    "gender_ratio",
+    "top10_countries",
+    "dominant_sports",
+    "height_weight_age",
+    "host_country_medals",
+]
 
 
 def run(
@@ -67,21 +94,24 @@ def run(
     analyses: list[str] | None = None,
     fmt: str = "csv",
     mode: str = "overwrite",
-    stage: bool = False,
+    stage: bool = True,
     preview: int = 0,
     explain: bool = False,
+    sep: str = ",",
+    null_value: str | None = None,
 ) -> dict[str, str]:
     """Write each analysis below the output path; returns the path of each.
 
     ``stage`` first stores the scoped rows as parquet in the shared folder, so
     that the text file is parsed once for all analyses and each then reads only
-    the columns it needs. It survives lost executors, unlike a cache.
+    the columns it needs. It survives lost executors, unlike a cache. The copy
+    stays in the shared folder, to be cleared with it.
+
+    ``sep`` and ``null_value`` are those of the results file.
     """
-    entries = games.scope(games.read_results(spark, environment.input))
+    entries = games.scope(games.read_results(spark, environment.input, sep=sep, null_value=null_value))
     if stage:
-        staged = scratch_path(spark, "results")
-        write_parquet(entries, staged)
-        entries = spark.read.schema(entries.schema).parquet(staged)
+        entries = staged(entries, "results")
 
     written = {}
     for name in analyses or DEFAULT_ANALYSES:
@@ -109,7 +139,9 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--analyses", nargs="+", choices=list(ANALYSES))
     parser.add_argument("--format", choices=["csv", "parquet"], default="csv")
     parser.add_argument("--mode", choices=["overwrite", "errorifexists"], default="overwrite")
-    parser.add_argument("--stage", action="store_true", help="parse the text file only once")
+    parser.add_argument("--no-stage", dest="stage", action="store_false", help="parse the text file for each analysis")
+    parser.add_argument("--sep", default=",", help="separator of the results file")
+    parser.add_argument("--null-value", help="text that stands for a missing value in every column")
     parser.add_argument("--preview", type=int, default=0, help="print this many rows of each result")
     parser.add_argument("--explain", action="store_true", help="print the plans")
     args = parser.parse_args(argv)
@@ -131,6 +163,8 @@ def main(argv: list[str] | None = None) -> None:
             stage=args.stage,
             preview=args.preview,
             explain=args.explain,
+            sep=args.sep,
+            null_value=args.null_value,
         )
     finally:
         spark.stop()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.functions.predicates import in_scope, is_present, violates_format
-from podium.operators import sets
+from podium.operators import quality, sets
 from podium.operators.quality import drop_columns_matching, leak_summary, leaked_rows
 from podium.operators.tally import tally
 from podium.plans.queries.registry import (
@@ -90,10 +90,10 @@ def sentinel_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"WITH {LABELLED_SQL} SELECT doc_id, lang, source FROM labelled WHERE quality IS NULL")
+@query(f"WITH {LABELLED_SQL} SELECT * FROM labelled WHERE quality IS NULL")
 def null_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = labelled_documents(spark, sf_dir)
-    return documents.filter(F.col("quality").isNull()).select("doc_id", "lang", "source")
+    return documents.filter(F.col("quality").isNull())
 
 
 @query(f"""
@@ -105,11 +105,21 @@ def drop_incomplete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, source FROM documents WHERE NOT regexp_matches(source, '^src\d$')
+SELECT * FROM documents WHERE NOT regexp_matches(source, '^src\d$')
 """)
 def format_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return documents.filter(violates_format("source", r"^src\d$"))
+    return table(spark, sf_dir, "documents").filter(violates_format("source", r"^src\d$"))
+
+
+@query(r"""
+SELECT 'source' AS column_name, '^src\d$' AS pattern,
+       count(CASE WHEN NOT regexp_matches(source, '^src\d$') THEN 1 END) AS violations FROM documents
+UNION ALL
+SELECT 'lang', '^[a-z]{2}$', count(CASE WHEN NOT regexp_matches(lang, '^[a-z]{2}$') THEN 1 END) FROM documents
+""")
+def format_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations counted for each column and pattern."""
+    return quality.format_report(table(spark, sf_dir, "documents"), {"source": r"^src\d$", "lang": "^[a-z]{2}$"})
 
 
 @query(f"""
@@ -123,11 +133,10 @@ def format_violations_or_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.filter(violates_format("quality_text", "^1$", include_null=True))
 
 
-@query(r"SELECT p_partkey, p_name FROM part WHERE NOT regexp_matches(p_name, '^\w+ \w+$')")
+@query(r"SELECT * FROM part WHERE NOT regexp_matches(p_name, '^\w+ \w+$')")
 def format_violations_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clean case: every part name is two words."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return part.filter(violates_format("p_name", r"^\w+ \w+$"))
+    return table(spark, sf_dir, "part").filter(violates_format("p_name", r"^\w+ \w+$"))
 
 
 @query("""
@@ -144,10 +153,9 @@ def domain_leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_summary(table(spark, sf_dir, "customer"), "c_mktsegment", known)
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'ASIA')")
+@query("SELECT * FROM customer WHERE c_mktsegment IN ('BUILDING', 'ASIA')")
 def domain_leak_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    return leaked_rows(customer, "c_mktsegment", ["BUILDING", "ASIA"])
+    return leaked_rows(table(spark, sf_dir, "customer"), "c_mktsegment", ["BUILDING", "ASIA"])
 
 
 @query("SELECT max(o_totalprice) AS max_price FROM orders")

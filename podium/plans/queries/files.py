@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from podium.operators.sets import union_all
 from podium.operators.tally import tally
 from podium.plans.queries.registry import (
     LABELLED_SQL,
@@ -22,7 +23,7 @@ from podium.sources.readers import (
     read_format,
 )
 from podium.sources.scratch import scratch_path
-from podium.sources.sinks import convert_dialect, export_single, write_csv, write_parquet
+from podium.sources.sinks import convert_dialect, export_sorted, write_csv, write_parquet
 
 
 @query("SELECT * FROM orders")
@@ -33,24 +34,51 @@ def csv_typed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv_typed(spark, path, orders.schema)
 
 
+@query("SELECT * FROM documents")
+def csv_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free text with line breaks, quotes and blanks comes back as it was."""
+    documents = table(spark, sf_dir, "documents")
+    path = scratch_path(spark, "documents-csv")
+    write_csv(documents, path, exact=True)
+    return read_csv_typed(spark, path, documents.schema, exact=True)
+
+
+@query("SELECT * FROM events")
+def csv_events_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times keep their microseconds."""
+    events = table(spark, sf_dir, "events")
+    path = scratch_path(spark, "events-csv")
+    write_csv(events, path, exact=True)
+    return read_csv_typed(spark, path, events.schema, exact=True)
+
+
+@query("SELECT * FROM conversations")
+def csv_dialect_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free text through a change of separator."""
+    conversations = table(spark, sf_dir, "conversations")
+    commas, semicolons = scratch_path(spark, "turns-comma"), scratch_path(spark, "turns-semicolon")
+    write_csv(conversations, commas, exact=True)
+    convert_dialect(spark, commas, semicolons, to_sep=";", exact=True)
+    return read_csv_typed(spark, semicolons, conversations.schema, sep=";", exact=True)
+
+
 @query(f"""
 WITH {LABELLED_SQL}
-SELECT doc_id, quality AS number_kept, coalesce(CAST(quality AS VARCHAR), 'NA') AS text_kept,
-       CAST(quality AS VARCHAR) AS text_null
-FROM labelled
+SELECT doc_id, quality AS number, coalesce(CAST(quality AS VARCHAR), 'NA') AS text, 'kept' AS read_as FROM labelled
+UNION ALL
+SELECT doc_id, quality, CAST(quality AS VARCHAR), 'null' FROM labelled
 """)
 def csv_missing_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text ``NA`` read without and with the reader's missing-value option."""
     path = scratch_path(spark, "labels-csv")
     documents = labelled_documents(spark, sf_dir).select(
-        "doc_id", F.col("quality").alias("number_kept"), F.col("quality").alias("text_kept")
+        "doc_id", F.col("quality").alias("number"), F.col("quality").alias("text")
     )
     write_csv(documents, path, null_value="NA")
-    kept = read_csv_typed(spark, path, "doc_id bigint, number_kept int, text_kept string")
-    nulled = read_csv_typed(
-        spark, path, "doc_id bigint, number_kept int, text_null string", null_value="NA"
-    )
-    return kept.join(nulled.select("doc_id", "text_null"), "doc_id")
+    schema = "doc_id bigint, number int, text string"
+    kept = read_csv_typed(spark, path, schema).select("*", F.lit("kept").alias("read_as"))
+    nulled = read_csv_typed(spark, path, schema, null_value="NA").select("*", F.lit("null").alias("read_as"))
+    return union_all([kept, nulled])
 
 
 @query("""
@@ -89,22 +117,21 @@ def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(year(o_orderdate) AS INTEGER) AS y, o_orderstatus, o_orderpriority, count(*) AS n
 FROM orders GROUP BY 1, 2, 3
 """)
-def single_file_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sorted_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     counts = tally(orders, [order_year(), "o_orderstatus", "o_orderpriority"])
-    path = scratch_path(spark, "counts-single")
-    export_single(counts, path, ["y", "o_orderstatus", "o_orderpriority"])
+    path = scratch_path(spark, "counts-sorted")
+    export_sorted(counts, path, ["y", "o_orderstatus", "o_orderpriority"])
     return read_csv_typed(spark, path, counts.schema)
 
 
 @query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def format_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source known by name: whole numbers come back as bigint, as JSON has one kind."""
+    """A source known by name, with its schema given, so that it is read once."""
     path = scratch_path(spark, "supplier-json")
-    table(spark, sf_dir, "supplier").write.json(path)
-    return read_format(spark, path, "json", primitivesAsString=False).withColumn(
-        "s_nationkey", F.col("s_nationkey").cast("int")
-    )
+    supplier = table(spark, sf_dir, "supplier")
+    supplier.write.json(path)
+    return read_format(spark, path, "json", schema=supplier.schema)
 
 
 @query("""

@@ -22,21 +22,25 @@ HOSTS = {
 }
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table with the columns of :data:`games.RESULTS_SCHEMA`, some values missing."""
+def results(spark: SparkSession, sf_dir: str, city: bool = True) -> DataFrame:
+    """A table with the columns of :data:`games.RESULTS_SCHEMA`, some values missing.
+
+    ``City`` takes a join of its own, which analyses that do not use it leave out.
+    """
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
     )
     customer = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_mktsegment"
     )
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    nation = table(spark, sf_dir, "nation")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    placed = (
-        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    placed = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(
+        nation, F.col("c_nationkey") == F.col("n_nationkey")
     )
+    if city:
+        region = table(spark, sf_dir, "region")
+        placed = placed.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     entries = (
         table(spark, sf_dir, "lineitem")
         .join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -66,7 +70,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(" ", year, season).alias("Games"),
         year.alias("Year"),
         season.alias("Season"),
-        F.col("r_name").alias("City"),
+        *([F.col("r_name").alias("City")] if city else []),
         F.col("p_brand").alias("Sport"),
         F.col("p_type").alias("Event"),
         medal.alias("Medal"),
@@ -97,7 +101,7 @@ WITH entries AS (
 
 
 def _scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return games.scope(results(spark, sf_dir))
+    return games.scope(results(spark, sf_dir, city=False))
 
 
 @query(ENTRIES_SQL + """

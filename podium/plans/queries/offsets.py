@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from podium.functions.predicates import is_present
 from podium.operators.offsets import compare_offsets, compare_offsets_sql, enrich
 from podium.operators.tally import tally
+from podium.sources.dimensions import dimension
 from podium.plans.queries.registry import (
     FACT_SQL,
     NO_AWARD,
@@ -86,6 +87,32 @@ def host_advantage_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_offsets(named.select("y", "n_name", "n"), HOSTS, period="y", group="n_name")
 
 
+# One nation without a name, in the first year only, and no counts but its own there.
+SPARSE_SQL = f"""
+WITH {FACT_SQL}, {HOSTS_SQL}, sparse AS (
+  SELECT y, n_name, count(*) AS n FROM fact WHERE y > (SELECT min(y) FROM fact) GROUP BY y, n_name
+  UNION ALL SELECT min(y), NULL, NULL FROM fact
+), ends AS (SELECT min(y) AS first_y, max(y) AS last_y FROM sparse), compared AS (
+  SELECT h.y, h.n_name, """ + ", ".join(
+    f"CAST(coalesce(sum(CASE WHEN s.y = h.y + ({step}) THEN s.n END), 0) AS BIGINT) AS {name}" for name, step in STEPS.items()
+) + f"""
+  FROM hosts h LEFT JOIN sparse s ON s.n_name = h.n_name GROUP BY h.y, h.n_name
+), best AS (SELECT *, greatest(n_other1, n_other2, n_other3, n_other4) AS best_other FROM compared)
+SELECT {COUNTS}, {RANGES}, {MARGIN}, {CHANGE} FROM best, ends
+"""
+
+
+@query(SPARSE_SQL)
+def host_advantage_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A period whose only group has no name and no count is in the data all the same; pairs given twice count once."""
+    counts = orders_per_nation(spark, sf_dir)
+    ends = counts.agg(F.min("y").alias("first"))
+    later = counts.filter(F.col("y") > ends.scalar())
+    nothing = ends.select(F.col("first").alias("y"), F.lit(None).cast("string").alias("n_name"), F.lit(None).cast("long").alias("n"))
+    hosts = dimension(spark, HOSTS, "y", "n_name", "int")
+    return compare_offsets(later.unionByName(nothing), hosts.unionAll(hosts), period="y", group="n_name")
+
+
 @query(f"{PER_ROW} SELECT {COUNTS}, {MARGIN} FROM best")
 def host_advantage_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").filter(is_present("o_orderpriority", NO_AWARD))
@@ -107,10 +134,10 @@ ODD_HOSTS = {year: nation for year, nation in HOSTS.items() if year % 2}
 @query("WITH hosts(y, host) AS (VALUES " + ", ".join(
     f"({year}, '{nation}')" for year, nation in ODD_HOSTS.items()
 ) + """)
-SELECT o.y, o_orderkey, o_orderstatus, host
-FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS y, o_orderkey, o_orderstatus FROM orders) o
+SELECT o.*, host
+FROM (SELECT *, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders) o
 LEFT JOIN hosts h ON o.y = h.y
 """)
 def host_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(order_year(), "o_orderkey", "o_orderstatus")
+    orders = table(spark, sf_dir, "orders").select("*", order_year())
     return enrich(orders, ODD_HOSTS, "y", "host")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from podium.operators import quality as ops
 from podium.plans.queries.registry import LABELLED_SQL, labelled_documents, query, table
 
-LABELLED_COLUMNS = ["doc_id", "lang", "source", "n_chars", "quality", "toxic"]
-MARKED_COLUMNS = ["doc_id", "quality", "toxic"]
+LABELLED_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
+MARKED_COLUMNS = ["doc_id", "lang", "quality", "toxic"]
 COUNTED = {"quality_nulls": "quality", "toxic_nulls": "toxic"}
 
 
@@ -69,7 +69,7 @@ def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
 ))
 def sentinel_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id`` is a number: comparing it with text must not fail."""
-    return ops.sentinel_profile(_marked(spark, sf_dir), MARKED_COLUMNS)
+    return ops.sentinel_profile(_marked(spark, sf_dir))
 
 
 @query(MARKED_SQL + """
@@ -85,7 +85,7 @@ def sentinel_count_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {LABELLED_SQL}
-SELECT doc_id, lang, source, n_chars,
+SELECT doc_id, text, lang, source, n_chars,
        round(coalesce(CAST(quality AS DOUBLE), (SELECT avg(quality) FROM labelled)), 6) AS quality,
        round(coalesce(CAST(toxic AS DOUBLE), (SELECT avg(toxic) FROM labelled)), 6) AS toxic
 FROM labelled
@@ -95,12 +95,13 @@ def mean_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.withColumns({c: F.round(c, 6) for c in ("quality", "toxic")})
 
 
-@query("SELECT " + ", ".join(
-    f"CAST(count(CASE WHEN {c} IS NULL THEN 1 END) AS DOUBLE) / count(*) AS {c}_missing_fraction"
-    for c in ("doc_id", "lang", "source", "n_chars")
-) + """, CAST(0 AS DOUBLE) AS quality_missing_fraction, CAST(0 AS DOUBLE) AS toxic_missing_fraction
-FROM documents
-""")
+@query(f"""
+WITH {LABELLED_SQL}, filled AS (
+  SELECT doc_id, text, lang, source, n_chars,
+         coalesce(CAST(quality AS DOUBLE), (SELECT avg(quality) FROM labelled)) AS quality,
+         coalesce(CAST(toxic AS DOUBLE), (SELECT avg(toxic) FROM labelled)) AS toxic
+  FROM labelled
+) """ + _fractions_sql("filled"))
 def null_fraction_after_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = ops.impute_means(labelled_documents(spark, sf_dir), ["quality", "toxic"])
     return ops.null_fractions(filled)
@@ -111,6 +112,7 @@ NUMBERS = [
     "l_quantity", "l_extendedprice", "l_discount", "l_tax",
 ]
 TEXTS = ["l_returnflag", "l_linestatus"]
+TIMES = ["l_shipdate"]
 
 
 @query(" UNION ALL ".join(
@@ -119,13 +121,18 @@ TEXTS = ["l_returnflag", "l_linestatus"]
             round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS stddev,
             CAST(CASE WHEN min({c}) = 0 THEN 0 ELSE min({c}) END AS DOUBLE) AS min_number,
             CAST(CASE WHEN max({c}) = 0 THEN 0 ELSE max({c}) END AS DOUBLE) AS max_number,
-            CAST(NULL AS VARCHAR) AS min_text, CAST(NULL AS VARCHAR) AS max_text FROM lineitem"""
+            CAST(NULL AS VARCHAR) AS min_text, CAST(NULL AS VARCHAR) AS max_text,
+            CAST(NULL AS TIMESTAMP) AS min_time, CAST(NULL AS TIMESTAMP) AS max_time FROM lineitem"""
         for c in NUMBERS
     ]
     + [
-        f"SELECT '{c}', count({c}), NULL, NULL, NULL, NULL, min({c}), max({c}) FROM lineitem"
+        f"SELECT '{c}', count({c}), NULL, NULL, NULL, NULL, min({c}), max({c}), NULL, NULL FROM lineitem"
         for c in TEXTS
     ]
+    + [
+        f"SELECT '{c}', count({c}), NULL, NULL, NULL, NULL, NULL, NULL, min({c}), max({c}) FROM lineitem"
+        for c in TIMES
+    ]
 ))
 def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounded because the order of summation differs between engines; -0.0 shown as 0.0."""

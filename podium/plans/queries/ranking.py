@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from podium.functions.bands import Bands
@@ -97,6 +97,17 @@ def leaders_regrouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup_text(led, ["n_name"], ["p_brand"], ["p_brand", "awards"], "brands")
 
 
+@query(LEADER_SQL + """
+SELECT n_name, p_brand, awards,
+       CAST(row_number() OVER (PARTITION BY n_name ORDER BY p_brand) AS INTEGER) AS position
+FROM leaders
+""")
+def leader_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regrouped leaders as rows: the form for results of any length."""
+    in_order = Window.partitionBy("n_name").orderBy("p_brand")
+    return _brand_leaders(spark, sf_dir).withColumn("position", F.row_number().over(in_order))
+
+
 SIZE_BANDS = Bands.even(10, 50, 10)
 PRICE_BANDS = Bands.even(900, 1000, 20)
 QUANTITY_BANDS = Bands.even(0, 50, 5)

@@ -77,13 +77,13 @@ fact AS (
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their labels; quality and toxic are NULL where there is none."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     return documents.join(labels, "doc_id", "left")
 
 
 LABELLED_SQL = """
 labelled AS (
-  SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 )"""

@@ -9,12 +9,12 @@ from podium.sources.readers import (
     read_format,
 )
 from podium.sources.scratch import scratch_path, shared_dir, stage
-from podium.sources.sinks import convert_dialect, export_single, write_csv, write_parquet
+from podium.sources.sinks import convert_dialect, export_sorted, write_csv, write_parquet
 
 __all__ = [
     "convert_dialect",
     "dimension",
-    "export_single",
+    "export_sorted",
     "infer_csv_schema",
     "read_code_dimension",
     "read_csv_inferred",

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from podium.functions.predicates import quoted
 from podium.sources.readers import read_csv_typed
 
 CODE_SCHEMA = "NOC string, region string, notes string"
@@ -32,7 +33,7 @@ def dimension(
     """
     table = pa.table({key: list(entries.keys()), value: list(entries.values())})
     frame = spark.createDataFrame(table)
-    casts = {c: F.col(c).cast(t) for c, t in ((key, key_type), (value, value_type)) if t}
+    casts = {c: quoted(c).cast(t) for c, t in ((key, key_type), (value, value_type)) if t}
     return frame.withColumns(casts) if casts else frame
 
 

@@ -4,12 +4,37 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from podium.functions.predicates import quoted
 from podium.sources.readers import csv_options, read_csv_text
-from podium.sources.scratch import scratch_path
 
-SINGLE_FILE_BYTES = 128 * 1024 * 1024
+# Microseconds are kept; readers need no pattern for them.
+_TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
+def _unbroken(df: DataFrame, line_sep: str | None, null_value: str | None) -> DataFrame:
+    """The same rows; a text that the file could not give back ends the job.
+
+    That is one with a character that ends a record, or one equal to the mark for NULL.
+    """
+    breaks = re.escape(line_sep) if line_sep else r"[\r\n]"
+
+    def checked(name: str) -> Column:
+        text = quoted(name)
+        lost = text.rlike(breaks)
+        if null_value:
+            lost = lost | (text == F.lit(null_value))
+        message = F.lit(f"a text in column {name} can't be written to this CSV without loss")
+        return F.when(lost, F.raise_error(message)).otherwise(text).alias(name)
+
+    texts = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
+    return df.select(*[checked(c) if c in texts else quoted(c) for c in df.columns])
 
 
 def write_csv(
@@ -20,15 +45,33 @@ def write_csv(
     sep: str = ",",
     encoding: str = "UTF-8",
     null_value: str | None = None,
+    line_sep: str | None = None,
+    exact: bool = False,
 ) -> None:
-    """A folder of CSV files with headers. ``mode="errorifexists"`` protects old results."""
-    df.write.mode(mode).options(**csv_options(sep, encoding, null_value)).csv(path)
+    """A folder of CSV files with headers. ``mode="errorifexists"`` protects old results.
+
+    With ``exact`` every text comes back as it is, line breaks and empty texts
+    too, when read with ``exact``. Without it, for other programs, a line break
+    inside a text would end its record, so such a text is an error; an empty text
+    and NULL look alike.
+    """
+    options = csv_options(sep, encoding, null_value, line_sep=line_sep, exact=exact)
+    # A mark the caller chose for NULL may also be a value, as in published files; ours may not.
+    own_mark = options["nullValue"] if exact else None
+    safe = _unbroken(df, options.get("lineSep"), own_mark)
+    safe.write.mode(mode).options(**options, **_TIMES).csv(path)
 
 
 def write_parquet(
     df: DataFrame, path: str, *, mode: str = "overwrite", partition_by: list[str] | None = None
 ) -> None:
-    """A folder of parquet files, optionally one subfolder per partition value."""
+    """A folder of parquet files, optionally one subfolder per partition value.
+
+    Rows are first rebalanced on those values, which merges small shares of one
+    value and splits large ones, so files come out of like size.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     df.write.mode(mode).partitionBy(*partition_by or []).parquet(path)
 
 
@@ -42,46 +85,26 @@ def convert_dialect(
     encoding: str = "UTF-8",
     drop_pattern: str | None = None,
     mode: str = "overwrite",
+    line_sep: str | None = None,
+    exact: bool = False,
 ) -> None:
     """Rewrite a CSV with another separator, value texts unchanged.
 
     Columns whose name matches ``drop_pattern``, such as a saved row index, are left out.
+    ``exact`` is for a source written with it, and holds for the target too.
     """
-    df = read_csv_text(spark, source, sep=from_sep, encoding=encoding)
+    df = read_csv_text(spark, source, sep=from_sep, encoding=encoding, line_sep=line_sep, exact=exact)
     if drop_pattern is not None:
         df = df.drop(*[c for c in df.columns if re.search(drop_pattern, c)])
-    write_csv(df, target, mode=mode, sep=to_sep, encoding=encoding)
+    write_csv(df, target, mode=mode, sep=to_sep, encoding=encoding, line_sep=line_sep, exact=exact)
 
 
-def export_single(
-    df: DataFrame,
-    path: str,
-    sort: list[str],
-    *,
-    sep: str = ",",
-    mode: str = "overwrite",
-    max_bytes: int = SINGLE_FILE_BYTES,
-) -> bool:
-    """Write a result as one sorted CSV file with one header; True when it did.
+def export_sorted(
+    df: DataFrame, path: str, sort: list[str], *, sep: str = ",", mode: str = "overwrite", exact: bool = False
+) -> None:
+    """Write a result as sorted CSV files, each with a header, whose names follow the sort order.
 
-    The result is computed in parallel and stored once. If that copy is within
-    ``max_bytes``, it is rewritten as one file. If not, the same rows are
-    written in range-sorted files, whose names follow the sort order.
+    Rows are sorted by range in parallel, so any size does; read in the order of their names, the
+    files hold the rows in order.
     """
-    spark = df.sparkSession
-    stored = scratch_path(spark, "export")
-    write_parquet(df, stored)
-    result = spark.read.schema(df.schema).parquet(stored)
-    single = _size_of(spark, stored) <= max_bytes
-    ordered = (
-        result.coalesce(1).sortWithinPartitions(*sort) if single else result.orderBy(*sort)
-    )
-    write_csv(ordered, path, mode=mode, sep=sep)
-    return single
-
-
-def _size_of(spark: SparkSession, path: str) -> int:
-    """Bytes below ``path``, asked of its file system."""
-    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return files.getContentSummary(location).getLength()
+    write_csv(df.orderBy(*sort), path, mode=mode, sep=sep, exact=exact)

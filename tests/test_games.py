@@ -115,10 +115,14 @@ def test_environments_file(tmp_path):
     assert loaded["store"].conf == {"spark.sql.shuffle.partitions": "2000"}
 
 
-@pytest.mark.parametrize("stage", [False, True])
-def test_job_writes_every_analysis(spark, path, tmp_path, stage, capsys):
+@pytest.mark.parametrize("stage, sep", [(False, ","), (True, ","), (True, ";")])
+def test_job_writes_every_analysis(spark, path, tmp_path, stage, sep, capsys):
+    if sep == ";":
+        path = str(tmp_path / "cleaned.csv")
+        lines = [line.replace('"Al ""Bob"", Jr."', "Al Bob").replace(",", ";").replace(";NA;", ";;") for line in [HEADER, *ENTRIES]]
+        (tmp_path / "cleaned.csv").write_text("\n".join(lines) + "\n", encoding="UTF-8")
     place = job.Environment(path, str(tmp_path / "out"))
-    written = job.run(spark, place, analyses=list(job.ANALYSES), stage=stage, preview=2, explain=not stage)
+    written = job.run(spark, place, analyses=list(job.ANALYSES), stage=stage, preview=2, explain=not stage, sep=sep)
     assert set(written) == set(job.ANALYSES)
 
     def read(target):
@@ -135,6 +139,10 @@ def test_job_writes_every_analysis(spark, path, tmp_path, stage, capsys):
     ]
     assert read(written["imputed"]).filter("Age IS NULL OR Height IS NULL OR Weight IS NULL").count() == 0
     assert read(written["missing_by_games"]).first()[:] == ("1956 Summer", "1", "1")
+    assert read(written["format_check"]).first()[:] == ("Games", games.GAMES_FORMAT, "0")
+    assert read(written["distinct_rows"]).first()[0] == "8"
+    assert read(written["host_enrichment"]).filter("Host_Country = 'ITA'").count() == 4
+    assert read(written["column_catalog"]).count() == 15
     assert ("Physical Plan" in capsys.readouterr().out) is not stage
 
 

@@ -335,3 +335,38 @@ def test_column_and_set_operators(spark, untidy):
     one = spark.sql("SELECT 1 AS a, 'x' AS b")
     other = spark.sql("SELECT 'x' AS b, 1 AS a")
     assert [tuple(r) for r in union_all([one, other, one]).collect()] == [(1, "x")] * 3
+
+
+def test_offsets_with_missing_and_negative_counts(spark):
+    counts = spark.createDataFrame([(1956, "A", -5), (1960, "A", 3), (1964, None, None)], "y int, g string, n bigint")
+    (got,) = compare_offsets(counts, {1960: "A"}, period="y", group="g", offsets=(-4, 4, 8)).collect()
+    assert (got.n_host, got.n_other1, got.n_other2) == (3, -5, 0)
+    assert (got.other1_in_range, got.other2_in_range, got.other3_in_range) == (True, True, False)
+
+
+def test_offsets_with_a_pair_given_twice(spark):
+    counts = spark.createDataFrame([(1960, "A", 3)], "y int, g string, n bigint")
+    marked = spark.createDataFrame([(1960, "A"), (1960, "A")], "y int, g string")
+    (got,) = compare_offsets(counts, marked, period="y", group="g").collect()
+    assert got.n_host == 3
+
+
+def test_names_with_dots(spark):
+    rows = spark.createDataFrame([(1956, "NA"), (1960, None)], "`the.year` int, `a b.c` string")
+    assert [r[2] for r in enrich(rows, {1956: "AUS"}, "the.year", "host.noc").orderBy("`the.year`").collect()] == ["AUS", None]
+    assert missing_by_group(rows, "the.year", {"no.c": "a b.c"}).first()[:] == (1960, 1)
+    assert sentinel_by_group(rows, "the.year", {"no.c": "a b.c"}).first()[:] == (1956, 1)
+
+
+def test_an_empty_match_is_a_violation(spark):
+    from podium.operators import format_report
+
+    rows = spark.createDataFrame([("a1",), ("",), (None,)], "c string")
+    assert format_report(rows, {"c": "[0-9]*$"}).first()[:] == ("c", "[0-9]*$", 1)
+    assert format_report(rows, {"c": "[0-9]*$"}, include_null=True).first()[2] == 2
+
+
+def test_profile_of_times(spark):
+    rows = spark.sql("SELECT date'2024-01-02' AS d, timestamp_ntz'2024-01-02 03:04:05.000006' AS t")
+    got = {r.column_name: r for r in table_profile(rows).collect()}
+    assert str(got["t"].max_time) == "2024-01-02 03:04:05.000006" and str(got["d"].min_time).startswith("2024-01-02")

@@ -59,7 +59,7 @@ def test_profile_reads_every_column_once(plan):
         for schema in re.findall(r"ReadSchema: struct<([^>]*)>", plan("table_profile"))
         for column in re.findall(r"(\w+):", schema)
     ]
-    assert len(read) == len(set(read)) == 10
+    assert len(read) == len(set(read)) == 11
 
 
 @pytest.mark.parametrize("name", ["topk_per_group", "leader_per_group", "games_top_countries"])
@@ -120,3 +120,37 @@ def test_hot_join_key_is_split(spark, tmp_path):
     for name in ("orders", "customer", "nation"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet/*.parquet'")
     assert sorted(map(tuple, rows)) == sorted(connection.execute(REGISTRY["group_count"].sql).fetchall())
+
+
+GAMES = [n for n in REGISTRY if n.startswith("games_")]
+
+
+@pytest.mark.parametrize("name", GAMES)
+def test_season_is_tested_below_the_joins(plan, name):
+    text = plan(name)
+    (scan,) = re.findall(r"FileScan parquet [^\n]*lineitem\.parquet[^\n]*", text)
+    # The condition on the season's source column is in the filter right above its scan.
+    above = text[: text.index(scan)].splitlines()[-4:]
+    assert any("Filter" in line and "l_linestatus" in line for line in above)
+    assert scans(text, "region") == 0
+
+
+def test_values_are_counted_before_they_meet_the_codes(plan):
+    text = plan("domain_leak_check")
+    assert re.search(r"Join[\s\S]*HashAggregate\(keys=\[c_mktsegment", text)
+
+
+def test_band_combinations_are_counted_before_they_are_laid_out(plan):
+    lines = plan("mode_band_per_group").splitlines()
+    generate = next(i for i, line in enumerate(lines) if "Generate inline" in line)
+    assert any("HashAggregate" in line for line in lines[generate:])
+
+
+def test_partitioned_files_are_rebalanced(spark, tmp_path):
+    from podium.sources import write_parquet
+
+    target = str(tmp_path / "out")
+    write_parquet(spark.range(1000).selectExpr("id", "id % 3 AS part").repartition(8), target, partition_by=["part"])
+    import glob
+
+    assert len(glob.glob(f"{target}/part=*/*.parquet")) == 3

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from podium.sources import (
     convert_dialect,
     dimension,
-    export_single,
+    export_sorted,
     infer_csv_schema,
     read_code_dimension,
     read_csv_inferred,
@@ -102,20 +102,12 @@ def read_lines(folder):
     return [open(f).read().splitlines() for f in sorted(glob.glob(folder + "/part-*"))]
 
 
-def test_single_file_export(spark, tmp_path):
-    frame = spark.range(1000).selectExpr("999 - id AS v", "concat('x', id) AS t").repartition(7)
-    target = str(tmp_path / "single")
-    assert export_single(frame, target, ["v"])
-    (only,) = read_lines(target)
-    assert only[0] == "v,t" and [int(line.split(",")[0]) for line in only[1:]] == list(range(1000))
-
-
-def test_export_beyond_the_bound_stays_whole(spark, tmp_path):
+def test_sorted_export_keeps_its_order_across_files(spark, tmp_path):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        frame = spark.range(1000).selectExpr("999 - id AS v", "concat('x', id) AS t")
+        frame = spark.range(1000).selectExpr("999 - id AS v", "concat('x', id) AS t").repartition(7)
         target = str(tmp_path / "several")
-        assert not export_single(frame, target, ["v"], max_bytes=100)
+        export_sorted(frame, target, ["v"])
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     files = read_lines(target)
@@ -123,6 +115,46 @@ def test_export_beyond_the_bound_stays_whole(spark, tmp_path):
     assert [int(line.split(",")[0]) for lines in files for line in lines[1:]] == list(range(1000))
 
 
+AWKWARD = ["", None, " x ", "\t", "a\nb", "a\r\nb", "\r", 'say "hi"', '""', "back\\slash", "\\", "a,b;c", "NA", "é", "\u2028"]
+
+
+@pytest.mark.parametrize("sep", [",", ";"])
+def test_exact_csv_gives_every_text_back(spark, tmp_path, sep):
+    frame = spark.createDataFrame(list(enumerate(AWKWARD)), "id int, text string").repartition(3)
+    target = str(tmp_path / "exact")
+    write_csv(frame, target, sep=sep, exact=True)
+    assert rows(read_csv_typed(spark, target, frame.schema, sep=sep, exact=True)) == list(enumerate(AWKWARD))
+    other = ";" if sep == "," else ","
+    convert_dialect(spark, target, target + "2", from_sep=sep, to_sep=other, exact=True)
+    assert rows(read_csv_typed(spark, target + "2", frame.schema, sep=other, exact=True)) == list(enumerate(AWKWARD))
+
+
+@pytest.mark.parametrize("options, text", [({}, "a\nb"), ({}, "a\rb"), ({"exact": True}, "a\x1eb"), ({"exact": True}, "\\N")])
+def test_a_text_that_would_be_lost_ends_the_job(spark, tmp_path, options, text):
+    frame = spark.createDataFrame([(1, text)], "id int, text string")
+    with pytest.raises(Exception, match="without loss"):
+        write_csv(frame, str(tmp_path / "lost"), **options)
+
+
+def test_plain_csv_keeps_blanks_and_microseconds(spark, tmp_path):
+    frame = spark.sql("SELECT 1 AS id, '  l ' AS text, timestamp_ntz'2024-01-02 03:04:05.778549' AS t, timestamp'2024-01-02 03:04:05.000001' AS z")
+    target = str(tmp_path / "plain")
+    write_csv(frame, target)
+    assert rows(read_csv_typed(spark, target, frame.schema)) == rows(frame)
+
+
+def test_multi_line_reads_foreign_breaks(spark, tmp_path):
+    path = tmp_path / "foreign.csv"
+    path.write_text('id,text\n1,"a\nb"\n2,c\n', encoding="UTF-8")
+    assert rows(read_csv_typed(spark, str(path), "id int, text string", multi_line=True)) == [(1, "a\nb"), (2, "c")]
+
+
+def test_named_format_takes_a_schema(spark, tmp_path):
+    path = str(tmp_path / "json")
+    spark.range(3).selectExpr("cast(id AS int) AS v").write.json(path)
+    assert read_format(spark, path, "json", schema="v int").dtypes == [("v", "int")]
+
+
 def test_dimension_is_a_local_relation(spark):
     frame = dimension(spark, {1956: "AUS", 1960: "ITA"}, "Year", "Country", "int")
     assert frame.dtypes == [("Year", "int"), ("Country", "string")]
@@ -134,3 +166,17 @@ def test_scratch_paths_are_new_and_shared(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     first, second = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert first != second and first.startswith(shared + "/x-")
+
+
+class Unset:
+    """A session whose shared folder is not set."""
+
+    class conf:
+        get = staticmethod(lambda key, default=None: {"spark.sql.warehouse.dir": "hdfs://cluster/warehouse/"}.get(key, default))
+
+    class sparkContext:
+        getConf = staticmethod(dict)
+
+
+def test_without_a_shared_folder_scratch_is_in_the_warehouse():
+    assert scratch_path(Unset, "x").startswith("hdfs://cluster/warehouse/scratch/x-")
