@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2 << 20  # text handled at a time in a task; a longer document is a block of its own
 
+HASHED_BYTES = 1 << 18
+
+_LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)  # A to Z as a to z
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -79,12 +82,14 @@ _WORDS, _RUNS = (Rolling(3), Rolling(5)), (Rolling(7), Rolling(9))
 class WordBlock:
     """The words of a block of documents: where they are, which document they are in, and their hashes."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, lower: bool = False):
         texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
         _, offsets, data = texts.buffers()
         offsets = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
         first, last = int(offsets[0]), int(offsets[-1])
         self.data = np.frombuffer(data, dtype=np.uint8)[first:last] if data is not None and last > first else np.zeros(0, np.uint8)
+        if lower:
+            self.data = _LOWER[self.data]
         bounds = offsets - first
         space = _IS_SPACE[self.data]
         inside = ~space
@@ -103,7 +108,16 @@ class WordBlock:
         self.bounds = bounds
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        return _WORDS[which].spans(_BYTES[which][self.data], self.starts, self.ends)
+        """A 64-bit hash of each word; ``which`` chooses one of two."""
+        out = np.empty(len(self.starts), dtype=np.uint64)
+        at = 0
+        while at < len(out):  # a portion of the text at a time, so that what is held for each byte stays small
+            upto = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + HASHED_BYTES, side="right")))
+            a, b = self.starts[at], self.ends[upto - 1]
+            values = _BYTES[which][self.data[a:b]]
+            out[at:upto] = _WORDS[which].spans(values, self.starts[at:upto] - a, self.ends[at:upto] - a)
+            at = upto
+        return out
 
     def code_points(self) -> np.ndarray:
         """The number of code points before each byte, and before the end."""
