@@ -34,12 +34,13 @@ def _vote(votes: np.ndarray, doc: np.ndarray, hashes: tuple[np.ndarray, np.ndarr
     """Add each term's weight to the bits it sets, and take it from the others; terms are in the order of documents."""
     for at in range(0, len(doc), VOTES_AT_ONCE):
         part = slice(at, at + VOTES_AT_ONCE)
-        raw = np.stack([h[part].astype(">u8") for h in hashes], axis=1).view(np.uint8)
-        bits = np.unpackbits(raw.reshape(-1, BITS // 8), axis=1) * weights[part, None]
+        raw = np.stack([h[part] for h in hashes], axis=1).astype(">u8").view(np.uint8)
+        # Sums of so few small weights are exact in 32-bit floats.
+        bits = np.unpackbits(raw.reshape(-1, BITS // 8), axis=1).astype(np.float32)
+        weight = weights[part].astype(np.float32)
         heads = np.flatnonzero(np.diff(doc[part], prepend=-1))
-        owners = doc[part][heads]
-        votes[owners] += 2 * np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
-        votes[owners] -= np.add.reduceat(weights[part], heads, dtype=np.int64)[:, None]
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(weight)], strict=True):
+            votes[doc[at + a]] += (2 * (weight[a:b] @ bits[a:b]) - weight[a:b].sum()).astype(np.int64)
 
 
 def fingerprints(texts: pa.Array) -> np.ndarray:
@@ -77,10 +78,12 @@ RESULT = (
 )
 
 
-def _compared(rows: list[tuple]) -> pa.RecordBatch:
-    """Rows (doc_id, key, text, text that follows) with their fingerprints and those of the edited texts."""
-    changed = [edited(t, f) for _, _, t, f in rows]
-    own, other, new = (fingerprints(pa.array(x, pa.string())) for x in ([r[2] for r in rows], [r[3] for r in rows], changed))
+def _compared(held: list[tuple]) -> pa.RecordBatch:
+    """For documents (doc_id, key, text) in order, each but the last with its fingerprint, that of its edited text, and how near they and the next are."""
+    rows = held[:-1]
+    changed = [edited(a[2], b[2]) for a, b in zip(held, held[1:])]
+    every, new = (fingerprints(pa.array(x, pa.string())) for x in ([r[2] for r in held], changed))
+    own, other = every[:-1], every[1:]
     columns = [
         pa.array([r[0] for r in rows], pa.int64()),
         pa.array([r[1] for r in rows], pa.int64()),
@@ -128,7 +131,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
                     held.insert(0, last)
                 last = held[-1]
                 if len(held) > 1:
-                    done = _compared([(*a, b[2]) for a, b in zip(held, held[1:])])
+                    done = _compared(held)
                     none = pa.nulls(done.num_rows, pa.string())
                     yield pa.RecordBatch.from_arrays([*done.columns, none, none], [*names, "edge", "text"])
         if last is not None:
@@ -149,7 +152,8 @@ def with_edits(docs: DataFrame) -> DataFrame:
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch):
-                yield _compared(list(zip(*[part.column(i).to_pylist() for i in range(4)], strict=True)))
+                for doc_id, key, text, following in zip(*[part.column(i).to_pylist() for i in range(4)], strict=True):
+                    yield _compared([(doc_id, key, text), (None, None, following)])
 
     return found.filter("edge IS NULL").drop("edge", "text").unionByName(pairs.mapInArrow(finish, RESULT))
 
