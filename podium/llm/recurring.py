@@ -42,9 +42,10 @@ class Corpus:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), document_key().alias("key"), text.alias("text"))
         chars = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
         self.n_blocks = max(1, -(-chars // BLOCK_CHARS))
-        block = F.pmod(F.xxhash64("key"), F.lit(self.n_blocks)).cast("int")
+        # Another hash than the key's: documents are told apart by both.
+        block = F.pmod(F.hash("doc_id", "text"), F.lit(self.n_blocks)).cast("int")
         self.blocks = rows.select(block.alias("block"), "doc_id", "key", "text")
-        digests = stage(rows.select("doc_id", "key", F.xxhash64("text").alias("h1"), F.md5(F.col("text").cast("binary")).alias("h2")).distinct(), f"{name}-texts")
+        digests = stage(rows.select("doc_id", "key", block.alias("block"), F.xxhash64("text").alias("h1"), F.md5(F.col("text").cast("binary")).alias("h2")).distinct(), f"{name}-texts")
         order = [F.col("doc_id").asc_nulls_first(), F.col("key").asc()]
         ranged = digests.select("doc_id", "key").repartitionByRange(*order).sortWithinPartitions(*order)
         ranged = stage(ranged.withColumn("id", F.monotonically_increasing_id()), f"{name}-order")
@@ -54,12 +55,13 @@ class Corpus:
         before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         offsets = sizes.select("part", before.alias("before"))
         numbered = ranged.join(offsets, part == F.col("part")).select(
-            F.col("key").alias("k"), (F.col("before") + F.col("id").bitwiseAND((1 << 33) - 1)).alias("number")
+            F.col("doc_id").alias("d"), F.col("key").alias("k"), (F.col("before") + F.col("id").bitwiseAND((1 << 33) - 1)).alias("number")
         )
-        known = stage(digests.join(numbered, F.col("key") == F.col("k")).drop("k"), f"{name}-numbers")
+        same = (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))
+        known = stage(digests.join(numbered, same).drop("k", "d"), f"{name}-numbers")
         first = known.groupBy("h1", "h2").agg(F.min("number").alias("of")).withColumnsRenamed({"h1": "g1", "h2": "g2"})
         joined = known.join(first, F.col("h1").eqNullSafe(F.col("g1")) & F.col("h2").eqNullSafe(F.col("g2")))
-        self.info = stage(joined.select("key", block.alias("block"), "doc_id", "number", "of"), f"{name}-info")
+        self.info = stage(joined.select("key", "block", "doc_id", "number", "of"), f"{name}-info")
 
     def told(self) -> DataFrame:
         """For each block, rows (block, kind, a, b): key and number of its documents, the number COPY for those equal to an earlier one."""

@@ -130,6 +130,7 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     key = "__simhash_key"
     rows = grouped(docs, radius)
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("head"))
-    heads = best.select(F.col("head.key").alias("__head"))
+    heads = best.select(F.col("head.key").alias("__head"), F.col("head.doc_id").alias("__id"))
     keyed = docs.withColumn(key, document_key())
-    return keyed.join(heads, keyed[key] == heads["__head"], "left_semi").dropDuplicates([key]).drop(key)
+    same = (keyed[key] == heads["__head"]) & keyed["doc_id"].eqNullSafe(heads["__id"])
+    return keyed.join(heads, same, "left_semi").dropDuplicates([key, "doc_id"]).drop(key)

@@ -68,15 +68,16 @@ def copies_of_block(table: pa.Table, told: pa.Table) -> pa.Table:
     rows = np.asarray(told.column("kind")) == DOCUMENT_ROWS
     copies = {k for k, n in zip(np.asarray(told.column("a"))[rows].tolist(), np.asarray(told.column("b"))[rows].tolist(), strict=True) if n == COPY}
     out: list[tuple] = []
+    block = table.column("block")[0].as_py() if table.num_rows else 0
     for key, text in zip(table.column("key").to_pylist(), table.column("text").to_pylist(), strict=True):
         if key in copies and text:
             copies.discard(key)
             n = len(text.encode().split())
             if n >= MATCH_WORDS:
-                out.append((key, len(text) - len(text.lstrip(recurring.BLANKS)), len(text.rstrip(recurring.BLANKS)), n))
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-    columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "begins", "ends", "n_words"])
+                out.append((block, key, len(text) - len(text.lstrip(recurring.BLANKS)), len(text.rstrip(recurring.BLANKS)), n))
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    columns = list(zip(*out, strict=True)) if out else [[], [], [], [], []]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["block", "key", "begins", "ends", "n_words"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -97,8 +98,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     told = recurring.with_runs(corpus, runs).withColumn("c", F.lit(0)).unionAll(matches)
     blocks = corpus.blocks.groupBy("block")
     spans = blocks.cogroup(told.groupBy("block")).applyInArrow(spans_of_block, SPANS)
-    whole = blocks.cogroup(corpus.told().groupBy("block")).applyInArrow(copies_of_block, "key long, begins int, ends int, n_words int")
-    copied = whole.join(corpus.info.select("key", "number", "of"), "key").select("number", "begins", "ends", "n_words", "of", F.lit(0).alias("of_word"))
+    whole = blocks.cogroup(corpus.told().groupBy("block")).applyInArrow(copies_of_block, "block int, key long, begins int, ends int, n_words int")
+    copied = whole.join(corpus.info.select("block", "key", "number", "of"), ["block", "key"]).select("number", "begins", "ends", "n_words", "of", F.lit(0).alias("of_word"))
     ids = corpus.info.select("number", "doc_id")
     sources = ids.select(F.col("number").alias("of"), F.col("doc_id").alias("of_doc_id"))
     found = spans.unionAll(copied).join(ids, "number").join(sources, "of")
