@@ -27,8 +27,8 @@ PIECE_CHARS = 1 << 16  # text fed at a time
 OPEN_CHARS = 1 << 12  # a run of one kind longer than this is fed on before it ends
 CHECK_BYTES = 1 << 12  # undecided bytes before looking for what is stable
 CACHED_BYTES = 64  # longest run whose encoding is kept
-CACHED_RUNS = 400_000
-CACHED_PAIRS = 500_000
+CACHED_RUNS = 120_000  # in each of two generations
+CACHED_PAIRS = 300_000
 OUTPUT_BYTES = 4 << 20
 
 # The published pattern of this kind of vocabulary, and the letters and digits that came after Unicode 16.0, which
@@ -98,6 +98,7 @@ class Merges:
             self.parts.setdefault(self.ids[raw[left] + raw[right]], (a, b, rank))
         self._pairs: dict[int, bool] = {}
         self._runs: dict[str, bytes] = {}
+        self._older_runs: dict[str, bytes] = {}
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether token ``b`` stays apart from token ``a`` before it."""
@@ -132,9 +133,9 @@ class Merges:
         if found is None:
             raw = text.encode()
             if len(raw) <= CACHED_BYTES:
-                found = array("I", self._path(raw)).tobytes()
-                if len(self._runs) >= CACHED_RUNS:
-                    self._runs.clear()
+                found = self._older_runs.get(text) or array("I", self._path(raw)).tobytes()
+                if len(self._runs) >= CACHED_RUNS:  # what is asked for again is kept, the rest goes
+                    self._older_runs, self._runs = self._runs, {}
                 self._runs[text] = found
             else:
                 coder = RunEncoder(self)
@@ -392,6 +393,20 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return narrow.mapInArrow(run, "doc_id long, ids binary")
 
 
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """What :func:`encode` and :func:`decode` give one after the other (doc_id, ids, text), by one Python process for each task, not two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules = merges(path)
+        for batch in batches:
+            coded = ((d, encode_text(t.as_py(), rules)) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+            rows = ((d, ids, decode_ids(ids, rules)) for d, ids in coded)
+            yield from _in_portions(["doc_id", "ids", "text"], rows, [pa.int64(), pa.binary(), pa.string()])
+
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, ids binary, text string")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``doc_id``, ``ids`` and ``text`` for the rows of ``encode``; null ids give an empty text, and broken UTF-8 the replacement character."""
 

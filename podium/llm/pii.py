@@ -16,9 +16,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.sources.scratch import stage
@@ -302,12 +301,6 @@ def _joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def _batches(texts: pd.Series, size: int = 256) -> Iterator[list[str | None]]:
-    values = list(texts)
-    for at in range(0, len(values), size):
-        yield values[at : at + size]
-
-
 def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """``doc_id``, ``base`` and ``spans``: what the rules find and everything, as ``kind:start:end`` joined by commas, for every row.
 
@@ -338,16 +331,16 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join(out) + text[at:]
 
 
-def redacted(text: Column, field: Field) -> Column:
-    """A column of texts without their personal data; null stays null."""
+def redacted(docs: DataFrame, field: Field) -> DataFrame:
+    """The rows of ``docs`` with texts without their personal data; null stays null, and other columns stay as they are."""
 
-    @F.pandas_udf("string")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out = []
-            for some in _batches(texts):
-                found = find_all(some, field)
-                out += [redact(t, spans) if spans else t for t, (_, spans) in zip(some, found, strict=True)]
-            yield pd.Series(out, dtype=object)
-
-    return clean(text)
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            for row in range(0, batch.num_rows, 256):
+                part = batch.slice(row, 256)
+                texts = part.column(at).to_pylist()
+                out = [redact(t, spans) if spans else t for t, (_, spans) in zip(texts, find_all(texts, field), strict=True)]
+                yield part.set_column(at, part.schema.field(at), pa.array(out, part.schema.field(at).type))
+
+    return docs.mapInArrow(clean, docs.schema)

@@ -76,7 +76,7 @@ def op4_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of the text that they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), path)
     return coded.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
