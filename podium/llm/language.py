@@ -10,11 +10,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from podium.sources.scratch import stage
+
 UNKNOWN = "und"
 SAMPLE_ROWS = 64  # texts a language is learned from
 SAMPLE_CHARS = 4096  # letters and spaces taken from each of them
@@ -46,6 +48,7 @@ def dictionaries(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMP
     first = Window.partitionBy("lang").orderBy("short", "hash")
     chosen = known.select("lang", "hash", "short").distinct().withColumn("place", F.row_number().over(first))
     chosen = chosen.filter(F.col("place") <= rows).select(F.col("lang").alias("l"), F.col("hash").alias("h"), "place")
+    chosen = stage(chosen, "language-samples")  # its size on disk is known when the join is planned
     found = known.join(chosen, (known["lang"] == chosen["l"]) & (known["hash"] == chosen["h"]))
     samples = found.groupBy("lang", "place").agg(F.first(F.substring("text", 1, 2 * chars)).alias("sample"))
     parts: dict[str, list[tuple[int, bytes]]] = {}
@@ -84,23 +87,6 @@ def classify(text: str | None, by_language: dict, min_margin: float = MIN_MARGIN
     return ranked[0][1], margin, margin >= min_margin
 
 
-def language_of(text: Column, learned: dict[str, bytes], min_margin: float = MIN_MARGIN) -> Column:
-    """A struct of ``language``, ``score`` and ``accepted`` for a column of texts.
-
-    A text that is null or has no letter is ``und`` and rejected. Equal sizes go to the language first by name, with score 0, and are rejected.
-    A rejected text still names its likeliest language.
-    """
-
-    @F.pandas_udf(RESULT)
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        by_language = compressors(learned)
-        for texts in batches:
-            found = [classify(t, by_language, min_margin) for t in texts]
-            yield pd.DataFrame(found, columns=["language", "score", "accepted"])
-
-    return predict(text)
-
-
 def held_out(doc_id: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
     """Whether the crc32 of the id's text leaves ``fold``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == fold
@@ -109,17 +95,32 @@ def held_out(doc_id: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
 def identify(docs: DataFrame, training: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame:
     """``doc_id`` and the prediction for every row of ``docs``; languages are learned from ``training`` (text, lang).
 
-    Repeated rows are predicted alike. Without any labelled text everything is ``und``. An empty table gives an empty result.
+    A text that is null or has no letter is ``und`` and rejected. Equal sizes go to the language first by name, with score 0, and are rejected.
+    A rejected text still names its likeliest language. Repeated rows are predicted alike. Without any labelled text everything is
+    ``und``. An empty table gives an empty result.
     """
     learned = dictionaries(training)
-    rows = docs.select("doc_id", language_of(F.col("text"), learned, min_margin).alias("found"))
-    return rows.select("doc_id", "found.language", "found.score", "found.accepted")
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_language = compressors(learned)
+        for batch in batches:
+            found = [classify(t.as_py(), by_language, min_margin) for t in batch.column("text")]
+            language, score, accepted = zip(*found, strict=True) if found else ([], [], [])
+            columns = [pa.array(language, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "language", "score", "accepted"])
+
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return narrow.mapInArrow(predict, f"doc_id long, {RESULT}")
 
 
 def keep_identified(docs: DataFrame, training: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame:
     """The rows of ``docs`` whose language is told with a wide enough margin, with their own columns."""
-    found = "__language"
-    while found in docs.columns:
-        found += "_"
-    judged = docs.withColumn(found, language_of(F.col("text"), dictionaries(training), min_margin))
-    return judged.filter(F.col(found)["accepted"]).drop(found)
+    learned = dictionaries(training)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_language = compressors(learned)
+        for batch in batches:
+            accepted = [classify(t.as_py(), by_language, min_margin)[2] for t in batch.column("text")]
+            yield batch.filter(pa.array(accepted, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
