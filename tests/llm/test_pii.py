@@ -99,6 +99,19 @@ def test_distant_like_words_agree(field):
     assert linked[pii.LABELS.index("phone")] > field.marginals(cut)[-1][pii.LABELS.index("phone")]
 
 
+def test_repeats_far_from_clear_context_are_labelled_alike(field):
+    import numpy as np
+
+    text = "call +1 (555) 555-0199 now" + " or later 555-0199 again" * 100
+    graph = pii.Graph()
+    graph.add(text, pii.marked_words(text))
+    bare = field.marginals(graph)[-100:]
+    assert len(bare) == 100 and np.ptp(bare, axis=0).max() < 1e-3
+    base, spans = pii.find_all([text], field)[0]
+    found = [text[a:b] for a, _, b in spans if (a, _, b) not in base]
+    assert found == ["555-0199"] * 100
+
+
 def test_messages_on_a_tree_are_exact(field):
     """Without cycles, enough rounds give the marginals of summing over all labellings."""
     import itertools
