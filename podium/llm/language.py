@@ -33,7 +33,10 @@ RESULT = "language string, score double, accepted boolean"
 
 def letters_only(text: str) -> bytes:
     """Runs of letters in lower case, one space between them."""
-    return " ".join(w for w in _LETTERS.findall(text.lower()) if w.isalpha()).encode()
+    runs = _LETTERS.findall(text.lower())
+    if not all(map(str.isalpha, runs)):  # numerals such as a superscript two are no letters
+        runs = "".join(c if c.isalpha() else " " for c in " ".join(runs)).split()
+    return " ".join(runs).encode()
 
 
 def dictionaries(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:

@@ -54,3 +54,8 @@ def test_a_copied_text_is_learned_from_once(spark):
     rows = [(i, "the same text again and again", "en") for i in range(500)] + [(1000, "another one entirely", "en")]
     (body,) = language.dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string")).values()
     assert body.count(b"the same text") == 1 and b"another one" in body
+
+
+def test_letters_beside_numerals_count():
+    assert language.letters_only("5 m² ½ x½y ab") == b"m x y ab" and language.letters_only("² ½ 3") == b""
+    assert language.classify("m²", language.compressors({"fr": b"le la les"}))[0] == "fr"
