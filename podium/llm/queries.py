@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from podium.llm import (
     bpe,
+    filter_audit,
     fingerprints,
     language,
     language_model,
     mixing,
+    packing,
     passages,
     pii,
+    ranked_search,
     simhash_links,
     suffixes,
     topk,
@@ -116,3 +119,22 @@ def op6_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probabilities of every document under the unigram base and the attention model."""
     return language_model.scored(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@corpus_query(filter_audit.SQL)
+def op11_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each language's documents, at each place of each order, with Shapley sums."""
+    return filter_audit.audit(filter_audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+@corpus_query()
+def op12_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1,024 tokens."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@corpus_query(ranked_search.SQL)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every item of the benchmark."""
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -1,0 +1,115 @@
+"""Ranked search against scores worked out one by one."""
+
+from __future__ import annotations
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from podium.llm import ranked_search
+from tests.llm.rows import PASSAGE, ROWS, SCHEMA, awkward, empty
+
+ITEMS = "item_id long, text string"
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+CAPITALS = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
+def plain_terms(text):
+    return [t.translate(CAPITALS) for t in TERM.findall(text or "")]
+
+
+def by_hand(docs, items, k=50):
+    found = [(d, Counter(plain_terms(t))) for d, t in docs]
+    found = [(d, c) for d, c in found if c]
+    holding = Counter(t for _, c in found for t in c)
+    n_docs, n_terms = len(found), sum(sum(c.values()) for _, c in found)
+    asked: dict = {}
+    for i, t in items:
+        asked.setdefault(i, set()).update(plain_terms(t))
+    out = []
+    for item, wanted in asked.items():
+        scores = []
+        for d, c in found:
+            m = 50 + (50 * sum(c.values()) * n_docs) // n_terms
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * holding[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 20 * m)) for t in wanted if c[t])
+            if score > 0:
+                scores.append((-score, d is None, d or 0))
+        out += [(item, rank, None if no_id else d, -score) for rank, (score, no_id, d) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out, key=repr)
+
+
+def found(spark, docs, items, **options):
+    return sorted(map(tuple, ranked_search.search(docs, items, **options).collect()), key=repr)
+
+
+def test_awkward_rows(spark):
+    items = [(1, PASSAGE), (2, None), (3, ""), (4, "ONE two é Ñ \U0001f600!"), (5, "nowhere"), (None, "word, WORD"), (None, "la"), (6, "le-la les"), (6, "un")]
+    got = found(spark, awkward(spark), spark.createDataFrame(items, ITEMS).withColumn("score", F.lit("x")).withColumn("terms", F.lit(1)))
+    assert got == by_hand([(r[0], r[1]) for r in ROWS], items)
+    assert len(got) > 10
+
+
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_ties_and_tiles(spark, monkeypatch, k):
+    draw = random.Random(k)
+    docs = [(draw.choice([None, i]), "hot common" if i % 3 == 0 else " ".join(draw.choices("abcdefgh", k=draw.randint(0, 6)))) for i in range(700)]
+    items = [(i, " ".join(draw.choices("abcdefgh", k=3)) + (" hot" if i % 2 else "")) for i in range(9)]
+    for name, value in (("TILE_ITEMS", 4), ("TILE_TERMS", 3), ("TILE_DOCS", 60), ("HELD", 40)):
+        monkeypatch.setattr(ranked_search, name, value)
+    # Tasks import the module anew, so tiles of these sizes are tried here, in one process.
+    want = by_hand(docs, items, k)
+    vocabulary = {t: i for i, t in enumerate(sorted({t for _, x in items for t in plain_terms(x)}))}
+    counted = [(d, Counter(plain_terms(t))) for d, t in docs if plain_terms(t)]
+    n_docs, n_terms = len(counted), sum(sum(c.values()) for _, c in counted)
+    holding = Counter(t for _, c in counted for t in c)
+    weights = np.array([ranked_search.weight(n_docs, holding[t]) for t in vocabulary])
+    numbered = [[vocabulary[t] for t in set(plain_terms(x))] for _, x in items]
+    tiles = [ranked_search.ItemTile(numbered[a : a + 4], weights) for a in range(0, 9, 4)]
+    best = ranked_search.Best(len(items), k)
+    for at in range(0, len(counted), 60):
+        some = counted[at : at + 60]
+        entries = [(i, vocabulary[t], n, ranked_search.length_norm(sum(c.values()), n_docs, n_terms)) for i, (_, c) in enumerate(some) for t, n in c.items() if t in vocabulary]
+        doc, term, count, norm = (np.array(x, np.int64) for x in zip(*entries, strict=True))
+        impact = ranked_search.SCALE * count // (1000 * count + 20 * norm)
+        ids = np.array([d or 0 for d, _ in some])
+        none = np.array([d is None for d, _ in some])
+        assert len(tiles[0].matrices) > 1
+        for number, tile in enumerate(tiles):
+            best.add(number * 4, tile.scores(len(some), doc, term, impact), ids, none)
+    rows = [(int(i), None if no else int(d), int(s)) for i, s, no, d in zip(*best.cut(), strict=True)]
+    assert sorted(rows, key=repr) == sorted(((i, d, s) for i, _, d, s in want), key=repr)
+    monkeypatch.undo()
+    got = found(spark, spark.createDataFrame([(d, t, None, None, None) for d, t in docs], SCHEMA), spark.createDataFrame(items, ITEMS), k=k)
+    assert got == want
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    draw = random.Random(3)
+    docs = [(i, " ".join(draw.choices("abcdefghijkl", k=draw.randint(1, 9)))) for i in range(90)]
+    items = [(i, " ".join(draw.choices("abcdefghijklm", k=4))) for i in range(30)]
+    monkeypatch.setattr(ranked_search, "BLOCK_TERMS", 20)
+    got = found(spark, spark.createDataFrame([(d, t, None, None, None) for d, t in docs], SCHEMA), spark.createDataFrame(items, ITEMS))
+    assert got == by_hand(docs, items)
+
+
+def test_nothing_to_search(spark):
+    items = spark.createDataFrame([(1, "a")], ITEMS)
+    docs = spark.createDataFrame([(1, "a", None, None, 1)], SCHEMA)
+    none = spark.createDataFrame([], ITEMS)
+    for some, asked in ((empty(spark), items), (docs, none), (empty(spark), none)):
+        got = ranked_search.search(some, asked)
+        assert got.collect() == [] and got.columns == ["item_id", "rank", "doc_id", "score"]
+
+
+def test_sums_stay_exact():
+    """Tiles get narrower as weights grow, so no partial sum reaches 2 ** 53."""
+    weights = np.array([2**31, 2**31 - 1, 7, 2**32], np.int64)
+    tile = ranked_search.ItemTile([[0, 1, 2, 3]], weights)
+    assert tile.width * int(weights.max()) * 10**6 < 2**53 and len(tile.matrices) == 2
+    got = tile.scores(1, np.zeros(4, np.int64), np.arange(4), np.full(4, 999_999, np.int64))
+    assert got[0, 0] == sum(int(w) * 999_999 for w in weights)
