@@ -9,9 +9,12 @@ larger one takes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from podium.llm.words import unused
 from podium.sources.scratch import stage
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -113,6 +116,24 @@ def takes(hash_: Column, threshold: Column) -> Column:
     return F.coalesce(F.when(threshold.startswith("<"), before).otherwise(hash_ <= threshold), F.lit(False))
 
 
+def _plan(rows: DataFrame, weights: tuple[float, ...], max_repeats: int) -> DataFrame:
+    """One row a source: ``of``, source_size, target, ``whole`` (times every document is taken), budget and threshold of one time more."""
+    goal = targets(rows, weights, max_repeats)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    goal = goal.withColumn("whole", whole.cast("int"))
+    goal = stage(goal.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
+    cut = thresholds(rows, goal.select("source", "budget"), ["source"])
+    return stage(
+        goal.join(cut.select(F.col("source").alias("cut_source"), "threshold"), F.col("source").eqNullSafe(F.col("cut_source")), "left"),
+        "mix-plan",
+    ).select(F.col("source").alias("of"), "source_size", "target", "whole", "budget", "threshold")
+
+
+def _repeats(hash_: Column, plan: Callable[[str], Column]) -> Column:
+    once_more = F.when(plan("budget") > 0, takes(hash_, plan("threshold"))).otherwise(False)
+    return plan("whole") + once_more.cast("int")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """How often the mix takes each document.
 
@@ -124,17 +145,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int
     of their source and hash. An empty table gives an empty result. Columns beyond doc_id, text and source play no part.
     """
     rows = stage(sized(docs), "mix-rows")
-    goal = targets(rows, weights, max_repeats)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    goal = goal.withColumn("whole", whole.cast("int"))
-    goal = stage(goal.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
-    cut = thresholds(rows, goal.select("source", "budget"), ["source"])
-    plan = stage(
-        goal.join(cut.select(F.col("source").alias("cut_source"), "threshold"), F.col("source").eqNullSafe(F.col("cut_source")), "left"),
-        "mix-plan",
-    ).select(F.col("source").alias("of"), "source_size", "target", "whole", "budget", "threshold")
-    once_more = F.when(F.col("budget") > 0, takes(F.col("hash"), F.col("threshold"))).otherwise(False)
-    repeats = F.col("whole") + once_more.cast("int")
+    plan = _plan(rows, weights, max_repeats)
+    repeats = _repeats(F.col("hash"), F.col)
     return rows.join(plan, rows["source"].eqNullSafe(plan["of"])).select(
         "doc_id", "source", "hash", "size", "source_size", "target",
         repeats.alias("repeats"), (F.col("size") * repeats).alias("taken"),
@@ -142,21 +154,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """The documents of the mix, each as many times as it is taken, with all their columns."""
-    key, repeats = "__mix_hash", "__mix_repeats"
-    chosen = mix(docs, weights, max_repeats)
-    # Equal hash and source means equal repeats, so one row for each is enough to find them again.
-    plan = chosen.groupBy("source", "hash").agg(F.max("repeats").alias(repeats)).select(
-        F.col("source").alias("__mix_source"), F.col("hash").alias(key), repeats
-    )
-    keyed = docs.withColumn("__mix_own", document_hash())
-    found = keyed.join(plan, keyed["source"].eqNullSafe(plan["__mix_source"]) & (keyed["__mix_own"] == plan[key]))
+    """The documents of the mix, each as many times as it is taken, with all their columns.
+
+    What a document needs to know is the threshold of its source, so rows meet one row a source and their texts are compared in place:
+    a document's own hash against it. Null sources are one source, null texts have no words and follow their hash, repeated rows are taken alike,
+    columns may have any names, texts any length. An empty table stays empty.
+    """
+    plan = _plan(stage(sized(docs), "mix-rows"), weights, max_repeats)
+    names = {c: unused(docs, f"mix_{c}") for c in plan.columns}
+    plan = plan.withColumnsRenamed(names)
+    found = docs.join(plan, docs["source"].eqNullSafe(plan[names["of"]]))
+    repeats, copy = unused(docs, "mix_repeats"), unused(docs, "mix_copy")
+    counted = found.withColumn(repeats, _repeats(document_hash(), lambda c: F.col(names[c])))
     copies = F.explode(F.sequence(F.lit(1), F.col(repeats)))
-    return found.filter(F.col(repeats) > 0).select(*[docs_column(c) for c in docs.columns], copies.alias("__mix_copy")).drop("__mix_copy")
+    return counted.filter(F.col(repeats) > 0).select(*[docs_column(c) for c in docs.columns], copies.alias(copy)).drop(copy)
 
 
 def docs_column(name: str) -> Column:
-    return F.col(f"`{name}`")
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 SQL = r"""

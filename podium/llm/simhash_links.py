@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.llm.components import connected
-from podium.llm.words import document_key
+from podium.llm.words import document_key, unused
 from podium.sources.scratch import stage
 
 SHINGLE_WORDS = 3
@@ -125,12 +125,13 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The documents without near-duplicates: of each component one row stays, with its own columns.
 
     It is that of smallest doc_id (a row without an id only if no row has one), among rows of that id one chosen by its text; of
-    repeated rows one stays.
+    repeated rows one stays. Null texts and texts without words are near-duplicates of each other. Texts are read whole, however long. Further columns may have
+    any names. An empty table stays empty.
     """
-    key = "__simhash_key"
+    key = unused(docs, "simhash_key")
     rows = grouped(docs, radius)
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("head"))
-    heads = best.select(F.col("head.key").alias("__head"), F.col("head.doc_id").alias("__id"))
+    heads = best.select(F.col("head.key").alias(unused(docs, "simhash_head")), F.col("head.doc_id").alias(unused(docs, "simhash_id")))
     keyed = docs.withColumn(key, document_key())
-    same = (keyed[key] == heads["__head"]) & keyed["doc_id"].eqNullSafe(heads["__id"])
+    same = (keyed[key] == heads[heads.columns[0]]) & keyed["doc_id"].eqNullSafe(heads[heads.columns[1]])
     return keyed.join(heads, same, "left_semi").dropDuplicates([key, "doc_id"]).drop(key)

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2 << 20  # text handled at a time in a task; a longer document is a block of its own
@@ -154,3 +154,11 @@ def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
 def document_key() -> Column:
     """A 64-bit key of a row's ``doc_id`` and ``text``; rows that repeat both share it."""
     return F.xxhash64("doc_id", "text")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside, or that other tables bring along.
-CLASHING = ["hash", "key", "block", "number", "size", "fp", "score", "rank", "edge", "place", "n", "hits", "root", "held_out", "language", "spans"]
+CLASHING = ["hash", "key", "block", "number", "size", "fp", "score", "rank", "edge", "place", "n", "hits", "root", "held_out", "language", "spans",
+            "simhash_key", "Simhash_Head", "simhash_id", "mix_of", "mix_whole", "mix_budget", "mix_threshold", "mix_repeats", "MIX_copy", "source_size", "target"]
 
 
 def prose(seed: int, n: int, words: int = 400) -> str:

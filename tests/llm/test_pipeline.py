@@ -18,7 +18,7 @@ import corpus_pipeline
 from podium.llm import language, simhash_links
 from podium.llm.queries import ORACLES, QUERIES
 from podium.sources.scratch import stage
-from tests.llm.rows import ROWS, SCHEMA, awkward, empty
+from tests.llm.rows import CLASHING, ROWS, SCHEMA, awkward, empty
 from tests.llm.test_mixing import shared_out
 from tests.llm.test_pii import plain_spans
 from tests.llm.test_simhash_links import plain_fingerprint
@@ -117,6 +117,8 @@ def test_each_stage_takes_awkward_and_no_rows(spark, name, make):
     got = dict(corpus_pipeline.STAGES)[name](spark, docs, SF_DIR)
     if name != "encode_bpe":
         assert got.columns == docs.columns
+        given = [docs.first()[c] for c in CLASHING] if make is awkward else []
+        assert all([r[c] for c in CLASHING] == given for r in got.collect())
     n = got.count()
     assert n == 0 if make is empty else n > 0
     if make is awkward and name in ("redact_pii", "encode_bpe"):
