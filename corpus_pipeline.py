@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import bpe, language, mixing, pii, shingle_links
+from podium.llm import bpe, language, mixing, pii, simhash_links
 from podium.sources.scratch import stage
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -19,18 +19,24 @@ TOKENIZER = "byte_bpe_50k.json"
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told clearly; those without letters, or as near to another language, go.
 
-    Languages are learned from the labelled documents that are not held out.
+    Languages are learned from the labelled documents that are not held out. Null texts go; an empty table stays empty.
     """
     return language.keep_identified(docs, docs.filter(~language.held_out()))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates, which share 80 % of their five-word shingles: the one of smallest doc_id."""
-    return shingle_links.drop_near_duplicates(docs)
+    """One document of each component of near-duplicates, whose fingerprints of three-word shingles differ in two bits at most: the one of smallest doc_id.
+
+    Texts without words share a fingerprint; further columns may have any names; an empty table stays empty.
+    """
+    return simhash_links.drop_near_duplicates(docs)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with ``[EMAIL]``, ``[IP]``, ``[CARD]`` and ``[PHONE]`` for personal data; n_chars follows the new text."""
+    """All documents, with ``[EMAIL]``, ``[IP]``, ``[CARD]`` and ``[PHONE]`` for personal data; n_chars follows the new text.
+
+    Null texts stay null, repeated rows stay, texts are read whole; an empty table stays empty.
+    """
     clean = pii.redacted(docs, pii.fit(docs))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -38,12 +44,18 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, each as often as it is taken: none, once, twice or three times."""
+    """The documents of the mix, each as often as it is taken: none, once, twice or three times.
+
+    Null sources are one source, repeated rows are taken alike; an empty table stays empty.
+    """
     return mixing.mixed_documents(docs)
 
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of them and of the text that they decode to."""
+    """Token ids of every document, with digests of them and of the text that they decode to; no other column is returned.
+
+    A null text has no ids and decodes to an empty one; repeated rows are encoded each; an empty table gives an empty result.
+    """
     path = public_tokenizers.path(TOKENIZER)
     coded = bpe.round_trip(docs, path)
     return coded.select(
