@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from podium.functions.predicates import SENTINEL, is_sentinel, quoted, violates_format
+from podium.operators.exact import exact_means, exact_moments, one_row
 from podium.sources.dimensions import codes as code_frame
 
 
@@ -94,9 +95,12 @@ def sentinel_by_group(
     )
 
 
-def table_profile(df: DataFrame) -> DataFrame:
+def table_profile(df: DataFrame, *, exact: bool = False) -> DataFrame:
     """Summary statistics of every number, text, date and time column, one row each.
 
+    ``exact`` takes mean and deviation of whole numbers and doubles from :func:`exact_moments`: the same for any order and partitioning of the rows, at the price
+    of two more readings of these columns. Otherwise they come from the one aggregation of the numbers and may differ in the last digits.
+
     Values keep their type: ``mean``, ``stddev``, ``min_number`` and
     ``max_number`` for numbers, ``min_text`` and ``max_text`` for text,
     ``min_time`` and ``max_time`` (without time zone) for dates and times.
@@ -106,15 +110,19 @@ def table_profile(df: DataFrame) -> DataFrame:
     down several times; and columnar files still read every column just once.
     """
 
+    numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+    summed = [c for c in numbers if exact and not isinstance(df.schema[c].dataType, T.DecimalType)]
+    moments = one_row(exact_moments(df, summed)) if summed else None
+
     def number(c: str) -> dict[str, Column]:
         value = quoted(c)
-        return {
-            "non_null": F.count(value),
-            "mean": F.avg(value).cast("double"),
-            "stddev": F.stddev_samp(value),
-            "min_number": F.min(value).cast("double"),
-            "max_number": F.max(value).cast("double"),
-        }
+        ends = {"non_null": F.count(value), "min_number": F.min(value).cast("double"), "max_number": F.max(value).cast("double")}
+        if c in summed:
+            return ends
+        return ends | {"mean": F.avg(value).cast("double"), "stddev": F.stddev_samp(value)}
+
+    def exactly(c: str) -> dict[str, Column]:
+        return {n: moments[f"{n}_{c}"] for n in ("mean", "stddev")} if c in summed else {}
 
     def text(c: str) -> dict[str, Column]:
         value = quoted(c)
@@ -128,10 +136,12 @@ def table_profile(df: DataFrame) -> DataFrame:
     times = [
         f.name for f in df.schema if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
     ]
-    numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     # Times are as cheap as numbers, but a row has the statistics of one kind.
-    parts = [_long(df, c, stats) for c, stats in ((numbers, number), (texts, text), (times, time)) if c]
+    kept = [c for c in numbers if c not in summed]
+    parts = [_long(df, c, stats) for c, stats in ((kept, number), (texts, text), (times, time)) if c]
+    if summed:
+        parts.append(_long(df, summed, number, exactly))
     if not parts:
         raise ValueError("the table has no number, text or time columns")
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -173,14 +183,26 @@ def distinct_row_count(df: DataFrame, *, approximate: bool = False) -> DataFrame
 def impute_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace NULLs by the mean of the column. Whole numbers become doubles.
 
-    The means are scalar subqueries over one shared aggregation: nothing goes
-    through the driver program and no join is needed. A column without any value
-    stays NULL.
+    Means come from :func:`exact_sums`, so a table read or dealt out another way is filled with the same values. They are one row that the rows meet as a
+    scalar subquery: nothing goes through the driver program and no join is needed. A column without any value stays NULL.
     """
-    means = df.agg(*[F.avg(quoted(c)).cast("double").alias(c) for c in columns])
-    return df.withColumns({
-        c: F.coalesce(quoted(c).cast("double"), means.select(quoted(c)).scalar()) for c in columns
-    })
+    kinds = {f.name: f.dataType for f in df.schema}
+    decimals = [c for c in columns if isinstance(kinds[c], T.DecimalType)]  # exact by themselves
+    others = [c for c in columns if c not in decimals]
+    filled = df
+    rows = []
+    if others:
+        rows.append((others, one_row(exact_means(df, others))))
+    if decimals:
+        rows.append((decimals, one_row(df.agg(*[F.avg(quoted(c)).cast("double").alias(c) for c in decimals]))))
+    for some, means in rows:
+        helper = "_means"
+        while helper in df.columns:
+            helper += "_"
+        filled = filled.withColumn(helper, means).withColumns({
+            c: F.coalesce(quoted(c).cast("double"), F.col(helper)[c]) for c in some
+        }).drop(helper)
+    return filled
 
 
 def format_report(df: DataFrame, patterns: dict[str, str], include_null: bool = False) -> DataFrame:

@@ -16,7 +16,8 @@ from podium.functions.bands import Bands
 from podium.functions.predicates import SENTINEL, in_scope, is_present
 from podium.operators.offsets import compare_offsets, enrich
 from podium.operators.quality import format_report
-from podium.operators.ranking import leaders, modal_bands, rollup_text, top_k
+from podium.operators.ranking import leaders, modal_bands, modes_of_counts, rollup_text, top_k
+from podium.operators.shared import SharedCounts, shared_counts
 from podium.operators.tally import tally
 from podium.operators.trend import growth_and_share
 from podium.sources.readers import read_csv_typed
@@ -68,6 +69,12 @@ GAMES_FORMAT = r"^\d{4} Summer$"
 AGE_BANDS = Bands.even(10, 80, 5)
 HEIGHT_BANDS = Bands.even(120, 220, 5)
 WEIGHT_BANDS = Bands.even(30, 150, 10)
+PROFILE = {
+    "Age_Bin": ("Age", AGE_BANDS),
+    "Height_Bin": ("Height", HEIGHT_BANDS),
+    "Weight_Bin": ("Weight", WEIGHT_BANDS),
+}
+GOLD = "Gold"
 
 
 def read_results(
@@ -92,7 +99,11 @@ def scope(
 
 def participation(results: DataFrame) -> DataFrame:
     """Entries by sex and year, growth since the previous games and share of the year."""
-    counts = tally(results, ["Sex", "Year"], of="ID", name="Participant_Count")
+    return participation_of(tally(results, ["Sex", "Year"], of="ID", name="Participant_Count"))
+
+
+def participation_of(counts: DataFrame) -> DataFrame:
+    """:func:`participation` from counts: ``Sex, Year, Participant_Count``."""
     trend = growth_and_share(counts, "Sex", "Year", "Participant_Count")
     return trend.select(
         "Year",
@@ -124,13 +135,13 @@ def entry_table(results: DataFrame, by: list[str]) -> DataFrame:
     return tally(results, by, name="MedalCount")
 
 
-def top_countries(results: DataFrame, k: int = 10, *, count=medal_table) -> DataFrame:
+def top_countries(results: DataFrame | SharedCounts, k: int = 10, *, count=medal_table) -> DataFrame:
     """The ``k`` best countries of each games as one text per year."""
     best = top_k(count(results, ["Year", "NOC"]), ["Year"], "MedalCount", ["NOC"], k)
     return rollup_text(best, ["Year"], ["rank"], ["NOC", "MedalCount"], f"Top{k}Countries")
 
 
-def dominant_sports(results: DataFrame, *, count=medal_table) -> DataFrame:
+def dominant_sports(results: DataFrame | SharedCounts, *, count=medal_table) -> DataFrame:
     """The sports each country leads, as one text per leading country."""
     best = leaders(count(results, ["NOC", "Sport"]), ["Sport"], "MedalCount", ["NOC"])
     return rollup_text(best, ["NOC"], ["Sport"], ["Sport", "MedalCount"], "DominantSports")
@@ -138,12 +149,8 @@ def dominant_sports(results: DataFrame, *, count=medal_table) -> DataFrame:
 
 def winner_profile(results: DataFrame, *, null_competes: bool = False) -> DataFrame:
     """The age, height and weight band most gold medallists of each sport were in."""
-    gold = results.filter(F.col("Medal") == "Gold")
-    bands = {
-        "Age_Bin": (F.col("Age"), AGE_BANDS),
-        "Height_Bin": (F.col("Height"), HEIGHT_BANDS),
-        "Weight_Bin": (F.col("Weight"), WEIGHT_BANDS),
-    }
+    gold = results.filter(F.col("Medal") == GOLD)
+    bands = {name: (F.col(measure), scale) for name, (measure, scale) in PROFILE.items()}
     return modal_bands(gold, "Sport", bands, null_competes=null_competes)
 
 
@@ -153,6 +160,13 @@ def host_advantage(
     *,
     years_between: int = 4,
     unit: str = "athlete",
+) -> DataFrame:
+    """:func:`host_advantage_of` the medals by year and country."""
+    return host_advantage_of(medal_table(results, ["Year", "NOC"], unit), hosts, years_between=years_between)
+
+
+def host_advantage_of(
+    medals: DataFrame, hosts: Mapping[int, str] | None = None, *, years_between: int = 4
 ) -> DataFrame:
     """Medals of each host at home and at the two games before and after.
 
@@ -162,7 +176,7 @@ def host_advantage(
     hosts = hosts or {year: noc for year, noc in HOSTS.items() if year >= SCOPE_FIRST_YEAR}
     step = years_between
     compared = compare_offsets(
-        medal_table(results, ["Year", "NOC"], unit),
+        medals,
         hosts,
         period="Year",
         group="NOC",
@@ -181,6 +195,36 @@ def host_advantage(
     )
 
 
+def shared(results: DataFrame) -> SharedCounts:
+    """All that the five analyses count, from one scan and one shuffle of the table."""
+    columns = [
+        *[F.col(c) for c in ("Sex", "Year", "NOC", "Sport")],
+        *[scale.index(measure).alias(name) for name, (measure, scale) in PROFILE.items()],
+    ]
+    medal = is_present("Medal", SENTINEL) & F.col("Event").isNotNull()
+    flags = {"_id": F.col("ID").isNotNull(), "_medal": F.coalesce(medal, F.lit(False)), "_gold": F.col("Medal").eqNullSafe(GOLD)}
+    narrow = results.select(*columns, *[flag.alias(name) for name, flag in flags.items()])
+    sets = [["Sex", "Year"], ["Year", "NOC"], ["NOC", "Sport"], *[["Sport", name] for name in PROFILE]]
+    measures = {"Participant_Count": "_id", "MedalCount": "_medal", "GoldCount": "_gold"}
+    return shared_counts(narrow, sets, {n: F.count_if(F.col(c)) for n, c in measures.items()})
+
+
+def from_shared(counts: SharedCounts, hosts: Mapping[int, str] | None = None) -> dict[str, DataFrame]:
+    """The five analyses, none of which reads the results again."""
+
+    def medals(shared: SharedCounts, by: list[str]) -> DataFrame:
+        return shared.counts(by, "MedalCount")
+
+    gold = counts.stacked("Sport", list(PROFILE), "GoldCount").filter("_n > 0")
+    return {
+        "gender_ratio": participation_of(counts.counts(["Sex", "Year"], "Participant_Count")).orderBy("Year", "Sex"),
+        "top10_countries": top_countries(counts, count=medals),
+        "dominant_sports": dominant_sports(counts, count=medals),
+        "height_weight_age": modes_of_counts(gold, "Sport", {name: scale for name, (_, scale) in PROFILE.items()}),
+        "host_country_medals": host_advantage_of(medals(counts, ["Year", "NOC"]), hosts),
+    }
+
+
 def format_check(results: DataFrame) -> DataFrame:
     """How many entries have a ``Games`` text of another form; NULL counts too."""
     return format_report(results, {"Games": GAMES_FORMAT}, include_null=True)

@@ -15,6 +15,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from podium.functions.predicates import violates_format
 from podium.operators.quality import (
@@ -29,9 +30,11 @@ from podium.operators.quality import (
 )
 from podium.plans import games
 from podium.session import build_session
+from podium.sources.quarantine import checked_frames, read_csv_checked
 from podium.sources.readers import read_csv_text
+from podium.sources.scratch import clear, scratch_path
 from podium.sources.scratch import stage as staged
-from podium.sources.sinks import write_csv, write_parquet
+from podium.sources.sinks import observed, write_csv, write_parquet
 
 
 @dataclass(frozen=True)
@@ -77,6 +80,16 @@ ANALYSES: dict[str, Callable[[DataFrame], DataFrame]] = {
     ),
     "imputed": lambda df: impute_means(df, MEASURES),
 }
+#: Records of the file that do not fit its columns, with file and reason.
+REJECTED = "rejected_records"
+ANALYSES[REJECTED] = lambda rejected: rejected.select(
+    "file", F.regexp_replace(F.regexp_replace("record", "\\r", r"\\r"), "\\n", r"\\n").alias("record"), F.array_join("reasons", ", ").alias("reasons")
+)
+#: These look at the table as it was read, whatever the season and year: what they are to find may lie anywhere.
+AS_READ = {
+    "host_enrichment", "format_check", "format_violations", "null_profile", "sentinel_profile", "distinct_rows", "column_catalog",
+    "complete_rows", "table_profile", "missing_fractions", "missing_by_games", "imputed",
+}
 #: The published results; the others are checks and repairs that a run asks for by name.
 DEFAULT_ANALYSES = [
     "gender_ratio",
@@ -99,34 +112,57 @@ def run(
     explain: bool = False,
     sep: str = ",",
     null_value: str | None = None,
+    counts: dict[str, dict] | None = None,
 ) -> dict[str, str]:
     """Write each analysis below the output path; returns the path of each.
 
-    ``stage`` first stores the scoped rows as parquet in the shared folder, so
-    that the text file is parsed once for all analyses and each then reads only
-    the columns it needs. It survives lost executors, unlike a cache. The copy
-    stays in the shared folder, to be cleared with it.
+    Records that do not fit the columns take no part; ``rejected_records`` lists them. Profiles, checks, repairs and the enrichment see all other
+    records, the published results those in scope.
 
-    ``sep`` and ``null_value`` are those of the results file.
+    ``stage`` parses the text file once, for all analyses: records that fit and records that do not go to the shared folder as parquet, and each analysis reads only the
+    columns it needs. What the published results count is then counted once, by one scan and one shuffle. It survives lost executors, unlike a cache. The run's
+    copies are removed at its end.
+
+    ``sep`` and ``null_value`` are those of the results file. ``counts``, if given, gets rows and NULLs of each result, taken while it is written.
     """
-    entries = games.scope(games.read_results(spark, environment.input, sep=sep, null_value=null_value))
+    chosen = analyses or DEFAULT_ANALYSES
+    folder = scratch_path(spark, "job")
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        return staged(df, name, folder)
+
+    options = {"sep": sep, "null_value": null_value}
     if stage:
-        entries = staged(entries, "results")
+        table = read_csv_checked(spark, environment.input, games.RESULTS_SCHEMA, target=f"{folder}/records", **options)
+    else:
+        table = checked_frames(spark, environment.input, games.RESULTS_SCHEMA, **options)
+    entries = games.scope(table.rows)
+    published = [name for name in chosen if name in DEFAULT_ANALYSES]
+    shared = games.from_shared(games.shared(entries).stored(keep)) if stage and len(published) > 1 else {}
 
     written = {}
-    for name in analyses or DEFAULT_ANALYSES:
-        result = ANALYSES[name](entries)
-        if explain:
-            result.explain("formatted")
-        target = f"{environment.output.rstrip('/')}/{name}"
-        if fmt == "parquet":
-            write_parquet(result, target, mode=mode)
-        else:
-            write_csv(result, target, mode=mode)
-        if preview:
-            written_rows = spark.read.parquet(target) if fmt == "parquet" else read_csv_text(spark, target)
-            written_rows.show(preview, truncate=False)
-        written[name] = target
+    try:
+        for name in chosen:
+            if name in shared:
+                result = shared[name]
+            else:
+                result = ANALYSES[name](table.rejected if name == REJECTED else table.rows if name in AS_READ else entries)
+            if explain:
+                result.explain("formatted")
+            target = f"{environment.output.rstrip('/')}/{name}"
+            watched, found = observed(result)
+            if fmt == "parquet":
+                write_parquet(watched, target, mode=mode)
+            else:
+                write_csv(watched, target, mode=mode)
+            if counts is not None:
+                counts[name] = found()
+            if preview:
+                written_rows = spark.read.parquet(target) if fmt == "parquet" else read_csv_text(spark, target)
+                written_rows.show(preview, truncate=False)
+            written[name] = target
+    finally:
+        clear(spark, folder)
     return written
 
 
@@ -153,8 +189,9 @@ def main(argv: list[str] | None = None) -> None:
     else:
         parser.error("give --environments, or --input and --output")
     spark = build_session("podium", conf=environment.conf)
+    counts: dict[str, dict] = {}
     try:
-        run(
+        written = run(
             spark,
             environment,
             analyses=args.analyses,
@@ -165,7 +202,11 @@ def main(argv: list[str] | None = None) -> None:
             explain=args.explain,
             sep=args.sep,
             null_value=args.null_value,
+            counts=counts,
         )
+        for name, target in written.items():
+            missing = sum(counts[name]["nulls"].values())
+            print(f"{name}: {counts[name]['rows']} rows, {missing} missing values, {target}")
     finally:
         spark.stop()
 

@@ -15,6 +15,7 @@ from podium.plans.queries.registry import (
     table,
 )
 from podium.sources.dimensions import read_code_dimension
+from podium.sources.quarantine import read_csv_checked
 from podium.sources.readers import (
     csv_options,
     infer_csv_schema,
@@ -152,3 +153,54 @@ def cr_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "codes")
     codes.write.options(**csv_options(), lineSep="\r").csv(path)
     return read_code_dimension(spark, path)
+
+
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+# Records of customers, some broken: quotes not doubled, fields cut off, a text for a number, a segment that does not exist.
+PLANTED_SQL = """
+planted AS (
+  SELECT *,
+    CAST(c_custkey AS VARCHAR) AS k, CAST(c_nationkey AS VARCHAR) AS nation, CAST(c_acctbal AS VARCHAR) AS balance,
+    '"' || c_name || ', ""Jr.""' || '"' AS doubled,
+    '"' || c_name || ' \\"Jr.\\", Sr.' || '"' AS shifted,
+    CASE WHEN c_custkey % 7 = 0 THEN 'quotes' WHEN c_custkey % 11 = 1 THEN 'cut' WHEN c_custkey % 13 = 2 THEN 'type'
+         WHEN c_custkey % 17 = 3 THEN 'segment' ELSE 'good' END AS kind
+  FROM customer
+)"""
+
+
+@query(f"""
+WITH {PLANTED_SQL}
+SELECT CASE WHEN kind = 'good' THEN c_custkey END AS c_custkey,
+       CASE WHEN kind = 'good' THEN c_name || ', "Jr."' END AS c_name,
+       CASE WHEN kind = 'good' THEN c_nationkey END AS c_nationkey,
+       CASE WHEN kind = 'good' AND c_custkey % 5 <> 0 THEN c_acctbal END AS c_acctbal,
+       CASE WHEN kind = 'good' THEN c_mktsegment END AS c_mktsegment,
+       CASE kind WHEN 'quotes' THEN concat_ws(',', k, shifted, nation, balance, c_mktsegment)
+                 WHEN 'cut' THEN concat_ws(',', k, doubled)
+                 WHEN 'type' THEN concat_ws(',', k, doubled, 'x', balance, c_mktsegment)
+                 WHEN 'segment' THEN concat_ws(',', k, doubled, nation, balance, 'OTHER') END AS record,
+       CASE kind WHEN 'quotes' THEN 'fields' WHEN 'cut' THEN 'fields' WHEN 'type' THEN 'type of c_nationkey' WHEN 'segment' THEN 'segment' END AS reasons
+FROM planted
+""")
+def csv_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file with broken records: what fits and what was set apart, with the reason, make up the file."""
+    key, nation, balance = (F.col(c).cast("string") for c in ("c_custkey", "c_nationkey", "c_acctbal"))
+    known = F.when(F.col("c_custkey") % 5 == 0, F.lit("NA")).otherwise(balance)
+    doubled = F.concat(F.lit('"'), F.col("c_name"), F.lit(', ""Jr."""'))
+    shifted = F.concat(F.lit('"'), F.col("c_name"), F.lit(' \\"Jr.\\", Sr."'))
+    line = (
+        F.when(F.col("c_custkey") % 7 == 0, F.concat_ws(",", key, shifted, nation, balance, "c_mktsegment"))
+        .when(F.col("c_custkey") % 11 == 1, F.concat_ws(",", key, doubled))
+        .when(F.col("c_custkey") % 13 == 2, F.concat_ws(",", key, doubled, F.lit("x"), balance, "c_mktsegment"))
+        .when(F.col("c_custkey") % 17 == 3, F.concat_ws(",", key, doubled, nation, balance, F.lit("OTHER")))
+        .otherwise(F.concat_ws(",", key, doubled, nation, known, "c_mktsegment"))
+    )
+    customer = table(spark, sf_dir, "customer")
+    path = scratch_path(spark, "customer-broken")
+    customer.select(line.alias("value")).write.text(path)
+    found = read_csv_checked(
+        spark, path, customer.schema, header=False, checks={"segment": F.col("c_mktsegment").isin(*SEGMENTS)}
+    )
+    rejected = found.rejected.select("record", F.array_join("reasons", ", ").alias("reasons"))
+    return found.rows.unionByName(rejected, allowMissingColumns=True)

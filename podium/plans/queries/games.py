@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from podium.operators.sets import union_all
 from podium.plans import games
 from podium.plans.queries.ranking import mode_sql
-from podium.plans.queries.registry import query, table
+from podium.plans.queries.registry import REGISTRY, query, table
+from podium.sources.scratch import stage
 
 HOSTS = {
     1956: "NATION_1",
@@ -213,3 +215,31 @@ def games_host_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def games_host_advantage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A team's medal counts once."""
     return games.host_advantage(_scoped(spark, sf_dir), HOSTS, unit="event")
+
+
+def _lines(analysis: str, label: list[str], values: list[str]) -> str:
+    text = lambda columns: "concat_ws('|', " + ", ".join(f"""coalesce(CAST("{c}" AS VARCHAR), '')""" for c in columns) + ")"
+    return f"SELECT '{analysis}' AS analysis, {text(label)} AS label, {text(values)} AS result FROM ({{}})"
+
+
+AT_ONCE = {
+    "gender_ratio": ("games_participation", ["Year", "Sex"], ["Participant_Count", "Prev_Year_Participant", "Growth_Rate", "Total_Participants", "Participation_Ratio"]),
+    "top10_countries": ("games_top_countries", ["Year"], ["Top10Countries"]),
+    "dominant_sports": ("games_dominant_sports", ["NOC"], ["DominantSports"]),
+    "height_weight_age": ("games_winner_profile", ["Sport"], list(PROFILE_SCALES)),
+    "host_country_medals": ("games_host_advantage", ["Year", "Country"], ["Medals_host", *OTHERS, *[f"{o.split('_')[1]}_in_range" for o in OTHERS]]),
+}
+
+
+@query(" UNION ALL ".join(_lines(a, label, values).format(REGISTRY[name].sql) for a, (name, label, values) in AT_ONCE.items()))
+def games_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five analyses from one scan and one shuffle of the results."""
+    counts = games.shared(_scoped(spark, sf_dir)).stored(stage)
+    found = games.from_shared(counts, HOSTS)
+
+    def lines(analysis: str) -> DataFrame:
+        _, label, values = AT_ONCE[analysis]
+        text = lambda columns: F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns])
+        return found[analysis].select(F.lit(analysis).alias("analysis"), text(label).alias("label"), text(values).alias("result"))
+
+    return union_all([lines(a) for a in AT_ONCE])

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from podium.operators import exact as ops_exact
 from podium.operators import quality as ops
-from podium.plans.queries.registry import LABELLED_SQL, labelled_documents, query, table
+from podium.plans.queries.registry import LABELLED_SQL, labelled_documents, labelled_marks, query, table
 
 LABELLED_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
-MARKED_COLUMNS = ["doc_id", "lang", "quality", "toxic"]
+MARKED_COLUMNS = LABELLED_COLUMNS
 COUNTED = {"quality_nulls": "quality", "toxic_nulls": "toxic"}
 
 
@@ -23,7 +24,7 @@ def _fractions_sql(source: str) -> str:
 
 @query(f"WITH {LABELLED_SQL} {_fractions_sql('labelled')}")
 def null_fraction_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.null_fractions(labelled_documents(spark, sf_dir))
+    return ops.null_fractions(labelled_marks(spark, sf_dir))
 
 
 @query(f"WITH {LABELLED_SQL} " + " UNION ALL ".join(
@@ -31,7 +32,7 @@ def null_fraction_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     for c in LABELLED_COLUMNS
 ))
 def null_profile_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.null_profile(labelled_documents(spark, sf_dir))
+    return ops.null_profile(labelled_marks(spark, sf_dir))
 
 
 @query(f"""
@@ -45,7 +46,7 @@ def null_count_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MARKED_SQL = f"""
 WITH {LABELLED_SQL}, marked AS (
-  SELECT doc_id, lang,
+  SELECT doc_id, text, lang, source, n_chars,
          coalesce(CAST(quality AS VARCHAR), 'NA') AS quality,
          coalesce(CAST(toxic AS VARCHAR), 'NA') AS toxic
   FROM labelled
@@ -55,9 +56,12 @@ WITH {LABELLED_SQL}, marked AS (
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels as text, missing ones written ``NA``."""
-    return labelled_documents(spark, sf_dir).select(
+    return labelled_marks(spark, sf_dir, "NA").select(
         "doc_id",
+        "text",
         "lang",
+        "source",
+        "n_chars",
         *[F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(c) for c in ("quality", "toxic")],
     )
 
@@ -86,13 +90,12 @@ def sentinel_count_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {LABELLED_SQL}
 SELECT doc_id, text, lang, source, n_chars,
-       round(coalesce(CAST(quality AS DOUBLE), (SELECT avg(quality) FROM labelled)), 6) AS quality,
-       round(coalesce(CAST(toxic AS DOUBLE), (SELECT avg(toxic) FROM labelled)), 6) AS toxic
+       coalesce(CAST(quality AS DOUBLE), (SELECT avg(quality) FROM labelled)) AS quality,
+       coalesce(CAST(toxic AS DOUBLE), (SELECT avg(toxic) FROM labelled)) AS toxic
 FROM labelled
 """)
 def mean_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    filled = ops.impute_means(labelled_documents(spark, sf_dir), ["quality", "toxic"])
-    return filled.withColumns({c: F.round(c, 6) for c in ("quality", "toxic")})
+    return ops.impute_means(labelled_documents(spark, sf_dir), ["quality", "toxic"])
 
 
 @query(f"""
@@ -115,16 +118,31 @@ TEXTS = ["l_returnflag", "l_linestatus"]
 TIMES = ["l_shipdate"]
 
 
+# A double times a power of two is a whole number of 128 bits for values of these columns and, but for bits far below what their sum is rounded by, for their squared
+# distances from the mean. Both halves of a sum are exact doubles (or end in a bit for what lies below), so it is rounded once.
+SQUARE_BITS = {"l_quantity": 88, "l_discount": 104, "l_tax": 104, "l_linenumber": 96}
+
+
+def _exact_sum_sql(value: str, bits: int = 60) -> str:
+    total = f"sum(CAST(({value}) * {2**bits}::DOUBLE AS HUGEINT))::HUGEINT"
+    halves = f"({total} // {2**50})::DOUBLE * {2**50}::DOUBLE + ({total} % {2**50})::DOUBLE"
+    lower = f"(({total} % {2**73}::HUGEINT) // {2**20} | CASE WHEN {total} % {2**20} <> 0 THEN 1 ELSE 0 END)"
+    large = f"({total} // {2**73}::HUGEINT)::DOUBLE * {2**73}::DOUBLE + {lower}::DOUBLE * {2**20}::DOUBLE"
+    return f"((CASE WHEN {total} < {2**102}::HUGEINT THEN {halves} ELSE {large} END) / {2**bits}::DOUBLE)"
+
+
+def _number_sql(c: str) -> str:
+    return f"""SELECT '{c}' AS column_name, non_null, mean,
+            sqrt((SELECT {_exact_sum_sql(f"(CAST({c} AS DOUBLE) - mean) * (CAST({c} AS DOUBLE) - mean)", SQUARE_BITS.get(c, 68))} FROM lineitem) / (non_null - 1)) AS stddev,
+            min_number, max_number, CAST(NULL AS VARCHAR) AS min_text, CAST(NULL AS VARCHAR) AS max_text,
+            CAST(NULL AS TIMESTAMP) AS min_time, CAST(NULL AS TIMESTAMP) AS max_time FROM (
+              SELECT count({c}) AS non_null, {_exact_sum_sql(f"CAST({c} AS DOUBLE)")} / count({c}) AS mean,
+                CAST(CASE WHEN min({c}) = 0 THEN 0 ELSE min({c}) END AS DOUBLE) AS min_number,
+                CAST(CASE WHEN max({c}) = 0 THEN 0 ELSE max({c}) END AS DOUBLE) AS max_number FROM lineitem)"""
+
+
 @query(" UNION ALL ".join(
-    [
-        f"""SELECT '{c}' AS column_name, count({c}) AS non_null,
-            round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS stddev,
-            CAST(CASE WHEN min({c}) = 0 THEN 0 ELSE min({c}) END AS DOUBLE) AS min_number,
-            CAST(CASE WHEN max({c}) = 0 THEN 0 ELSE max({c}) END AS DOUBLE) AS max_number,
-            CAST(NULL AS VARCHAR) AS min_text, CAST(NULL AS VARCHAR) AS max_text,
-            CAST(NULL AS TIMESTAMP) AS min_time, CAST(NULL AS TIMESTAMP) AS max_time FROM lineitem"""
-        for c in NUMBERS
-    ]
+    [_number_sql(c) for c in NUMBERS]
     + [
         f"SELECT '{c}', count({c}), NULL, NULL, NULL, NULL, min({c}), max({c}), NULL, NULL FROM lineitem"
         for c in TEXTS
@@ -135,14 +153,25 @@ TIMES = ["l_shipdate"]
     ]
 ))
 def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rounded because the order of summation differs between engines; -0.0 shown as 0.0."""
-    profile = ops.table_profile(table(spark, sf_dir, "lineitem"))
+    """Exact, so nothing is rounded; -0.0 shown as 0.0."""
+    profile = ops.table_profile(table(spark, sf_dir, "lineitem"), exact=True)
     return profile.withColumns(
-        {c: F.round(c, 4) for c in ("mean", "stddev")}
-        | {c: F.when(F.col(c) == 0, F.lit(0.0)).otherwise(F.col(c)) for c in ("min_number", "max_number")}
+        {c: F.when(F.col(c) == 0, F.lit(0.0)).otherwise(F.col(c)) for c in ("min_number", "max_number")}
     )
 
 
+EXACT = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@query(f"""
+SELECT l_returnflag, l_linestatus, {", ".join(f"{_exact_sum_sql(c)} AS sum_{c}, count({c}) AS count_{c}" for c in EXACT)}
+FROM lineitem GROUP BY l_returnflag, l_linestatus
+""")
+def exact_group_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of doubles by group, to the last bit."""
+    return ops_exact.exact_sums(table(spark, sf_dir, "lineitem"), EXACT, ["l_returnflag", "l_linestatus"])
+
+
 CATALOG = {
     "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int",
     "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double",

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,6 +76,28 @@ def write_parquet(
     df.write.mode(mode).partitionBy(*partition_by or []).parquet(path)
 
 
+def observed(df: DataFrame, conditions: Mapping[str, Column] | None = None) -> tuple[DataFrame, Callable[[], dict]]:
+    """The same rows, counted on their way to wherever an action takes them, and the counts, to be asked for after it.
+
+    Counts are ``rows``, ``nulls`` by column, and ``where``: the rows for which each of ``conditions`` is true. They cost no job of their own. The first action counts;
+    it must take all rows (a write does, a preview does not).
+    """
+    watch = Observation()
+    conditions = conditions or {}
+    found = [F.count_if(quoted(c).isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)]
+    true = [F.count_if(holds).alias(f"c{i}") for i, holds in enumerate(conditions.values())]
+
+    def counts() -> dict:
+        got = watch.get
+        return {
+            "rows": got["rows"],
+            "nulls": {c: got[f"n{i}"] for i, c in enumerate(df.columns)},
+            "where": {c: got[f"c{i}"] for i, c in enumerate(conditions)},
+        }
+
+    return df.observe(watch, F.count(F.lit(1)).alias("rows"), *found, *true), counts
+
+
 def convert_dialect(
     spark: SparkSession,
     source: str,

@@ -7,7 +7,7 @@ import json
 import pytest
 
 from podium.plans import games, job
-from podium.sources import read_csv_text
+from podium.sources import clear, read_csv_text, shared_dir, stage
 
 HEADER = "ID,Name,Sex,Age,Height,Weight,Team,NOC,Games,Year,Season,City,Sport,Event,Medal"
 # Small made-up results file: a team medal, a tie, missing values, out-of-scope rows.
@@ -23,6 +23,8 @@ ENTRIES = [
     "8,Ida,F,22,170,66,France,FRA,1960 Winter,1960,Winter,Squaw Valley,Luge,Single,Gold",
     "9,Jo,F,22,170,66,France,FRA,1952 Summer,1952,Summer,Helsinki,Fencing,Foil,Gold",
 ]
+# A quote that was not doubled: the record falls apart and its fields move to the right.
+SHIFTED = r'10,"Kim \"Kit\", Jr.",F,22,170,66,France,FRA,1960 Summer,1960,Summer,Roma,Fencing,Foil,Gold'
 
 
 @pytest.fixture
@@ -43,7 +45,7 @@ def found(frame):
 
 def test_scope_and_missing_values(spark, path, scoped):
     everything = games.read_results(spark, path)
-    assert (everything.count(), scoped.count()) == (10, 8)
+    assert (everything.count(), scoped.count()) == (10, 7)
     cy = everything.filter("Name = 'Cy'").first()
     assert (cy.Age, cy.Weight, cy.Medal) == (26.0, None, "Gold")
     assert everything.filter("""Name = 'Al "Bob", Jr.'""").first().Medal == "Gold"
@@ -117,6 +119,8 @@ def test_environments_file(tmp_path):
 
 @pytest.mark.parametrize("stage, sep", [(False, ","), (True, ","), (True, ";")])
 def test_job_writes_every_analysis(spark, path, tmp_path, stage, sep, capsys):
+    with open(path, "a") as file:
+        file.write(SHIFTED + "\n")
     if sep == ";":
         path = str(tmp_path / "cleaned.csv")
         lines = [line.replace('"Al ""Bob"", Jr."', "Al Bob").replace(",", ";").replace(";NA;", ";;") for line in [HEADER, *ENTRIES]]
@@ -137,12 +141,16 @@ def test_job_writes_every_analysis(spark, path, tmp_path, stage, sep, capsys):
         "Year", "Country", "Medals_host", "Medals_nothost1", "Medals_nothost2",
         "Medals_nothost3", "Medals_nothost4", "Medals_bigger%",
     ]
+    # Checks, repairs and the enrichment see the table as it was read.
     assert read(written["imputed"]).filter("Age IS NULL OR Height IS NULL OR Weight IS NULL").count() == 0
+    assert read(written["imputed"]).count() == 10
     assert read(written["missing_by_games"]).first()[:] == ("1956 Summer", "1", "1")
-    assert read(written["format_check"]).first()[:] == ("Games", games.GAMES_FORMAT, "0")
-    assert read(written["distinct_rows"]).first()[0] == "8"
-    assert read(written["host_enrichment"]).filter("Host_Country = 'ITA'").count() == 4
+    assert read(written["format_check"]).first()[:] == ("Games", games.GAMES_FORMAT, "1")  # the winter games
+    assert read(written["distinct_rows"]).first()[0] == "10"
+    assert {tuple(r) for r in read(written["host_enrichment"]).groupBy("Host_Country").count().collect()} == {("AUS", 4), ("ITA", 5), ("FIN", 1)}
     assert read(written["column_catalog"]).count() == 15
+    rejected = read(written["rejected_records"]).collect()
+    assert [(r.record, r.reasons) for r in rejected] == ([] if sep == ";" else [(SHIFTED, "fields")])
     assert ("Physical Plan" in capsys.readouterr().out) is not stage
 
 
@@ -151,3 +159,40 @@ def test_job_keeps_old_results_on_request(spark, path, tmp_path):
     job.run(spark, place, analyses=["top10_countries"], fmt="parquet", mode="errorifexists")
     with pytest.raises(Exception, match="(?i)already exists"):
         job.run(spark, place, analyses=["top10_countries"], fmt="parquet", mode="errorifexists")
+
+
+def test_shared_counts_give_the_same_results(spark, scoped):
+    """One scan and one shuffle serve the five analyses."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = games.shared(scoped).table._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and "Python" not in plan
+    hosts = {1956: "AUS", 1960: "ITA"}
+    at_once = games.from_shared(games.shared(scoped).stored(stage), hosts)
+    alone = {name: make(scoped) for name, make in job.ANALYSES.items() if name in job.DEFAULT_ANALYSES}
+    alone["host_country_medals"] = games.host_advantage(scoped, hosts)
+    assert set(at_once) == set(alone) == set(job.DEFAULT_ANALYSES)
+    for name, frame in alone.items():
+        assert at_once[name].schema.simpleString() == frame.schema.simpleString()
+        assert found(at_once[name]) == found(frame), name
+
+
+def test_job_counts_while_it_writes(spark, path, tmp_path):
+    place, counts = job.Environment(path, str(tmp_path / "out")), {}
+    written = job.run(spark, place, analyses=["imputed", "complete_rows", "null_profile"], counts=counts)
+    assert (counts["imputed"]["rows"], counts["complete_rows"]["rows"]) == (10, 7)
+    assert counts["imputed"]["nulls"]["Age"] == 0 and counts["imputed"]["nulls"]["Medal"] == 0
+    assert counts["null_profile"]["rows"] == read_csv_text(spark, written["null_profile"]).count() == 15
+
+
+def test_job_leaves_no_copies(spark, path, tmp_path):
+    import os
+
+    folder = shared_dir(spark)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    job.run(spark, job.Environment(path, str(tmp_path / "out")))
+    assert {f for f in os.listdir(folder) if f.startswith("job-")} - before == set()
+    with pytest.raises(ValueError):
+        clear(spark, str(tmp_path))
