@@ -6,13 +6,17 @@ words of a document that are equal or have the same digits, however far apart: e
 thousand times has as many links, and any two are two links apart. Loopy message passing, until the messages stand still, makes the labels of a
 document agree. What the field finds beyond the rules is added; what the rules find stays.
 
-The field is trained here, on a bounded sample of texts labelled by the rules, by maximising its pseudo-likelihood.
+The field is trained here, on a bounded sample of texts labelled by the rules, by maximising its pseudo-likelihood. To find more than the rules do, it has to know them by
+something else than their own patterns: words that mostly stand before one kind ("call", "from") are learned as cues, and training sees what follows a cue once
+more by the cue alone and once without it, and each of two like words once more by the other alone, with the rest held back. What follows a cue and looks like a number or an
+address, but fits no rule, is taken for unknown there, not for harmless.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +29,14 @@ from podium.sources.scratch import stage
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 SAMPLE_ROWS = 1000  # different texts that the field is trained on, at most
-SAMPLE_CHARS = 8192  # longer texts are not trained on
+SAMPLE_CHARS = 8192  # of a longer text, a stretch of this length around a marked word is trained on
 FEATURES = 4096
+HIDDEN = FEATURES  # a feature without weight
+CUE_TEXTS, CUE_SHARE = 5, 0.9  # texts in which a word stands before a kind, and how often it is this kind, to be its cue
+CUE_REACH = 48  # characters before a word in which its two last ordinary words are looked for
+NUMBER_DIGITS = 7  # what follows a cue and has this many digits and no letter, or an @, may be personal data
 STILL, ROUNDS = 1e-3, 1000  # how little messages move at the end; rounds after which those that swing for ever are stopped
-STEPS, RATE, PENALTY = 300, 0.2, 1e-4
+STEPS, RATE, PENALTY = 300, 0.5, 1e-4
 SURE = 0.9  # probability from which a word's label counts
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -107,60 +115,109 @@ def _slot(name: str) -> int:
 
 
 def _shape(word: str) -> str:
-    kinds = "".join("0" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c for c in word[:64])
-    return _REPEATS.sub(r"\1+", kinds)[:24]
+    kinds = "".join("0" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c for c in word)
+    return _REPEATS.sub(r"\1+", kinds)[:64]
 
 
-def _features(words: list[str], near: list[bool]) -> list[list[int]]:
+_LETTERS = re.compile(r"[^\W\d_]+")
+_EDGES = ".,;:!?\"'()[]{}<>#$%&|*`~"
+
+
+def _size(n: int) -> str:
+    return "short" if n < NUMBER_DIGITS else "middle" if n < 14 else "card" if n <= 19 else "long"
+
+
+def _number_like(words: list[str], near: list[bool]) -> list[bool]:
+    """Whether each word is in a run of marked words that has an @, or many digits and no letter."""
+    out: list[bool] = []
+    for i in range(len(words)):
+        if not near[i]:
+            end = next((j for j in range(i + 1, len(words)) if not near[j]), len(words))
+            run = "".join(words[i:end])
+            like = "@" in run or (len(_NOT_DIGIT.sub("", run)) >= NUMBER_DIGITS and not any(map(str.isalpha, run)))
+            out += [like] * (end - i)
+    return out
+
+
+def _features(words: list[str], near: list[bool], cues: list[str]) -> list[list[int]]:
     """Feature numbers of each marked word; ``near[i]``: word i - 1 is right before it."""
     shapes = [_shape(w) for w in words]
     out = []
     for i, word in enumerate(words):
-        digits = _NOT_DIGIT.sub("", word[:256])
-        core = word.strip(".,;:!?\"'()[]{}<>#$%&|")[:256]
+        digits = _NOT_DIGIT.sub("", word)
+        core = word.strip(_EDGES)
         before = shapes[i - 1] if near[i] else "-"
         after = shapes[i + 1] if i + 1 < len(words) and near[i + 1] else "-"
-        dots = core.count(".")
+        size = _size(len(digits))
+        if cues[i] != "-":
+            size += " cued"  # what such a form means elsewhere says little here
         out.append([
             _slot(x)
             for x in (
-                "all",
-                f"shape {shapes[i]}",
-                f"core {_shape(core)}",
+                f"shape {shapes[i]} {size}",
+                f"core {_shape(core)} {size}",
                 f"digits {min(len(digits), 24)}",
-                f"only digits {core.isdigit()} {14 <= len(digits) <= 19 and passes_luhn(digits)}",
-                f"at {core.count('@')} dots {min(dots, 5)}",
-                f"plus {core[:1] == '+'} letters {any(c.isalpha() for c in core)}",
+                f"only digits {core.isdigit()} {size} {14 <= len(digits) <= 19 and passes_luhn(digits)}",
+                f"at {core.count('@')} dots {min(core.count('.'), 5)} {size}",
+                f"plus {core[:1] == '+'} letters {any(map(str.isalpha, core))}",
                 f"before {before}",
                 f"after {after}",
-                f"both {before} {_shape(core)} {after}",
+                f"both {before} {_shape(core)} {size} {after}",
+                "all",
+                f"cue {cues[i]}",
             )
         ])
     return out
 
 
+def context(text: str, spans: list[tuple[int, int]], near: list[bool]) -> list[list[str]]:
+    """For each marked word the two ordinary words before it, the nearer one first; marked words in a row share those before the first."""
+    out: list[list[str]] = []
+    for i, (start, _) in enumerate(spans):
+        if near[i]:
+            out.append(out[-1])
+            continue
+        low = max(spans[i - 1][1] if i else 0, start - CUE_REACH)
+        found = list(_LETTERS.finditer(text, low, start))
+        if found and low == found[0].start() and low and text[low - 1].isalpha():
+            del found[0]  # the end of a word
+        out.append([m.group().lower() for m in found[-2:][::-1]])
+    return out
+
+
 class Graph:
-    """Marked words of some documents, their features and their links."""
+    """Marked words of some documents, their features and their links. ``cues``: the kind that a word stands before."""
 
-    def __init__(self) -> None:
+    def __init__(self, cues: dict[str, str] | None = None) -> None:
+        self.cues = cues or {}
         self.features: list[list[int]] = []
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []  # each word and the like one before it
 
-    def add(self, text: str, spans: list[tuple[int, int]]) -> None:
+    def add(self, text: str, spans: list[tuple[int, int]]) -> list[str]:
+        """Add a text's marked words; returns the kind each is cued for, or "-". Small numbers are cued for nothing."""
         first = len(self.features)
         words = [text[a:b] for a, b in spans]
         # Between two neighbours there are blanks only.
         near = [i > 0 and not text[spans[i - 1][1] : a].strip(" \t\n\v\f\r") for i, (a, _) in enumerate(spans)]
-        self.features += _features(words, near)
+        cued = ["-"] * len(spans)
+        if self.cues:
+            like = _number_like(words, near)
+            cued = [
+                next((self.cues[w] for w in some if w in self.cues), "-") if may_be else "-"
+                for some, may_be in zip(context(text, spans, near), like, strict=True)
+            ]
+        self.features += _features(words, near, cued)
         self.chain += [(first + i - 1, first + i) for i, n in enumerate(near) if n]
         seen: dict[str, int] = {}
         for i, word in enumerate(words):
             digits = _NOT_DIGIT.sub("", word)
-            likeness = {f"word {word}", f"digits {digits}" if len(digits) >= 4 else f"word {word}"}
+            core = word.strip(_EDGES).casefold()  # punctuation and case make no other word
+            likeness = {f"word {core}", f"digits {digits}" if len(digits) >= 4 else f"word {core}"}
             others = {seen[x] for x in likeness if x in seen}
             self.skip += [(first + j, first + i) for j in sorted(others)]
             seen |= dict.fromkeys(likeness, i)
+        return cued
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         pairs = [np.array(x, dtype=np.int64).reshape(-1, 2) for x in (self.chain, self.skip)]
@@ -168,10 +225,10 @@ class Graph:
 
 
 class Field:
-    """Weights of features, of neighbouring labels and of labels of like words."""
+    """Weights of features, of neighbouring labels and of labels of like words, and the cues."""
 
-    def __init__(self, nodes: np.ndarray, chain: np.ndarray, skip: np.ndarray):
-        self.nodes, self.chain, self.skip = nodes, chain, skip
+    def __init__(self, nodes: np.ndarray, chain: np.ndarray, skip: np.ndarray, cues: dict[str, str] | None = None):
+        self.nodes, self.chain, self.skip, self.cues = nodes, chain, skip, cues or {}
 
     def marginals(self, graph: Graph) -> np.ndarray:
         """Each word's label probabilities by loopy message passing. Each message ends when it and what it tells stand still, so that
@@ -233,23 +290,58 @@ def _gold(spans: list[tuple[int, int]], base: list[Span]) -> list[int]:
     return [next((k + 1 for s, k, e in base if s < b and a < e), 0) for a, b in spans]
 
 
+def learn_cues(texts: list[str]) -> dict[str, str]:
+    """Words that stand before one kind in CUE_TEXTS texts or more and, of all marked words they stand before that are no bare small numbers, mostly before it."""
+    before: dict[str, Counter] = {}
+    for text in set(texts):
+        spans = marked_words(text)
+        near = [i > 0 and not text[spans[i - 1][1] : a].strip(" \t\n\v\f\r") for i, (a, _) in enumerate(spans)]
+        met = {(w, label) for some, label in zip(context(text, spans, near), _gold(spans, base_spans(text)), strict=True) if label for w in some[:1]}
+        for word, label in met:
+            before.setdefault(word, Counter())[label] += 1
+    cues = {}
+    for word, labels in before.items():
+        (label, n), all_ = labels.most_common(1)[0], labels.total()
+        if n >= CUE_TEXTS and n >= CUE_SHARE * all_:
+            cues[word] = LABELS[label]
+    return cues
+
+
 def train(texts: list[str]) -> Field:
     """Maximise the pseudo-likelihood: each word's label given its features and the labels of the words it is linked to."""
-    graph, gold = Graph(), []
+    cues = learn_cues(texts)
+    graph, uncued, gold, cued = Graph(cues), Graph(), [], []
     for text in texts:
         spans = marked_words(text)
-        graph.add(text, spans)
+        cued += graph.add(text, spans)
+        uncued.add(text, spans)
         gold += _gold(spans, base_spans(text))
-    field = Field(np.zeros((FEATURES, 5)), np.zeros((5, 5)), np.zeros((5, 5)))
+    field = Field(np.zeros((FEATURES + 1, 5)), np.zeros((5, 5)), np.zeros((5, 5)), cues)
     if not gold:
         return field
     features, chain, skip = graph.arrays()
     y = np.array(gold)
+    has_cue = np.array([c != "-" for c in cued])
+    unknown = has_cue & (y == 0)
+    # Links to what is not known teach nothing.
+    chain, skip = (links[~unknown[links].any(axis=1)] for links in (chain, skip))
+    # A word is seen once more by its cue alone, once more without its cue, and once more by each like word alone.
+    by_cue = np.flatnonzero(has_cue & ~unknown)
+    alone = np.full((2 * len(by_cue) + 2 * len(skip), features.shape[1]), HIDDEN)
+    alone[: len(by_cue), -1] = features[by_cue, -1]
+    alone[len(by_cue) : 2 * len(by_cue)] = uncued.arrays()[0][by_cue]
+    copies = len(y) + 2 * len(by_cue) + np.arange(2 * len(skip))
+    of = np.concatenate([by_cue, by_cue, skip[:, 1], skip[:, 0]])
+    skip = np.concatenate([skip, np.stack([skip[:, 0], copies[: len(skip)]], axis=1), np.stack([copies[len(skip) :], skip[:, 1]], axis=1)])
+    features = np.concatenate([features, alone])
+    unknown = np.concatenate([unknown, np.zeros(len(of), dtype=bool)])
+    y = np.concatenate([y, y[of]])
     n = len(y)
     truth = np.eye(5)[y]
     # Rare kinds weigh as much as frequent ones, up to a factor.
     weight = np.minimum(10.0, n / (5 * np.maximum(1, np.bincount(y, minlength=5))))[y]
     weight /= weight.mean()
+    weight[unknown] = 0
     moments = [np.zeros_like(w) for w in (field.nodes, field.chain, field.skip)]
     for _ in range(STEPS):
         scores = field.nodes[features].sum(axis=1)
@@ -266,17 +358,26 @@ def train(texts: list[str]) -> Field:
             g += PENALTY * w
             m += g * g
             w -= RATE * g / (np.sqrt(m) + 1e-8)
+        field.nodes[HIDDEN] = 0
     return field
 
 
 def fit(docs: DataFrame) -> Field:
-    """Train on at most SAMPLE_ROWS different texts of at most SAMPLE_CHARS characters that hold a marked word: those of smallest
-    text hash, so equal tables give equal fields."""
-    some = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("hash"))
-    some = some.filter(F.col("text").rlike("[0-9@+]") & (F.length("text") <= SAMPLE_CHARS))
+    """Train on at most SAMPLE_ROWS different texts that hold a marked word: those of smallest text hash, so equal tables give equal fields.
+
+    Of a text longer than SAMPLE_CHARS, whole words of a stretch of that length are taken, around the first marked word after a place that its hash chooses.
+    """
+    some = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("hash")).filter(F.col("text").rlike("[0-9@+]"))
     chosen = stage(some.select("hash").distinct().orderBy("hash").limit(SAMPLE_ROWS).select(F.col("hash").alias("h")), "pii-sample")
-    found = some.join(chosen, some["hash"] == chosen["h"]).groupBy("hash").agg(F.first("text").alias("text"))
-    return train([row["text"] for row in found.orderBy("hash").collect()])  # SAMPLE_ROWS at most
+    found = some.join(chosen, some["hash"] == chosen["h"])
+    place = F.pmod(F.xxhash64("hash"), F.length("text").cast("long")).cast("int")
+    later = F.regexp_instr(F.substr("text", place + 1), F.lit("[0-9@+]"))
+    marked = F.when(later > 0, place + later).otherwise(F.regexp_instr("text", F.lit("[0-9@+]")))
+    start = F.greatest(marked - SAMPLE_CHARS // 2, F.lit(1))
+    stretch = F.regexp_replace(F.substr("text", start, F.lit(SAMPLE_CHARS)), r"^[^\x20\x09-\x0D]*[\x20\x09-\x0D]|[\x20\x09-\x0D][^\x20\x09-\x0D]*$", "")
+    short = F.when(F.length("text") <= SAMPLE_CHARS, F.col("text")).otherwise(stretch)
+    texts = found.groupBy("hash").agg(F.first(short).alias("text")).orderBy("hash").collect()  # SAMPLE_ROWS at most
+    return train([row["text"] for row in texts])
 
 
 def added_spans(text: str, spans: list[tuple[int, int]], labels: np.ndarray, sure: np.ndarray, base: list[Span], near: set[int]) -> list[Span]:
@@ -302,7 +403,7 @@ def added_spans(text: str, spans: list[tuple[int, int]], labels: np.ndarray, sur
 
 def find_all(texts: list[str | None], field: Field) -> list[tuple[list[Span], list[Span]]]:
     """For each text the rules' spans, and all spans."""
-    graph, held, out = Graph(), [], []
+    graph, held, out = Graph(field.cues), [], []
     for text in texts:
         base = base_spans(text)
         spans = marked_words(text) if text else []

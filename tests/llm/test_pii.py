@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from podium.llm import pii
-from tests.llm.rows import ROWS, awkward, empty
+from tests.llm.rows import ROWS, SCHEMA, awkward, empty
 
 PATTERNS = (
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -147,6 +147,52 @@ def test_clean_texts_are_left_alone(field):
     assert [spans for _, spans in pii.find_all(clean, field)] == [[]] * len(clean)
 
 
+def cued_texts(n, seed):
+    """Personal data after a cue, and harmless numbers after other words."""
+    draw = random.Random(seed)
+    out = []
+    for i in range(n):
+        phone = f"+1 ({draw.randint(200, 999)}) 555-{draw.randint(1000, 9999)}"
+        ip = ".".join(str(draw.randint(0, 255)) for _ in range(4))
+        out.append(
+            f"w{'xyz'[i % 3]} please call {phone} or write to b{draw.randint(1, 99)}@mail.example.com soon, in {draw.randint(1990, 2024)} {draw.randint(2, 9)} people came, "
+            f"token = \"{draw.getrandbits(120):030x}\" version {draw.randint(1, 9)}.{draw.randint(0, 9)} order {draw.randint(10**7, 10**9)} from host {ip} up"
+        )
+    return out
+
+
+def test_what_follows_a_cue_is_found_beyond_the_rules():
+    """Numbers that fit no rule are found after a word that stands before phones, and nowhere else."""
+    field = pii.train(cued_texts(400, 5))
+    assert field.cues["call"] == "phone" and field.cues["host"] == "ip" and "order" not in field.cues and "in" not in field.cues
+    draw = random.Random(6)
+    numbers = [draw.choice(["5551{:06d}", "555-{:07d}", "(555){:07d}", "555.{:07d}"]).format(draw.randint(0, 999_999)) for _ in range(60)]
+    hits = []
+    for number in numbers:
+        text = f"so please call {number} now"
+        base, spans = pii.find_all([text], field)[0]
+        assert base == []
+        hits += [text[a:b] for a, k, b in spans if pii.KINDS[k] == "phone"]
+    recall = len(hits) / len(numbers)
+    assert recall > 0.5, recall
+    clean = [f"so they order {n} now" for n in numbers] + [f"call {n} people in {1990 + n}" for n in range(2, 30)] + ["please call me", 'token = "9f8e7d6c5b4a39281706f5e4d3c2b1"']
+    assert [t for t, (_, spans) in zip(clean, pii.find_all(clean, field), strict=True) if spans] == []
+
+
+def test_like_words_are_linked_whatever_their_case_and_punctuation(field):
+    graph = pii.Graph()
+    text = "Bob@Example.org and bob@example.org, or <bob@example.org> not (BOB@example.org.) so carl@example.org"
+    graph.add(text, pii.marked_words(text))
+    assert graph.skip == [(0, 1), (1, 2), (2, 3)]
+
+
+def test_long_texts_teach(spark):
+    long = [" ".join(["filler"] * 3000) + " " + t + " " + " ".join(["filler"] * 3000) for t in cued_texts(40, 8)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(long)], SCHEMA)
+    field = pii.fit(docs)
+    assert abs(field.nodes).sum() > 0 and field.cues["call"] == "phone"
+
+
 def test_redaction():
     assert pii.redact("a b@c.de f", [(2, 0, 8)]) == "a [EMAIL] f"
     assert pii.redact("0123456789", [(1, 2, 5), (3, 3, 7)]) == "0[CARD]789"
