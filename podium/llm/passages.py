@@ -111,12 +111,13 @@ def clean_block(table: pa.Table, told: pa.Table) -> pa.Table:
     kinds = np.asarray(told.column("kind"))
     rows = kinds == DOCUMENT_ROWS
     numbers = dict(zip(np.asarray(told.column("a"))[rows].tolist(), np.asarray(told.column("b"))[rows].tolist(), strict=True))
-    documents, ids = [], []
-    for doc_id, key, text in zip(*[table.column(c).to_pylist() for c in ("doc_id", "key", "text")], strict=True):
-        number = numbers.pop(key, None)
-        if number is not None:  # else a row that was there before
-            documents.append((number, (text or "").encode().split()))
-            ids.append(doc_id)
+    documents, ids, place = [], [], {}
+    for doc_id, key, text in zip(*[table.column(c) for c in ("doc_id", "key", "text")], strict=True):
+        same = key.as_py()
+        if same not in place:
+            place[same] = len(documents)
+            documents.append((numbers[same], (text.as_py() or "").encode().split()))
+        ids.append((doc_id.as_py(), place[same]))
     own = [i for i, (number, _) in enumerate(documents) if number != COPY]
     mine = [documents[i] for i in own]
     found = dict(zip(own, repeats_in_block(mine, confirmed_passages(told, mine)), strict=True))
@@ -127,8 +128,11 @@ def clean_block(table: pa.Table, told: pa.Table) -> pa.Table:
         kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if gone.any() else b" ".join(words)
         for values, value in zip(out, (len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), _stretches(gone)), strict=True):
             values.append(value)
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), STRETCHES]
-    return pa.table([pa.array(v, t) for v, t in zip([ids, *out], types, strict=True)], [c.split()[0] for c in RESULT.split(", ")[:5]])
+    # Rows that repeat a document have its result.
+    types = [pa.int64(), pa.int64(), pa.string(), STRETCHES]
+    rows = pa.array([at for _, at in ids], pa.int64())
+    columns = [pa.array([i for i, _ in ids], pa.int64()), *[pa.array(v, t).take(rows) for v, t in zip(out, types, strict=True)]]
+    return pa.table(columns, [c.split()[0] for c in RESULT.split(", ")[:5]])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -136,7 +140,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A word goes if it is in a window of 20 words whose words also start earlier: in a document of smaller doc_id, or before in the same one. All is
     judged on the input. A null doc_id counts as the smallest; of different texts with one doc_id, an arbitrary but fixed one is
-    earlier. Rows that repeat both doc_id and text are one document and one row. A null text has no words. An empty table gives an empty result.
+    earlier. Rows that repeat both doc_id and text are one document, and each has its result. A null text has no words. An empty table gives an empty result.
     """
     corpus = Corpus(docs, "passages")
     runs = recurring.recurring_runs(corpus, WINDOW, RUN)

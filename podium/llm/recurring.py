@@ -23,6 +23,7 @@ from podium.llm.words import WordBlock, document_key, leftmost_minima, runs_ever
 from podium.sources.scratch import stage
 
 BLOCK_CHARS = 4 << 20
+ROW_CHARS = 256  # what a row counts besides its text, so that many short or null texts are many blocks too
 #: A place is a document's number in the order of ids, and a word number below this many bits.
 WORD_BITS = 28
 BLANKS = " \t\n\v\f\r"
@@ -40,7 +41,7 @@ class Corpus:
     def __init__(self, docs: DataFrame, name: str):
         text = F.col("text").cast("string")
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), document_key().alias("key"), text.alias("text"))
-        chars = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+        chars = rows.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + ROW_CHARS).alias("n")).first()["n"] or 0
         self.n_blocks = max(1, -(-chars // BLOCK_CHARS))
         # Another hash than the key's: documents are told apart by both.
         block = F.pmod(F.hash("doc_id", "text"), F.lit(self.n_blocks)).cast("int")

@@ -1,12 +1,12 @@
-"""Repeated passages with sparse suffix arrays.
+"""Repeated passages with sparse suffixes.
 
-Only suffixes at content-selected (minimiser) positions are retained, about six for every hundred words. Suffixes that share their first 16
-words are neighbours in sorted order; those without such a neighbour are dropped. The rest are extended: to the left by up to 34 words
-and to the right, which takes in every window of 50 words that retains the suffix; windows are sorted in turn, equal neighbours
-compared, and the earliest of them kept as the source. Matches that go on in both documents are joined, so a match ends where the texts differ.
+Only suffixes at content-selected (minimiser) positions are retained, about six for every hundred words. Suffixes alike in their first 16
+words belong together; those without a like one are dropped. The rest are widened: to the left by up to 34 words
+and to the right, which takes in every window of 50 words that retains the suffix; windows are grouped in turn
+and the earliest of each group kept as the source. Matches that go on in both documents are joined, so a match ends where the texts differ.
 
-The sorting is Spark's: windows over the hash of the compared words sort each shuffle partition, so that equal prefixes are next to each other.
-A block of documents sends a suffix once however often it holds it, so a frequent passage is a row of each block at most.
+Words are compared by their hashes: 64 bits for the first 16 words, 96 bits for a window. Grouping is Spark's: windows over the hash sort each shuffle partition, so that equal
+ones are next to each other. A block of documents sends a suffix once however often it holds it, so a frequent passage is a row of each block at most.
 """
 
 from __future__ import annotations

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -33,10 +34,10 @@ def covered(rows, length):
 
 
 def removed(rows):
-    out = []
-    for doc_id, words, gone in covered(rows, passages.WINDOW):
+    out, times = [], Counter((d, t) for d, t, *_ in rows)
+    for document, (doc_id, words, gone) in zip(ordered(rows), covered(rows, passages.WINDOW), strict=True):
         kept = " ".join(w for (*_, w), g in zip(words, gone) if not g)
-        out.append((doc_id, len(words), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+        out += [(doc_id, len(words), sum(gone), hashlib.sha256(kept.encode()).hexdigest())] * times[document]
     return sorted(map(repr, out))
 
 
@@ -109,6 +110,21 @@ def test_awkward_rows(spark):
     assert {r.of_doc_id for r in by_id[9]} == {None}
 
 
+def test_repeated_rows_have_a_result_each(spark):
+    rows = [(None, prose(3, 30), "en", "hot", 0)] * 40 + [(i, prose(3 + i % 2, 30), "en", "s", 0) for i in range(1, 9)] + [(1, prose(4, 30), "en", "s", 0)] * 3
+    got = passages.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(repr((r.doc_id, r.n_words, r.n_removed, r.kept_sha256)) for r in got) == removed(rows)
+    assert len(got) == len(rows)
+
+
+def test_rows_without_text_fill_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(recurring, "BLOCK_CHARS", 1 << 14)
+    docs = spark.range(2000).selectExpr("id AS doc_id", "CAST(NULL AS STRING) AS text")
+    corpus = recurring.Corpus(docs, "blocks")
+    assert corpus.n_blocks == 32
+    assert corpus.blocks.groupBy("block").count().agg({"count": "max"}).first()[0] < 200
+
+
 def test_empty_table(spark):
     assert passages.remove_repeats(empty(spark)).collect() == []
     assert suffixes.repeated_passages(empty(spark)).collect() == []
