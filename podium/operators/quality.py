@@ -114,6 +114,9 @@ def table_profile(df: DataFrame, *, exact: bool = False) -> DataFrame:
     summed = [c for c in numbers if exact and not isinstance(df.schema[c].dataType, T.DecimalType)]
     moments = one_row(exact_moments(df, summed)) if summed else None
 
+    number_columns = dict.fromkeys(("mean", "stddev", "min_number", "max_number"), "double")
+    time_columns = dict.fromkeys(("min_time", "max_time"), "timestamp_ntz")
+
     def number(c: str) -> dict[str, Column]:
         value = quoted(c)
         ends = {"non_null": F.count(value), "min_number": F.min(value).cast("double"), "max_number": F.max(value).cast("double")}
@@ -137,16 +140,21 @@ def table_profile(df: DataFrame, *, exact: bool = False) -> DataFrame:
         f.name for f in df.schema if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
     ]
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    # Times are as cheap as numbers, but a row has the statistics of one kind.
     kept = [c for c in numbers if c not in summed]
-    parts = [_long(df, c, stats) for c, stats in ((kept, number), (texts, text), (times, time)) if c]
+    # Numbers and times are as cheap as each other and share an aggregation; a row has the statistics of one kind and NULL for the other.
+    both = number_columns | time_columns
+
+    def quick(c: str) -> dict[str, Column]:
+        own = number(c) if c in kept else time(c)
+        return {"non_null": own["non_null"]} | {n: own.get(n, F.max(F.lit(None).cast(kind))) for n, kind in both.items()}
+
+    parts = [_long(df, c, stats) for c, stats in ((kept + times, quick), (texts, text)) if c]
     if summed:
         parts.append(_long(df, summed, number, exactly))
     if not parts:
         raise ValueError("the table has no number, text or time columns")
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    kinds = {"mean": "double", "stddev": "double", "min_number": "double", "max_number": "double",
-             "min_text": "string", "max_text": "string", "min_time": "timestamp_ntz", "max_time": "timestamp_ntz"}
+    kinds = number_columns | {"min_text": "string", "max_text": "string"} | time_columns
     return whole.select(
         "column_name",
         "non_null",
@@ -187,14 +195,20 @@ def impute_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     scalar subquery: nothing goes through the driver program and no join is needed. A column without any value stays NULL.
     """
     kinds = {f.name: f.dataType for f in df.schema}
-    decimals = [c for c in columns if isinstance(kinds[c], T.DecimalType)]  # exact by themselves
-    others = [c for c in columns if c not in decimals]
+    floats = [c for c in columns if isinstance(kinds[c], (T.DoubleType, T.FloatType))]
+    others = [c for c in columns if c not in floats]
     filled = df
     rows = []
+    if floats:
+        rows.append((floats, one_row(exact_means(df, floats))))
     if others:
-        rows.append((others, one_row(exact_means(df, others))))
-    if decimals:
-        rows.append((decimals, one_row(df.agg(*[F.avg(quoted(c)).cast("double").alias(c) for c in decimals]))))
+
+        def mean(c: str) -> Column:
+            if isinstance(kinds[c], T.IntegralType):  # sums of decimals are exact
+                return F.try_divide(F.sum(quoted(c).cast("decimal(38,0)")).cast("double"), F.count(quoted(c)).cast("double"))
+            return F.avg(quoted(c)).cast("double")
+
+        rows.append((others, one_row(df.agg(*[mean(c).alias(c) for c in others]))))
     for some, means in rows:
         helper = "_means"
         while helper in df.columns:

@@ -6,14 +6,18 @@ sport, the order's priority the medal.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.operators.sets import union_all
-from podium.plans import games
+from podium.plans import games, job
 from podium.plans.queries.ranking import mode_sql
 from podium.plans.queries.registry import REGISTRY, query, table
-from podium.sources.scratch import stage
+from podium.sources.scratch import scratch_path, stage
+from podium.sources.sinks import write_csv
 
 HOSTS = {
     1956: "NATION_1",
@@ -232,14 +236,42 @@ AT_ONCE = {
 
 
 @query(" UNION ALL ".join(_lines(a, label, values).format(REGISTRY[name].sql) for a, (name, label, values) in AT_ONCE.items()))
-def games_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+def analyses_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All five analyses from one scan and one shuffle of the results."""
     counts = games.shared(_scoped(spark, sf_dir)).stored(stage)
-    found = games.from_shared(counts, HOSTS)
+    return _as_lines(games.from_shared(counts, HOSTS), list(AT_ONCE))
+
 
+def _as_lines(found: Mapping[str, DataFrame], analyses: list[str]) -> DataFrame:
     def lines(analysis: str) -> DataFrame:
         _, label, values = AT_ONCE[analysis]
         text = lambda columns: F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns])
         return found[analysis].select(F.lit(analysis).alias("analysis"), text(label).alias("label"), text(values).alias("result"))
 
-    return union_all([lines(a) for a in AT_ONCE])
+    return union_all([lines(a) for a in analyses])
+
+
+BY_JOB = ["gender_ratio", "top10_countries", "dominant_sports", "height_weight_age"]
+
+
+@query(
+    " UNION ALL ".join(_lines(a, *AT_ONCE[a][1:]).format(REGISTRY[AT_ONCE[a][0]].sql) for a in BY_JOB)
+    + " UNION ALL SELECT 'rejected_records', '', '0' UNION ALL SELECT 'second run', 'refused', 'old result kept'"
+)
+def job_from_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job from a CSV file to parquet results; a second run that must not overwrite fails and changes nothing."""
+    source, target = scratch_path(spark, "results-csv"), scratch_path(spark, "results-out")
+    write_csv(results(spark, sf_dir), source, null_value="NA")
+    place = job.Environment(source, target)
+    written = job.run(spark, place, analyses=[*BY_JOB, job.REJECTED], fmt="parquet")
+    try:
+        job.run(spark, place, analyses=BY_JOB[:1], fmt="parquet", mode="errorifexists")
+        second = "overwritten"
+    except AnalysisException:
+        second = "refused"
+    found = {a: spark.read.parquet(path) for a, path in written.items()}
+    more = [
+        found.pop(job.REJECTED).agg(F.count("*").cast("string").alias("result")).select(F.lit(job.REJECTED).alias("analysis"), F.lit("").alias("label"), "result"),
+        found["gender_ratio"].agg(F.when(F.count("*") > 0, F.lit("old result kept")).alias("result")).select(F.lit("second run").alias("analysis"), F.lit(second).alias("label"), "result"),
+    ]
+    return union_all([_as_lines(found, BY_JOB), *more])

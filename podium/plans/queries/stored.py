@@ -14,6 +14,7 @@ from podium.operators.sets import union_all
 from podium.operators.tally import tally
 from podium.operators.trend import growth
 from podium.plans.queries.registry import LABELLED_SQL, labelled_documents, order_year, query, table
+from podium.sources.dimensions import dimension
 from podium.sources.layout import Layout, lay_out
 from podium.sources.profiles import refresh_profile
 from podium.sources.publishing import publish, publish_partitions
@@ -51,8 +52,8 @@ def counts_while_writing(spark: SparkSession, sf_dir: str) -> DataFrame:
     watched, counts = observed(labelled_documents(spark, sf_dir), {"good": F.col("quality") == 1})
     watched.write.parquet(scratch_path(spark, "labelled"))
     found = counts()
-    rows = [(c, found["rows"], found["nulls"][c], found["where"]["good"]) for c in watched.columns]
-    return spark.createDataFrame(rows, "column_name string, row_count long, nulls long, good_rows long")
+    nulls = dimension(spark, found["nulls"], "column_name", "nulls", "string", "long")
+    return nulls.withColumns({"row_count": F.lit(found["rows"]).cast("long"), "good_rows": F.lit(found["where"]["good"]).cast("long")})
 
 
 PROFILED = {
