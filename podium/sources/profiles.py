@@ -22,6 +22,11 @@ STATE = (
 _TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
+def _named() -> list[Column]:
+    hidden = ("file_path", "file_modification_time", "file_size")
+    return [F.col(f"_metadata.{c}").alias(name) for c, name in zip(hidden, FILE, strict=True)]
+
+
 def _sketched(field: T.StructField) -> Column:
     """What a distinct sketch counts: whole numbers and text as they are, other types by their text."""
     value = quoted(field.name)
@@ -62,9 +67,7 @@ def file_states(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
         low, high = ends(field)
         sketch = F.lit(None).cast("binary") if isinstance(field.dataType, nested) else F.hll_sketch_agg(_sketched(field), LG_K)
         aggregates += [F.count(quoted(field.name)).alias(f"_known{i}"), low.alias(f"_low{i}"), high.alias(f"_high{i}"), sketch.alias(f"_sketch{i}")]
-    wide = df.groupBy(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("bytes")
-    ).agg(F.count(F.lit(1)).alias("_rows"), *aggregates)
+    wide = df.groupBy(*_named()).agg(F.count(F.lit(1)).alias("_rows"), *aggregates)
     return wide.select(*FILE, F.inline(F.array(*[entry(i, f) for i, f in enumerate(fields)])))
 
 
@@ -81,9 +84,9 @@ def merged_profile(states: DataFrame) -> DataFrame:
 
 
 def listed_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
-    """``file, modified, bytes`` of the files below a folder; their contents are not read."""
+    """``file, modified, bytes`` of the files below a folder, as their states name them, and ``path`` to load them by; their contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return files.select(F.col("path").alias("file"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+    return files.select(*_named(), "path")
 
 
 def refresh_profile(
@@ -102,7 +105,7 @@ def refresh_profile(
         states = spark.createDataFrame([], STATE)  # the first run
     seen = states.select(*FILE).distinct()
     same = reduce(Column.__and__, [present[c] == seen[c] for c in FILE])
-    new = [r["file"] for r in present.join(seen, same, "left_anti").select("file").collect()]
+    new = [r["path"] for r in present.join(seen, same, "left_anti").select("path").collect()]
     if new:
         read = spark.read.format(fmt).schema(schema).load(new)
         file_states(read, columns).write.mode("append").parquet(states_path)

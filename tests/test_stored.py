@@ -63,6 +63,15 @@ def test_only_new_files_are_read_and_states_merge(spark, tmp_path):
     assert read == []
 
 
+def test_folders_of_odd_names(spark, tmp_path):
+    folder, states = str(tmp_path / "in put"), str(tmp_path / "sta tes")
+    frame = spark.createDataFrame(rows(0, 40), SCHEMA).withColumn("part", F.concat(F.lit("a b%"), F.col("id") % 2))
+    frame.write.partitionBy("part").parquet(folder)
+    for new in (True, False):
+        profile, read = refresh_profile(spark, folder, states, schema=SCHEMA)
+        assert (len(read) > 0) is new and profile_of(profile)["id"][0] == 40
+
+
 def test_replaced_and_removed_files_count_no_more(spark, tmp_path):
     folder, states = str(tmp_path / "in"), str(tmp_path / "states")
     frame = spark.createDataFrame(rows(0, 100), SCHEMA)
