@@ -34,7 +34,7 @@ from podium.sources.quarantine import checked_frames, read_csv_checked
 from podium.sources.readers import read_csv_text
 from podium.sources.scratch import clear, scratch_path
 from podium.sources.scratch import stage as staged
-from podium.sources.sinks import observed, write_csv, write_parquet
+from podium.sources.sinks import observed, refuse_existing, write_csv, write_parquet
 
 
 @dataclass(frozen=True)
@@ -123,9 +123,14 @@ def run(
     columns it needs. What the published results count is then counted once, by one scan and one shuffle. It survives lost executors, unlike a cache. The run's
     copies are removed at its end.
 
+    With ``mode="errorifexists"`` a run that finds any of its results there fails before it reads or writes anything.
+
     ``sep`` and ``null_value`` are those of the results file. ``counts``, if given, gets rows and NULLs of each result, taken while it is written.
     """
     chosen = analyses or DEFAULT_ANALYSES
+    targets = {name: f"{environment.output.rstrip('/')}/{name}" for name in chosen}
+    if mode == "errorifexists":
+        refuse_existing(spark, targets.values())
     folder = scratch_path(spark, "job")
 
     def keep(df: DataFrame, name: str) -> DataFrame:
@@ -148,7 +153,7 @@ def run(
                 result = ANALYSES[name](table.rejected if name == REJECTED else table.rows if name in AS_READ else entries)
             if explain:
                 result.explain("formatted")
-            target = f"{environment.output.rstrip('/')}/{name}"
+            target = targets[name]
             watched, found = observed(result)
             if fmt == "parquet":
                 write_parquet(watched, target, mode=mode)

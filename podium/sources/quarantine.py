@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,17 +81,19 @@ def checked_records(
         return known & value(field).isNull()
 
     whole = quoted(broken).isNull()
-    faults = [F.when(~whole, F.lit("fields"))]
-    faults += [
-        F.when(whole & misfit(f), F.lit(f"type of {f.name}")) for f in typed if not isinstance(f.dataType, T.StringType)
-    ]
+    misfits = {f.name: misfit(f) for f in typed if not isinstance(f.dataType, T.StringType)}
+    faults = [F.when(~whole, F.lit("fields"))] + [F.when(whole & wrong, F.lit(f"type of {n}")) for n, wrong in misfits.items()]
+    # Nearly all records fit: lists are made, and with no checks records written again, only for those that do not.
+    faulty = F.coalesce(reduce(or_, misfits.values(), ~whole), F.lit(False))
+    none = F.array().cast("array<string>")
+    record = F.coalesce(quoted(broken), F.to_csv(F.struct(*[quoted(f.name) for f in typed]), _text_options(options)))
     # What a condition sees are typed values, so they are there before it.
     values = {f.name: _free(f"value{i}", taken) for i, f in enumerate(typed)}
     prepared = read.select(
         F.col("_metadata.file_path").alias(names[FILE]),
-        F.coalesce(quoted(broken), F.to_csv(F.struct(*[quoted(f.name) for f in typed]), _text_options(options))).alias(names[RECORD]),
+        (record if checks else F.when(faulty, record)).alias(names[RECORD]),
         whole.alias(broken),
-        F.array_compact(F.array(*faults)).alias(names[REASONS]),
+        F.when(faulty, F.array_compact(F.array(*faults))).otherwise(none).alias(names[REASONS]),
         *[value(f).alias(values[f.name]) for f in typed],
     ).withColumnsRenamed({v: n for n, v in values.items()})
     for name, holds in (checks or {}).items():
@@ -119,7 +123,8 @@ def read_csv_checked(spark: SparkSession, path: str | list[str], schema: T.Struc
     records, names = checked_records(spark, path, schema, **options)
     split = _free("rejected", {c.lower() for c in records.columns})
     target = target or scratch_path(spark, "checked")
-    marked = records.withColumn(split, quoted(names[REASONS]).isNotNull())
+    broken = quoted(names[REASONS]).isNotNull()
+    marked = records.withColumns({split: broken, names[FILE]: F.when(broken, quoted(names[FILE]))})  # only rejected records are read with their file
     marked.write.partitionBy(split).parquet(target)
     both = spark.read.schema(marked.schema).parquet(target)
     fields = [c for c in records.columns if c not in names.values()]

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
+from functools import reduce
+from operator import or_
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,11 +27,11 @@ def _unbroken(df: DataFrame, line_sep: str | None, null_value: str | None) -> Da
 
     That is one with a character that ends a record, or one equal to the mark for NULL.
     """
-    breaks = re.escape(line_sep) if line_sep else r"[\r\n]"
+    breaks = [line_sep] if line_sep else ["\r", "\n"]
 
     def checked(name: str) -> Column:
         text = quoted(name)
-        lost = text.rlike(breaks)
+        lost = reduce(or_, [text.contains(b) for b in breaks])
         if null_value:
             lost = lost | (text == F.lit(null_value))
         message = F.lit(f"a text in column {name} can't be written to this CSV without loss")
@@ -38,6 +41,14 @@ def _unbroken(df: DataFrame, line_sep: str | None, null_value: str | None) -> Da
     return df.select(*[checked(c) if c in texts else quoted(c) for c in df.columns])
 
 
+def refuse_existing(spark: SparkSession, paths: Iterable[str]) -> None:
+    """An error, as a write with ``mode="errorifexists"`` gives, if any of the paths is there: for jobs with several results, before the first is made."""
+    for path in paths:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+            raise AnalysisException(f"path {path} already exists")
+
+
 def write_csv(
     df: DataFrame,
     path: str,

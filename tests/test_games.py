@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from podium.plans import games, job
 from podium.sources import clear, read_csv_text, shared_dir, stage
@@ -161,6 +163,17 @@ def test_job_keeps_old_results_on_request(spark, path, tmp_path):
         job.run(spark, place, analyses=["top10_countries"], fmt="parquet", mode="errorifexists")
 
 
+def test_a_refused_job_reads_and_writes_nothing(spark, path, tmp_path):
+    """Also if only its last result is there, the first ones are not written, and the file is not read: a missing one makes no difference."""
+    out = tmp_path / "out"
+    job.run(spark, job.Environment(path, str(out)), analyses=["top10_countries"], fmt="parquet")
+    before = sorted(os.listdir(out / "top10_countries"))
+    for source in (path, str(tmp_path / "no-such-file.csv")):
+        with pytest.raises(AnalysisException, match="(?i)already exists"):
+            job.run(spark, job.Environment(source, str(out)), analyses=["gender_ratio", "null_profile", "top10_countries"], fmt="parquet", mode="errorifexists")
+    assert os.listdir(out) == ["top10_countries"] and sorted(os.listdir(out / "top10_countries")) == before
+
+
 def test_shared_counts_give_the_same_results(spark, scoped):
     """One scan and one shuffle serve the five analyses."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
