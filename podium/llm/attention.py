@@ -1,9 +1,9 @@
 """A small causal self-attention model in numpy: training, and scoring in overlapping windows.
 
 One layer, one head. A position is the sum of two embeddings; it attends to itself and to earlier positions, with a learned bias for each
-distance; a hidden layer over the position and what it attended to predicts the class of the next token. Frequent tokens are classes of their own, the
-others share classes by frequency, within which a token's probability is its smoothed share of the corpus counts. So probabilities add up to
-one over all tokens at a small part of the cost of a full vocabulary.
+distance; a hidden layer over the position and what it attended to predicts the next token's group of classes, and its class in that group. Frequent tokens
+are classes of their own, the others share classes by frequency, within which a token's probability is its smoothed share of the corpus counts. So
+probabilities add up to one over all tokens at a small part of the cost of a full vocabulary.
 """
 
 from __future__ import annotations
@@ -14,12 +14,23 @@ import numpy as np
 
 SIZE, HIDDEN = 16, 32
 CLASSES, SHARED = 128, 32  # classes in all, and those that hold more than one token
+GROUP = 16  # neighbouring classes that make a group
 WINDOW, STRIDE = 32, 16  # a window's later half is scored, its earlier half is context; the first one is scored whole
 POSITIONS_AT_ONCE = 1 << 12
+LIMIT = 40.0
 SMOOTHING = 0.1
 _LENGTHS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, WINDOW])
 
 
+def _softmax(z: np.ndarray, seen: np.ndarray | None = None) -> None:
+    """The last axis in place, over what is ``seen``. Logits end at LIMIT, so no row's largest has to be found; what comes out adds up to one all the same."""
+    np.clip(z, -LIMIT, LIMIT, out=z)
+    np.exp(z, out=z)
+    if seen is not None:
+        z *= seen
+    z /= (z @ np.ones(z.shape[-1], z.dtype))[..., None]
+
+
 class Vocabulary:
     """Token classes from corpus counts, and each token's log probability within its class."""
 
@@ -55,6 +66,8 @@ class Attention:
             "c1": np.zeros(HIDDEN, np.float32),
             "w2": normal(HIDDEN, CLASSES, scale=0.1),
             "c2": prior.astype(np.float32),
+            "w3": normal(HIDDEN, CLASSES // GROUP, scale=0.1),
+            "c3": np.logaddexp.reduceat(prior, np.arange(0, CLASSES, GROUP)).astype(np.float32),
         }
 
     def vectors(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -62,92 +75,135 @@ class Attention:
 
     def _attend(self, x: np.ndarray, first: int) -> tuple[np.ndarray, ...]:
         """For positions ``first`` on of windows x (n, length, SIZE): their queries, keys, values, weights and what they attend to."""
-        p, length = self.p, x.shape[1]
-        q = x[:, first:] @ p["q"] * np.float32(SIZE**-0.5)
-        k, v = x @ p["k"], x @ p["v"]
+        p, (n, length, _) = self.p, x.shape
+        flat = x.reshape(-1, SIZE)
+        q = (x[:, first:].reshape(-1, SIZE) @ p["q"] * np.float32(SIZE**-0.5)).reshape(n, -1, SIZE)
+        k, v = (flat @ p["k"]).reshape(x.shape), (flat @ p["v"]).reshape(x.shape)
         back = np.arange(first, length)[:, None] - np.arange(length)
-        bias = np.where(back >= 0, p["near"][np.maximum(back, 0)], np.float32(-1e9))
         s = q @ k.transpose(0, 2, 1)
-        s += bias
-        s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
+        s += p["near"][np.maximum(back, 0)]
+        _softmax(s, back >= 0)
         return q, k, v, s, s @ v
 
+    def _outputs(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of hidden rows h in the order of their target's group: what precedes the two softmaxes, over groups and over the target group's classes,
+        and where each group's rows begin."""
+        p = self.p
+        begin = np.searchsorted(target // GROUP, np.arange(CLASSES // GROUP + 1))
+        groups = h @ p["w3"]
+        groups += p["c3"]
+        classes = np.empty((len(h), GROUP), h.dtype)
+        for j, (s, e) in enumerate(zip(begin, begin[1:], strict=False)):
+            if e > s:
+                own = slice(j * GROUP, (j + 1) * GROUP)
+                np.matmul(h[s:e], p["w2"][:, own], out=classes[s:e])
+                classes[s:e] += p["c2"][own]
+        return groups, classes, begin
+
     def log_class(self, x: np.ndarray, first: int, target: np.ndarray) -> np.ndarray:
         """Log probabilities of the target classes at positions ``first`` on."""
         p = self.p
         *_, o = self._attend(x, first)
-        both = np.concatenate([x[:, first:], o], axis=2).reshape(-1, 2 * SIZE)
-        h = both @ p["w1"]
+        order = np.argsort((target.ravel() // GROUP).astype(np.uint8), kind="stable")
+        wanted = target.ravel()[order]
+        h = x[:, first:].reshape(-1, SIZE) @ p["w1"][:SIZE]
+        h += o.reshape(-1, SIZE) @ p["w1"][SIZE:]
         h += p["c1"]
         np.maximum(h, 0, out=h)
-        z = h @ p["w2"]
-        z += p["c2"]
-        z -= z.max(axis=1, keepdims=True)
-        hit = z[np.arange(len(z)), target.ravel()]
-        np.exp(z, out=z)
-        return (hit - np.log(z.sum(axis=1))).reshape(target.shape)
-
-    def step(self, a: np.ndarray, b: np.ndarray, target: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over the real positions of windows, and its slopes."""
+        found = np.zeros(len(order), h.dtype)
+        groups, classes, _ = self._outputs(h[order], wanted)
+        for z, hit in ((groups, wanted // GROUP), (classes, wanted % GROUP)):
+            _softmax(z)
+            found += np.log(z[np.arange(len(z)), hit])
+        out = np.empty_like(found)
+        out[order] = found
+        return out.reshape(target.shape)
+
+    def step(self, a: np.ndarray, b: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss over the positions of windows by their weights (0 or false: none), and its slopes."""
         p = self.p
         x = self.vectors(a, b)
         q, k, v, s, o = self._attend(x, 0)
-        both = np.concatenate([x, o], axis=2)
-        pre = both @ p["w1"] + p["c1"]
+        order = np.argsort((target.ravel() // GROUP).astype(np.uint8), kind="stable")
+        wanted = target.ravel()[order]
+        both = np.concatenate([x, o], axis=2).reshape(-1, 2 * SIZE)[order]
+        pre = both @ p["w1"]
+        pre += p["c1"]
         h = np.maximum(pre, 0)
-        z = h @ p["w2"] + p["c2"]
-        z -= z.max(axis=2, keepdims=True)
-        e = np.exp(z)
-        e /= e.sum(axis=2, keepdims=True)
-        n = max(1, real.sum())
-        i, j = np.indices(target.shape)
-        loss = -np.log(np.maximum(e[i, j, target], 1e-30))[real].sum() / n
-        e[i, j, target] -= 1
-        e *= (real / n)[:, :, None].astype(np.float32)
-        g = {"w2": np.einsum("blh,blc->hc", h, e, optimize=True), "c2": e.sum(axis=(0, 1))}
-        dh = e @ p["w2"].T * (pre > 0)
-        g |= {"w1": np.einsum("bld,blh->dh", both, dh, optimize=True), "c1": dh.sum(axis=(0, 1))}
-        dboth = dh @ p["w1"].T
-        dx, do = dboth[:, :, :SIZE].copy(), dboth[:, :, SIZE:]
+        share = (weight.ravel()[order] / max(1.0, float(weight.sum()))).astype(h.dtype)
+        groups, classes, begin = self._outputs(h, wanted)
+        loss = 0.0
+        for e, hit in ((groups, wanted // GROUP), (classes, wanted % GROUP)):
+            _softmax(e)
+            at = (np.arange(len(e)), hit)
+            loss -= float((np.log(np.maximum(e[at], 1e-30)) * share).sum())
+            e[at] -= 1
+            e *= share[:, None]
+        g = {"w3": h.T @ groups, "c3": groups.sum(axis=0), "w2": np.zeros_like(p["w2"]), "c2": np.zeros_like(p["c2"])}
+        dh = groups @ p["w3"].T
+        for j, (i, e) in enumerate(zip(begin, begin[1:], strict=False)):
+            if e > i:
+                own = slice(j * GROUP, (j + 1) * GROUP)
+                g["w2"][:, own] = h[i:e].T @ classes[i:e]
+                g["c2"][own] = classes[i:e].sum(axis=0)
+                dh[i:e] += classes[i:e] @ p["w2"][:, own].T
+        dh *= pre > 0
+        g |= {"w1": both.T @ dh, "c1": dh.sum(axis=0)}
+        dboth = np.empty_like(both)
+        dboth[order] = dh @ p["w1"].T
+        dx, do = dboth[:, :SIZE].copy(), dboth[:, SIZE:].reshape(x.shape)
         ds = do @ v.transpose(0, 2, 1)
         dv = s.transpose(0, 2, 1) @ do
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
+        ds -= np.einsum("nij,nij->ni", ds, s)[:, :, None]
+        ds *= s
         scale = np.float32(SIZE**-0.5)
         dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q
         length = x.shape[1]
         back = np.arange(length)[:, None] - np.arange(length)
         sums = ds.sum(axis=0)
         g["near"] = np.bincount(back[back >= 0], weights=sums[back >= 0], minlength=WINDOW).astype(np.float32)
+        flat = x.reshape(-1, SIZE)
         for name, d in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = np.einsum("bld,ble->de", x, d, optimize=True)
+            d = d.reshape(-1, SIZE)
+            g[name] = flat.T @ d
             dx += d @ p[name].T
         for name, ids in (("a", a), ("b", b)):
-            g[name] = (ids.ravel(), dx.reshape(-1, SIZE))
-        return float(loss), g
+            g[name] = (ids.ravel(), dx)
+        return loss, g
 
 
-def train(model: Attention, batches: Iterator[tuple[np.ndarray, ...]], rate: float = 0.01) -> float:
-    """Adam over the given batches; embeddings are moved only where a batch uses them. Returns the mean loss of the last batches."""
-    mean = {n: np.zeros_like(w) for n, w in model.p.items()}
-    square = {n: np.zeros_like(w) for n, w in model.p.items()}
-    losses = []
-    for t, batch in enumerate(batches, 1):
-        loss, slopes = model.step(*batch)
-        losses.append(loss)
-        now = rate * min(1.0, t / 50) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
+class Adam:
+    """Moves a model's weights by slopes; embeddings only where a batch uses them."""
+
+    def __init__(self, model: Attention, rate: float = 0.01):
+        self.model, self.rate, self.t = model, rate, 0
+        self.mean = {n: np.zeros_like(w) for n, w in model.p.items()}
+        self.square = {n: np.zeros_like(w) for n, w in model.p.items()}
+
+    def learn(self, a: np.ndarray, b: np.ndarray, target: np.ndarray, weight: np.ndarray) -> float:
+        """One step on a batch; its loss before it."""
+        loss, slopes = self.model.step(a, b, target, weight)
+        self.t += 1
+        now = np.float32(self.rate * min(1.0, self.t / 50) * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
         for name, g in slopes.items():
             if name in "ab":
-                ids, where = np.unique(g[0], return_inverse=True)
-                total = np.zeros((len(ids), SIZE), np.float32)
-                np.add.at(total, where.ravel(), g[1])
-                rows, g = ids, total
+                order = np.argsort(g[0], kind="stable")
+                ids = g[0][order]
+                begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+                rows, g = ids[begin], np.add.reduceat(g[1][order], begin, axis=0)
             else:
                 rows = slice(None)
-            mean[name][rows] = 0.9 * mean[name][rows] + 0.1 * g
-            square[name][rows] = 0.99 * square[name][rows] + 0.01 * g * g
-            model.p[name][rows] -= now * mean[name][rows] / (np.sqrt(square[name][rows]) + 1e-8)
+            mean = 0.9 * self.mean[name][rows] + 0.1 * g
+            square = 0.99 * self.square[name][rows] + 0.01 * g * g
+            self.mean[name][rows], self.square[name][rows] = mean, square
+            self.model.p[name][rows] -= now * mean / (np.sqrt(square) + 1e-8)
+        return loss
+
+
+def train(model: Attention, batches: Iterator[tuple[np.ndarray, ...]], rate: float = 0.01) -> float:
+    """Adam over the given batches. Returns the mean loss of the last batches."""
+    adam = Adam(model, rate)
+    losses = [adam.learn(*batch) for batch in batches]
     return float(np.mean(losses[-50:])) if losses else 0.0
 
 

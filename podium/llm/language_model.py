@@ -6,15 +6,14 @@ it stands, so it is scored once for each word of the corpus and not for each occ
 with the share the word has among the training words of its first subword, each counted once more and one place kept for all unseen words, which the attention
 model shares out among them.
 
-Word counts cover all training documents, and so do the subword counts within the models' classes. The models' weights start from a bounded sample, on the
-driver, and go on in tasks: whole texts chosen by hash, their words growing with the square root of the corpus, are dealt to a few trainers, which
-start from the same weights and are averaged. Documents are dealt into blocks; a block asks for each of its words once, however often it holds it.
+Word counts cover all training documents, and so do the subword counts within the models' classes and the models' weights: they only start from a bounded
+sample, on the driver, and learn in tasks from every word of every training text, and from every counted word's subwords by its count. The trainers start from the same
+weights and are averaged. Documents are dealt into blocks; a block asks for each of its words once, however often it holds it.
 """
 
 from __future__ import annotations
 
 import copy
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,13 +23,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.attention import WINDOW, Attention, Vocabulary, score, train
+from podium.llm.attention import WINDOW, Adam, Attention, Vocabulary, score, train
 from podium.llm.words import WordBlock, blocks
 from podium.sources.scratch import stage
 
 SAMPLE_ROWS, SAMPLE_CHARS = 600, 8192  # texts the weights start from: how many, and of longer ones how much, from a place chosen by hash
-GROWTH = 2.0  # windows trained on in tasks, for each square root of a word
-TRAINERS, WINDOWS_A_TRAINER, WORDS_AT_ONCE = 8, 4096, 200_000
+TRAINER_WORDS = 8_000_000  # what a task that trains learns from, about
+TASK_WINDOWS, TASK_WORDS = 256, 2048  # in a step of such a task
+WINDOWS_AT_ONCE, DIFFERENT_AT_ONCE = 16_384, 100_000  # windows, and different words, that are shuffled together
+PART_ROWS = 4096
 STEPS, WINDOWS_A_STEP, WORDS_A_STEP, WORD_PARTS = 400, 48, 384, 8
 BLOCK_CHARS = 8 << 20
 ROW_CHARS = 256  # what a row counts besides its text, so that many empty texts are many blocks too
@@ -212,57 +213,172 @@ def sample(rows: DataFrame) -> list[str]:
     return [row["text"] for row in found.groupBy("hash").agg(F.first(part).alias("text")).orderBy("hash").collect()]  # SAMPLE_ROWS
 
 
-def refined(model: Model, rows: DataFrame, n_words: int) -> None:
-    """Train on in tasks and set the model to the mean of what they come to, weighed by their words.
+def windows(first: np.ndarray, head: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Inputs, targets and weights of a block's texts, one after the other in windows that do not overlap; every word and every end is a target once.
 
-    Whole texts are chosen by hash, long ones too, copies once. About GROWTH x the root of all training words windows are seen, so training grows with the corpus and stays a
-    vanishing part of its cost. A trainer holds WORDS_AT_ONCE words at a time and returns the weights that it moved; TRAINERS of them reach the driver one by one.
+    ``head`` and ``tail`` are the words' first and last subwords; text i has words first[i] to first[i + 1]. Its beginning is marked by END.
     """
-    windows = GROWTH * math.sqrt(n_words)
-    share = min(1.0, windows * WINDOW / max(1, n_words))
-    trainers = int(max(1, min(TRAINERS, windows // WINDOWS_A_TRAINER)))
-    hashed = rows.filter(~F.col("held_out") & (F.length("text") > 0)).select("text", F.xxhash64(F.lit("train"), "text").alias("hash"))
-    chosen = hashed.filter(F.pmod("hash", F.lit(1 << 30)) < int(share * (1 << 30)))
-    dealt = chosen.groupBy("hash").agg(F.first("text").alias("text")).repartition(trainers, "hash").sortWithinPartitions("hash")
+    begin = first + np.arange(len(first))  # each text has a beginning before its words
+    n = len(head) + len(first) - 1
+    is_word = np.ones(n, dtype=bool)
+    is_word[begin[:-1]] = False
+    size = -(-n // WINDOW) * WINDOW
+    a, b = np.full(size + 1, END), np.full(size, END)
+    a[:n][is_word], b[:n][is_word] = head, tail
+    real = np.arange(size) < n
+    y = np.where(real, a[1:], END)
+    return tuple(v.reshape(-1, WINDOW) for v in (a[:size], b, y, real))
+
+
+class OuterTrainer:
+    """Learns from texts, block by block: each of their words and ends once."""
+
+    def __init__(self, model: Model):
+        self.model, self.adam, self.draw, self.seen = model, Adam(model.outer), np.random.default_rng(5), 0
+        self.ends: dict[bytes, tuple[int, int]] = {}
+        self.held: list[tuple[np.ndarray, ...]] = []
+
+    def _subwords(self, words: list[bytes]) -> np.ndarray:
+        """First and last subword of each word."""
+        if len(self.ends) > HELD_WORDS:
+            self.ends.clear()
+        new = [w for w in words if w not in self.ends]
+        ids, first = parts_of([w.decode() for w in new], self.model.path)
+        self.ends.update(zip(new, zip(ids[first[:-1]].tolist(), ids[first[1:] - 1].tolist(), strict=True), strict=True))
+        return np.array([self.ends[w] for w in words], dtype=np.int64).reshape(-1, 2)
+
+    def learn(self, texts: pa.Array) -> None:
+        block = WordBlock(texts, lower=True)
+        _, at, word = np.unique(block.hashes(), return_index=True, return_inverse=True)
+        data = block.data.tobytes()
+        found = self._subwords([data[s:e] for s, e in zip(block.starts[at].tolist(), block.ends[at].tolist(), strict=True)])[word]
+        a, b, y, real = windows(block.first, found[:, 0], found[:, 1])
+        self.seen += int(real.sum())
+        self.held.append((a, b, self.model.outer_words.of[y], real))
+        if sum(len(v[0]) for v in self.held) >= WINDOWS_AT_ONCE:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.held:
+            return
+        a, b, y, real = (np.concatenate(v) for v in zip(*self.held, strict=True))
+        self.held.clear()
+        order = self.draw.permutation(len(a))
+        for at in np.array_split(order, max(1, round(len(order) / TASK_WINDOWS))):
+            self.adam.learn(a[at], b[at], y[at], real[at])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = copy.deepcopy(model)
-        held, n, seen = [], 0, 0
 
-        def learn() -> None:
-            own.train(held, steps=-(-n // (WINDOWS_A_STEP * WINDOW)), seed=seen)
+class InnerTrainer:
+    """Learns from different words and their counts: all subwords of each, by how often the training texts hold it."""
+
+    def __init__(self, model: Model):
+        self.model, self.adam, self.draw, self.seen = model, Adam(model.inner), np.random.default_rng(7), 0
+        self.words: list[str] = []
+        self.counts: list[int] = []
+
+    def learn(self, words: list[str], counts: list[int]) -> None:
+        self.words += words
+        self.counts += counts
+        if len(self.words) >= DIFFERENT_AT_ONCE:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.words:
+            return
+        words, counts = self.words, np.array(self.counts)
+        self.words, self.counts = [], []
+        ids, first = parts_of(words, self.model.path)
+        following = np.append(ids[1:], END)
+        following[first[1:] - 1] = END
+        target = self.model.inner_words.of[following]
+        self.seen += int(counts.sum())
+        # Words of more subwords than a window has are several pieces.
+        pieces = -(-np.diff(first) // WORD_PARTS)
+        of = np.repeat(np.arange(len(words)), pieces)
+        begin = first[of] + WORD_PARTS * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        end = np.minimum(begin + WORD_PARTS, first[of + 1])
+        # What is frequent comes in many batches with a part of its weight in each, so that none is about a single word.
+        batches = max(1, round(len(of) / TASK_WORDS))
+        weight = counts[of].astype(np.float64)
+        times = np.clip(np.ceil(weight / (8 * weight.mean())), 1, batches).astype(np.int64)
+        which, weight = np.repeat(np.arange(len(of)), times), np.repeat(weight / times, times)
+        order = self.draw.permutation(len(which))
+        for some in np.array_split(order, batches):
+            piece = which[some]
+            at = begin[piece][:, None] + np.arange(int((end - begin)[piece].max()))
+            real = at < end[piece][:, None]
+            at = np.where(real, at, begin[piece][:, None])
+            head = np.broadcast_to(ids[first[of[piece]]][:, None], at.shape)
+            self.adam.learn(ids[at], head, target[at], real * weight[some][:, None])
+
+
+MOVES = "name string, part int, rows binary, moves binary, words long"
+
+
+def moves(net: str, old: Attention, new: Attention, seen: int) -> pa.RecordBatch:
+    """The weights that training moved, by how much, in parts of PART_ROWS rows."""
+    found = []
+    for name, before in old.p.items():
+        before, after = before.reshape(len(before), -1), new.p[name].reshape(len(before), -1)
+        moved = np.flatnonzero((before != after).any(axis=1))
+        for part in np.unique(moved // PART_ROWS).tolist():
+            rows = moved[moved // PART_ROWS == part]
+            found.append((net + name, part, rows.astype("<i4").tobytes(), (after - before)[rows].astype("<f4").tobytes(), seen))
+    return pa.RecordBatch.from_pylist([dict(zip(("name", "part", "rows", "moves", "words"), f, strict=True)) for f in found], MOVED)
+
+
+MOVED = pa.schema([("name", pa.string()), ("part", pa.int32()), ("rows", pa.binary()), ("moves", pa.binary()), ("words", pa.int64())])
+
+
+def mean_moves(table: pa.Table) -> pa.Table:
+    """The mean of all trainers' moves of one part, each row's over those that moved it, weighed by what they learned from."""
+    base = table.column("part")[0].as_py() * PART_ROWS
+    total, weight = None, np.zeros(PART_ROWS)
+    # Added up in one order, whatever the order in which they come.
+    for row in sorted(table.select(["rows", "moves", "words"]).to_pylist(), key=lambda r: (r["words"], r["moves"])):
+        at = np.frombuffer(row["rows"], "<i4") - base
+        moved = np.frombuffer(row["moves"], "<f4").reshape(len(at), -1)
+        total = np.zeros((PART_ROWS, moved.shape[1])) if total is None else total
+        total[at] += row["words"] * moved
+        weight[at] += row["words"]
+    at = np.flatnonzero(weight)
+    values = (total[at] / weight[at][:, None]).astype("<f4")
+    return pa.Table.from_pylist([{"name": table.column("name")[0].as_py(), "part": base // PART_ROWS, "rows": (at + base).astype("<i4").tobytes(), "moves": values.tobytes(), "words": int(weight.max())}], MOVED)
 
+
+def learned(model: Model, rows: DataFrame, counts: DataFrame, n_words: int, n_different: int) -> None:
+    """Train on all training texts and words in tasks, and set the model to the mean of what they come to, weighed by what each learned from.
+
+    The model across words sees every word and end of every training text once, the model within words every counted word with its count. Their texts and words stay
+    where they are read: about one trainer for each TRAINER_WORDS of them, and no shuffle but that of the moves. The sums are made in tasks, part by part; the driver gets one model.
+    """
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = copy.deepcopy(model)
+        trainer = OuterTrainer(own)
         for batch in batches:
-            for text in batch.column("text"):
-                held.append(text.as_py())
-                n += held[-1].count(" ") + 1
-                if n >= WORDS_AT_ONCE:
-                    learn()
-                    held, n, seen = [], 0, seen + n
-        if held:
-            learn()
-            seen += n
-        parts = []
-        for net, (before, after) in enumerate(((model.outer, own.outer), (model.inner, own.inner))):
-            for name, old in before.p.items():
-                old, new = old.reshape(len(old), -1), after.p[name].reshape(len(old), -1)
-                moved = np.flatnonzero((old != new).any(axis=1))
-                parts.append((f"{net}{name}", moved.astype("<i4").tobytes(), (new - old)[moved].astype("<f4").tobytes(), seen))
-        names, ids, values, weights = zip(*parts, strict=True)
-        columns = [pa.array(names), pa.array(ids, pa.binary()), pa.array(values, pa.binary()), pa.array(weights, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["name", "rows", "moves", "words"])
-
-    found = stage(dealt.mapInArrow(run, "name string, rows binary, moves binary, words long"), "lm-trained")
-    sums = {f"{net}{name}": [np.zeros((len(w), w.size // len(w))), np.zeros(len(w))] for net, m in enumerate((model.outer, model.inner)) for name, w in m.p.items()}
-    for row in found.toLocalIterator():
-        total, weight = sums[row["name"]]
+            for part in blocks(batch):
+                trainer.learn(part.column("text"))
+        trainer.flush()
+        yield moves("outer ", model.outer, own.outer, trainer.seen)
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = copy.deepcopy(model)
+        trainer = InnerTrainer(own)
+        for batch in batches:
+            trainer.learn(batch.column("word").to_pylist(), batch.column("n").to_pylist())
+        trainer.flush()
+        yield moves("inner ", model.inner, own.inner, trainer.seen)
+
+    trainers = lambda n: max(1, -(-n // TRAINER_WORDS))
+    texts = rows.filter(~F.col("held_out")).select("text").coalesce(trainers(n_words))
+    words = counts.filter("n > 0").coalesce(trainers(8 * n_different))
+    found = texts.mapInArrow(outer, MOVES).unionByName(words.mapInArrow(inner, MOVES))
+    for row in found.groupBy("name", "part").applyInArrow(mean_moves, MOVES).collect():  # each weight once
+        net, name = row["name"].split(" ")
+        weights = getattr(model, net).p[name]
         at = np.frombuffer(row["rows"], "<i4")
-        total[at] += row["words"] * np.frombuffer(row["moves"], "<f4").reshape(len(at), total.shape[1])
-        weight[at] += row["words"]
-    for net, m in enumerate((model.outer, model.inner)):
-        for name, w in m.p.items():
-            total, weight = sums[f"{net}{name}"]
-            m.p[name] = (w + (total / np.maximum(weight, 1)[:, None]).reshape(w.shape)).astype(w.dtype)
+        weights[at] += np.frombuffer(row["moves"], "<f4").reshape(len(at), *weights.shape[1:])
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -287,7 +403,7 @@ def scored(docs: DataFrame, path: str) -> DataFrame:
     begins[END] = n_ends
     model = Model(path, begins, goes_on, different)
     model.train(sample(rows))
-    refined(model, rows, totals["n"] or 0)
+    learned(model, rows, counts, totals["n"] or 0, totals["v"] or 0)
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -164,3 +164,92 @@ def test_many_unseen_words_share_one_place():
     model = language_model.Model(PATH, nothing, nothing, nothing)
     head, _, logs = model.inside_words(words, np.zeros(len(words), dtype=np.int64))
     assert np.bincount(head, weights=np.exp(logs)).max() <= 1 + 1e-6
+
+
+def fresh_model(texts):
+    words = sorted({w for t in texts for w in t.split()})
+    ids, first = language_model.parts_of(words, PATH)
+    begins, goes_on, different = (np.zeros(language_model.TOKENS, dtype=np.int64) for _ in range(3))
+    begins[ids[first[:-1]]] = 1
+    begins[language_model.END] = goes_on[language_model.END] = len(texts)
+    return language_model.Model(PATH, begins, goes_on, different)
+
+
+@pytest.fixture
+def learning(spark, monkeypatch):
+    """What the trainers learn from, put down in files by the tasks of a run whose start knows no text."""
+    monkeypatch.setattr(language_model, "STEPS", 0)
+
+    def run(texts, rows=None):
+        rows = rows or [(i, t) for i, t in zip((i for i in range(10**6) if zlib.crc32(str(i).encode()) % 7 != 2), texts, strict=False)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        frame = docs.select("doc_id", language_model.held_out().alias("held_out"), "text")
+        counts = language_model.word_counts(frame).cache()
+        totals = counts.agg({"n": "sum"}).first()[0]
+        model = fresh_model([t for _, t in rows])
+        before = {net: {n: w.copy() for n, w in getattr(model, net).p.items()} for net in ("outer", "inner")}
+        language_model.learned(model, frame, counts, totals, counts.count())
+        return {net: np.flatnonzero((getattr(model, net).p["a"] != before[net]["a"]).any(axis=1)) for net in before}
+
+    return run
+
+
+def test_every_training_text_and_word_moves_the_weights(learning):
+    """700 texts, more than the start has, and a long one: the subwords of each are learned from, those of held-out texts are not."""
+    draw = np.random.default_rng(4)
+    words = ["".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), size=6)) for _ in range(3000)]
+    texts = [" ".join(words[i * 4 : i * 4 + 4]) for i in range(700)] + [" ".join(words[2800:2990] * 20)]
+    held = next(i for i in range(10**6, 10**6 + 100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    ids = [i for i in range(10**4) if zlib.crc32(str(i).encode()) % 7 != 2]
+    moved = learning(None, [*zip(ids, texts, strict=False), (held, "\u4e2d\u6587 \u0436\u0443\u043a")])
+    seen, first = language_model.parts_of(words[:2990], PATH)
+    assert set(moved["outer"]) == set(seen[first[:-1]]) | {language_model.END}
+    assert set(moved["inner"]) == set(seen)
+
+
+def test_windows_hold_every_word_and_end_once():
+    first = np.array([0, 0, 3, 50, 50, 51])
+    head, tail = np.arange(1, 52), np.arange(101, 152)
+    a, b, y, real = (v.ravel() for v in language_model.windows(first, head, tail))
+    end = language_model.END
+    want = [w for i in range(5) for w in [*head[first[i] : first[i + 1]], end]]
+    assert y[real].tolist() == want
+    assert a[real].tolist() == [w for i in range(5) for w in [end, *head[first[i] : first[i + 1]]]]
+    assert b[real].tolist() == [w for i in range(5) for w in [end, *tail[first[i] : first[i + 1]]]]
+
+
+def test_words_within_are_learned_whole_and_by_their_counts(monkeypatch):
+    """Long words in several pieces, frequent ones in several batches: their weights add up to the counts of every subword."""
+    words, counts = ["the", "interdenominationalistically" * 3, "cat", "dogs"], [100_000, 3, 1, 7]
+    trainer = language_model.InnerTrainer(fresh_model(words))
+    got = collections.Counter()
+
+    def learn(a, b, target, weight):
+        for i, n in zip(a.ravel().tolist(), weight.ravel().tolist(), strict=True):
+            got[i] += n
+
+    monkeypatch.setattr(trainer.adam, "learn", learn)
+    monkeypatch.setattr(language_model, "TASK_WORDS", 2)
+    trainer.learn(words, counts)
+    trainer.flush()
+    want = collections.Counter()
+    for word, n in zip(words, counts, strict=True):
+        for i in language_model.parts_of([word], PATH)[0].tolist():
+            want[i] += n
+    assert {i: n for i, n in got.items() if n} == pytest.approx(dict(want))
+
+
+def test_trainers_are_averaged_by_what_they_learned_from():
+    model = fresh_model(["a b c"])
+    found = []
+    for shift, seen, rows in ((1.0, 3, [5, 9000]), (5.0, 1, [5])):
+        own = language_model.copy.deepcopy(model)
+        own.outer.p["a"][rows] += np.float32(shift)
+        found += language_model.moves("outer ", model.outer, own.outer, seen).to_pylist()
+    table = language_model.pa.Table.from_pylist(found, language_model.MOVED)
+    parts = {p: table.filter(language_model.pc.equal(table.column("part"), p)) for p in (0, 9000 // language_model.PART_ROWS)}
+    means = {}
+    for part in parts.values():
+        row = language_model.mean_moves(part).to_pylist()[0]
+        means.update(zip(np.frombuffer(row["rows"], "<i4").tolist(), np.frombuffer(row["moves"], "<f4").reshape(-1, attention.SIZE)[:, 0].tolist(), strict=True))
+    assert means == pytest.approx({5: 2.0, 9000: 1.0}, rel=1e-5)
