@@ -77,7 +77,7 @@ class Attention:
         """For positions ``first`` on of windows x (n, length, SIZE): their queries, keys, values, weights and what they attend to."""
         p, (n, length, _) = self.p, x.shape
         flat = x.reshape(-1, SIZE)
-        q = (x[:, first:].reshape(-1, SIZE) @ p["q"] * np.float32(SIZE**-0.5)).reshape(n, -1, SIZE)
+        q = (x[:, first:].reshape(-1, SIZE) @ (p["q"] * np.float32(SIZE**-0.5))).reshape(n, -1, SIZE)
         k, v = (flat @ p["k"]).reshape(x.shape), (flat @ p["v"]).reshape(x.shape)
         back = np.arange(first, length)[:, None] - np.arange(length)
         s = q @ k.transpose(0, 2, 1)
@@ -126,10 +126,12 @@ class Attention:
         q, k, v, s, o = self._attend(x, 0)
         order = np.argsort((target.ravel() // GROUP).astype(np.uint8), kind="stable")
         wanted = target.ravel()[order]
-        both = np.concatenate([x, o], axis=2).reshape(-1, 2 * SIZE)[order]
-        pre = both @ p["w1"]
-        pre += p["c1"]
-        h = np.maximum(pre, 0)
+        flat, seen = x.reshape(-1, SIZE), o.reshape(-1, SIZE)
+        h = flat @ p["w1"][:SIZE]
+        h += seen @ p["w1"][SIZE:]
+        h += p["c1"]
+        np.maximum(h, 0, out=h)
+        h = h[order]
         share = (weight.ravel()[order] / max(1.0, float(weight.sum()))).astype(h.dtype)
         groups, classes, begin = self._outputs(h, wanted)
         loss = 0.0
@@ -147,11 +149,11 @@ class Attention:
                 g["w2"][:, own] = h[i:e].T @ classes[i:e]
                 g["c2"][own] = classes[i:e].sum(axis=0)
                 dh[i:e] += classes[i:e] @ p["w2"][:, own].T
-        dh *= pre > 0
-        g |= {"w1": both.T @ dh, "c1": dh.sum(axis=0)}
-        dboth = np.empty_like(both)
-        dboth[order] = dh @ p["w1"].T
-        dx, do = dboth[:, :SIZE].copy(), dboth[:, SIZE:].reshape(x.shape)
+        dh *= h > 0
+        dpre = np.empty_like(dh)
+        dpre[order] = dh
+        g |= {"w1": np.concatenate([flat.T @ dpre, seen.T @ dpre]), "c1": dh.sum(axis=0)}
+        dx, do = dpre @ p["w1"][:SIZE].T, (dpre @ p["w1"][SIZE:].T).reshape(x.shape)
         ds = do @ v.transpose(0, 2, 1)
         dv = s.transpose(0, 2, 1) @ do
         ds -= np.einsum("nij,nij->ni", ds, s)[:, :, None]
@@ -162,7 +164,6 @@ class Attention:
         back = np.arange(length)[:, None] - np.arange(length)
         sums = ds.sum(axis=0)
         g["near"] = np.bincount(back[back >= 0], weights=sums[back >= 0], minlength=WINDOW).astype(np.float32)
-        flat = x.reshape(-1, SIZE)
         for name, d in (("q", dq), ("k", dk), ("v", dv)):
             d = d.reshape(-1, SIZE)
             g[name] = flat.T @ d
@@ -187,7 +188,8 @@ class Adam:
         now = np.float32(self.rate * min(1.0, self.t / 50) * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
         for name, g in slopes.items():
             if name in "ab":
-                order = np.argsort(g[0], kind="stable")
+                # Ids of 16 bits are sorted by digits.
+                order = np.argsort(g[0].astype(np.uint16) if len(self.mean[name]) <= 1 << 16 else g[0], kind="stable")
                 ids = g[0][order]
                 begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
                 rows, g = ids[begin], np.add.reduceat(g[1][order], begin, axis=0)

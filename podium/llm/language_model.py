@@ -29,13 +29,15 @@ from podium.sources.scratch import stage
 
 SAMPLE_ROWS, SAMPLE_CHARS = 600, 8192  # texts the weights start from: how many, and of longer ones how much, from a place chosen by hash
 TRAINER_WORDS = 8_000_000  # what a task that trains learns from, about
-TASK_WINDOWS, TASK_WORDS = 256, 2048  # in a step of such a task
+TASK_WINDOWS, TASK_WORDS = 192, 2048  # in a step of such a task
 WINDOWS_AT_ONCE, DIFFERENT_AT_ONCE = 16_384, 100_000  # windows, and different words, that are shuffled together
 PART_ROWS = 4096
+KNOWN_WORDS = 4_000_000  # whose subwords a task that trains keeps
 STEPS, WINDOWS_A_STEP, WORDS_A_STEP, WORD_PARTS = 400, 48, 384, 8
 BLOCK_CHARS = 8 << 20
 ROW_CHARS = 256  # what a row counts besides its text, so that many empty texts are many blocks too
 HELD_WORDS = 300_000  # different words that a counting task holds
+PIECES = ((0, 2), (2, 3), (3, 4), (4, 6), (6, WORD_PARTS))  # lengths of pieces of words that are learned from together
 END = 50_256  # the vocabulary's free id: the end of a text, its beginning, and the end of a word
 TOKENS = END + 1
 INNER_WEIGHT = 0.1  # of the attention model within words, against counted words
@@ -64,6 +66,26 @@ def parts_of(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array([i for x in lists for i in x], dtype=np.int64), first
 
 
+def coded(counts: DataFrame, path: str) -> DataFrame:
+    """The same words with ``ids``, each one's subwords as little-endian unsigned 16-bit integers, so that they are found once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, first = parts_of(batch.column("word").to_pylist(), path)
+            offsets = pa.py_buffer((2 * first).astype("<i4").tobytes())
+            column = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, offsets, pa.py_buffer(ids.astype("<u2").tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), column], ["word", "n", "ids"])
+
+    return counts.select("word", "n").mapInArrow(run, "word string, n long, ids binary")
+
+
+def parts_in(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`parts_of` gave for the words of a column ``ids``."""
+    first = np.zeros(len(column) + 1, dtype=np.int64)
+    np.cumsum(np.asarray(pc.binary_length(column)) // 2, out=first[1:])
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").astype(np.int64), first
+
+
 def held_out(doc_id: str = "doc_id", folds: int = 7, fold: int = 2) -> Column:
     """Whether the crc32 of the id's text leaves ``fold``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == fold
@@ -97,15 +119,15 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "held_out").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def subword_counts(counts: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How often each subword begins a word of the training texts, how often it goes on within one (END: how often one ends), and how many different
+def subword_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of :func:`coded` counts: how often each subword begins a word of the training texts, how often it goes on within one (END: how often one ends), and how many different
     words begin with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(3 * TOKENS, dtype=np.int64)
         for batch in batches:
             n = np.asarray(batch.column("n"))
-            ids, first = parts_of(batch.column("word").to_pylist(), path)
+            ids, first = parts_in(batch.column("ids"))
             heads = np.zeros(len(ids), dtype=bool)
             heads[first[:-1]] = True
             weight = np.repeat(n, np.diff(first))
@@ -172,8 +194,11 @@ class Model:
         train(self.inner, inner_batches())
 
     def inside_words(self, words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """:meth:`inside_parts` of words."""
+        return self.inside_parts(*parts_of(words, self.path), counts)
+
+    def inside_parts(self, ids: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First and last subword of each word, and the log probability of all after the first, its end included. ``counts``: of the words."""
-        ids, first = parts_of(words, self.path)
         if not len(ids):
             return ids, ids, np.zeros(0)
         head, tail = ids[first[:-1]], ids[first[1:] - 1]
@@ -223,7 +248,7 @@ def windows(first: np.ndarray, head: np.ndarray, tail: np.ndarray) -> tuple[np.n
     is_word = np.ones(n, dtype=bool)
     is_word[begin[:-1]] = False
     size = -(-n // WINDOW) * WINDOW
-    a, b = np.full(size + 1, END), np.full(size, END)
+    a, b = np.full(size + 1, END, np.uint16), np.full(size, END, np.uint16)
     a[:n][is_word], b[:n][is_word] = head, tail
     real = np.arange(size) < n
     y = np.where(real, a[1:], END)
@@ -235,26 +260,32 @@ class OuterTrainer:
 
     def __init__(self, model: Model):
         self.model, self.adam, self.draw, self.seen = model, Adam(model.outer), np.random.default_rng(5), 0
-        self.ends: dict[bytes, tuple[int, int]] = {}
+        # Words met, by hash in order, with their first and last subwords.
+        self.known, self.ends = np.zeros(0, np.uint64), np.zeros((0, 2), np.uint16)
         self.held: list[tuple[np.ndarray, ...]] = []
 
-    def _subwords(self, words: list[bytes]) -> np.ndarray:
+    def _subwords(self, block: WordBlock) -> np.ndarray:
         """First and last subword of each word."""
-        if len(self.ends) > HELD_WORDS:
-            self.ends.clear()
-        new = [w for w in words if w not in self.ends]
-        ids, first = parts_of([w.decode() for w in new], self.model.path)
-        self.ends.update(zip(new, zip(ids[first[:-1]].tolist(), ids[first[1:] - 1].tolist(), strict=True), strict=True))
-        return np.array([self.ends[w] for w in words], dtype=np.int64).reshape(-1, 2)
+        hashes, at, word = np.unique(block.hashes(), return_index=True, return_inverse=True)
+        if len(self.known) > KNOWN_WORDS:
+            self.known, self.ends = self.known[:0], self.ends[:0]
+        place = np.searchsorted(self.known, hashes)
+        new = np.ones(len(hashes), dtype=bool)
+        if len(self.known):
+            new = self.known[np.minimum(place, len(self.known) - 1)] != hashes
+        data, some = block.data.tobytes(), at[new]
+        ids, first = parts_of([data[s:e].decode() for s, e in zip(block.starts[some].tolist(), block.ends[some].tolist(), strict=True)], self.model.path)
+        ends = np.stack([ids[first[:-1]], ids[first[1:] - 1]], axis=1).astype(np.uint16)
+        self.known = np.insert(self.known, place[new], hashes[new])
+        self.ends = np.insert(self.ends, place[new], ends, axis=0)
+        return self.ends[np.searchsorted(self.known, hashes)][word]
 
     def learn(self, texts: pa.Array) -> None:
         block = WordBlock(texts, lower=True)
-        _, at, word = np.unique(block.hashes(), return_index=True, return_inverse=True)
-        data = block.data.tobytes()
-        found = self._subwords([data[s:e] for s, e in zip(block.starts[at].tolist(), block.ends[at].tolist(), strict=True)])[word]
+        found = self._subwords(block)
         a, b, y, real = windows(block.first, found[:, 0], found[:, 1])
         self.seen += int(real.sum())
-        self.held.append((a, b, self.model.outer_words.of[y], real))
+        self.held.append((a, b, self.model.outer_words.of[y].astype(np.uint8), real))
         if sum(len(v[0]) for v in self.held) >= WINDOWS_AT_ONCE:
             self.flush()
 
@@ -273,28 +304,28 @@ class InnerTrainer:
 
     def __init__(self, model: Model):
         self.model, self.adam, self.draw, self.seen = model, Adam(model.inner), np.random.default_rng(7), 0
-        self.words: list[str] = []
-        self.counts: list[int] = []
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def learn(self, words: list[str], counts: list[int]) -> None:
-        self.words += words
-        self.counts += counts
-        if len(self.words) >= DIFFERENT_AT_ONCE:
+    def learn(self, ids: np.ndarray, first: np.ndarray, counts: np.ndarray) -> None:
+        """Word i has the subwords ids[first[i]] to ids[first[i + 1]] and the count counts[i]."""
+        if len(counts):
+            self.held.append((ids, np.diff(first), counts))
+        if sum(len(h[2]) for h in self.held) >= DIFFERENT_AT_ONCE:
             self.flush()
 
     def flush(self) -> None:
-        if not self.words:
+        if not self.held:
             return
-        words, counts = self.words, np.array(self.counts)
-        self.words, self.counts = [], []
-        ids, first = parts_of(words, self.model.path)
+        ids, lengths, counts = (np.concatenate(h) for h in zip(*self.held, strict=True))
+        self.held.clear()
+        first = np.concatenate([[0], np.cumsum(lengths)])
         following = np.append(ids[1:], END)
         following[first[1:] - 1] = END
         target = self.model.inner_words.of[following]
         self.seen += int(counts.sum())
         # Words of more subwords than a window has are several pieces.
-        pieces = -(-np.diff(first) // WORD_PARTS)
-        of = np.repeat(np.arange(len(words)), pieces)
+        pieces = -(-lengths // WORD_PARTS)
+        of = np.repeat(np.arange(len(counts)), pieces)
         begin = first[of] + WORD_PARTS * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
         end = np.minimum(begin + WORD_PARTS, first[of + 1])
         # What is frequent comes in many batches with a part of its weight in each, so that none is about a single word.
@@ -302,10 +333,13 @@ class InnerTrainer:
         weight = counts[of].astype(np.float64)
         times = np.clip(np.ceil(weight / (8 * weight.mean())), 1, batches).astype(np.int64)
         which, weight = np.repeat(np.arange(len(of)), times), np.repeat(weight / times, times)
-        order = self.draw.permutation(len(which))
-        for some in np.array_split(order, batches):
+        length = (end - begin)[which]
+        some_length = [np.flatnonzero((length > short) & (length <= long)) for short, long in PIECES]
+        steps = [at for rows in some_length if len(rows) for at in np.array_split(self.draw.permutation(rows), max(1, round(len(rows) / TASK_WORDS)))]
+        for step in self.draw.permutation(len(steps)):
+            some = steps[step]
             piece = which[some]
-            at = begin[piece][:, None] + np.arange(int((end - begin)[piece].max()))
+            at = begin[piece][:, None] + np.arange(int(length[some].max()))
             real = at < end[piece][:, None]
             at = np.where(real, at, begin[piece][:, None])
             head = np.broadcast_to(ids[first[of[piece]]][:, None], at.shape)
@@ -366,7 +400,7 @@ def learned(model: Model, rows: DataFrame, counts: DataFrame, n_words: int, n_di
         own = copy.deepcopy(model)
         trainer = InnerTrainer(own)
         for batch in batches:
-            trainer.learn(batch.column("word").to_pylist(), batch.column("n").to_pylist())
+            trainer.learn(*parts_in(batch.column("ids")), np.asarray(batch.column("n")))
         trainer.flush()
         yield moves("inner ", model.inner, own.inner, trainer.seen)
 
@@ -393,13 +427,13 @@ def scored(docs: DataFrame, path: str) -> DataFrame:
     # A to Z become a to z where words are taken.
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text.alias("text"))
-    counts = stage(word_counts(rows), "lm-counts")
+    counts = stage(coded(word_counts(rows), path), "lm-counts")
     totals = counts.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     shape = rows.agg(F.count_if(~F.col("held_out")).alias("ends"), F.sum(F.length("text") + ROW_CHARS).alias("chars")).first()
     n_ends = shape["ends"] or 0
     n_train = (totals["n"] or 0) + n_ends
     n_words = (totals["v"] or 0) + (n_ends > 0)
-    begins, goes_on, different = subword_counts(counts, path)
+    begins, goes_on, different = subword_counts(counts)
     begins[END] = n_ends
     model = Model(path, begins, goes_on, different)
     model.train(sample(rows))
@@ -407,7 +441,7 @@ def scored(docs: DataFrame, path: str) -> DataFrame:
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            head, tail, rest = model.inside_words(batch.column("word").to_pylist(), np.asarray(batch.column("n")))
+            head, tail, rest = model.inside_parts(*parts_in(batch.column("ids")), np.asarray(batch.column("n")))
             columns = [batch.column("word"), batch.column("n"), pa.array(head.astype(np.int32)), pa.array(tail.astype(np.int32)), pa.array(rest)]
             yield pa.RecordBatch.from_arrays(columns, ["of", "n", "head", "tail", "rest"])
 

@@ -184,7 +184,7 @@ def learning(spark, monkeypatch):
         rows = rows or [(i, t) for i, t in zip((i for i in range(10**6) if zlib.crc32(str(i).encode()) % 7 != 2), texts, strict=False)]
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
         frame = docs.select("doc_id", language_model.held_out().alias("held_out"), "text")
-        counts = language_model.word_counts(frame).cache()
+        counts = language_model.coded(language_model.word_counts(frame), PATH).cache()
         totals = counts.agg({"n": "sum"}).first()[0]
         model = fresh_model([t for _, t in rows])
         before = {net: {n: w.copy() for n, w in getattr(model, net).p.items()} for net in ("outer", "inner")}
@@ -230,7 +230,7 @@ def test_words_within_are_learned_whole_and_by_their_counts(monkeypatch):
 
     monkeypatch.setattr(trainer.adam, "learn", learn)
     monkeypatch.setattr(language_model, "TASK_WORDS", 2)
-    trainer.learn(words, counts)
+    trainer.learn(*language_model.parts_of(words, PATH), np.array(counts))
     trainer.flush()
     want = collections.Counter()
     for word, n in zip(words, counts, strict=True):
