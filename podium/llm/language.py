@@ -15,6 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from podium.llm.words import blocks
 from podium.sources.scratch import stage
 
 UNKNOWN = "und"
@@ -116,14 +117,19 @@ def identify(docs: DataFrame, training: DataFrame, min_margin: float = MIN_MARGI
     return narrow.mapInArrow(predict, f"doc_id long, {RESULT}")
 
 
+def accepted_rows(batches: Iterator[pa.RecordBatch], by_language: dict, min_margin: float = MIN_MARGIN) -> Iterator[pa.RecordBatch]:
+    """The accepted rows of each batch, in portions, so that neither this process nor Spark holds a second whole batch of texts."""
+    for batch in batches:
+        for part in blocks(batch):
+            accepted = [classify(t.as_py(), by_language, min_margin)[2] for t in part.column("text")]
+            yield part.filter(pa.array(accepted, pa.bool_()))
+
+
 def keep_identified(docs: DataFrame, training: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame:
     """The rows of ``docs`` whose language is told with a wide enough margin, with their own columns."""
     learned = dictionaries(training)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_language = compressors(learned)
-        for batch in batches:
-            accepted = [classify(t.as_py(), by_language, min_margin)[2] for t in batch.column("text")]
-            yield batch.filter(pa.array(accepted, pa.bool_()))
+        yield from accepted_rows(batches, compressors(learned), min_margin)
 
     return docs.mapInArrow(keep, docs.schema)

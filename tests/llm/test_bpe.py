@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -85,3 +86,20 @@ def test_awkward_rows(spark):
 def test_empty_table(spark):
     assert bpe.decode(bpe.encode(empty(spark), PATH), PATH).collect() == []
     assert bpe.round_trip(empty(spark), PATH).collect() == []
+
+
+def test_full_caches_stay_small(monkeypatch):
+    """Many different words leave two full generations behind, and frequent words are still known."""
+    rules = bpe.Merges(PATH)
+    monkeypatch.setattr(rules, "_path", lambda raw: [1, 2])
+    tracemalloc.start()
+    try:
+        for i in range(430_000):
+            rules.run(f" word{i}")
+            if i % 1000 == 0:
+                rules.run(" the")
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert " the" in rules._runs and len(rules._runs) + len(rules._older_runs) > 80_000
+    assert held < 40e6

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from podium.llm import language
+from podium.llm.words import BLOCK_BYTES
 from tests.llm.rows import awkward, empty
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -59,3 +61,13 @@ def test_a_copied_text_is_learned_from_once(spark):
 def test_letters_beside_numerals_count():
     assert language.letters_only("5 m² ½ x½y ab") == b"m x y ab" and language.letters_only("² ½ 3") == b""
     assert language.classify("m²", language.compressors({"fr": b"le la les"}))[0] == "fr"
+
+
+def test_kept_rows_are_handed_on_in_portions():
+    """A batch of 12 MB of text goes on whole and in order, but a few MB at a time."""
+    learned = language.compressors({"a": b"the cat sat on the mat", "b": b"xyz qrs tuv"})
+    texts = [f"{'the cat sat on the mat ' * 1000}{i}" for i in range(500)] + ["12 34", None]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    parts = list(language.accepted_rows(iter([batch]), learned))
+    assert max(sum(len(t) for t in p.column("text").to_pylist()) for p in parts) <= BLOCK_BYTES
+    assert [i for p in parts for i in p.column("doc_id").to_pylist()] == list(range(500))
