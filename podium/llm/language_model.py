@@ -36,6 +36,7 @@ KNOWN_WORDS = 4_000_000  # whose subwords a task that trains keeps
 STEPS, WINDOWS_A_STEP, WORDS_A_STEP, WORD_PARTS = 400, 48, 384, 8
 BLOCK_CHARS = 8 << 20
 ROW_CHARS = 256  # what a row counts besides its text, so that many empty texts are many blocks too
+WORDS_AT_ONCE = 4096  # that are encoded in one call
 HELD_WORDS = 300_000  # different words that a counting task holds
 PIECES = ((0, 2), (2, 3), (3, 4), (4, 6), (6, WORD_PARTS))  # lengths of pieces of words that are learned from together
 END = 50_256  # the vocabulary's free id: the end of a text, its beginning, and the end of a word
@@ -57,13 +58,36 @@ def subwords(path: str):
     return tiktoken.Encoding("subwords", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def blank_first(path: str) -> np.ndarray:
+    """Of each id, whether its bytes begin with a blank."""
+    encoder = subwords(path)
+    return np.array([encoder.decode_single_token_bytes(i)[:1] == b" " for i in range(encoder.n_vocab)])
+
+
 def parts_of(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Subword ids of all words one after the other, and where each word's begin. A word is encoded as after a blank."""
-    encode = subwords(path).encode_ordinary
-    lists = [encode(" " + w) for w in words]
+    encoder, begins = subwords(path), blank_first(path)
+    # Between words that hold no blanks of any kind the pattern always cuts, so many are encoded at once. Only a word's first subword holds its blank.
+    plain = np.fromiter((w.isalnum() or w.split() == [w] for w in words), dtype=bool, count=len(words))
+    lengths = np.zeros(len(words), dtype=np.int64)
+    some = np.flatnonzero(plain)
+    found = []
+    for at in range(0, len(some), WORDS_AT_ONCE):
+        part = some[at : at + WORDS_AT_ONCE]
+        ids = encoder.encode_to_numpy(" " + " ".join([words[i] for i in part]), disallowed_special=()).astype(np.int64)
+        lengths[part] = np.diff(np.append(np.flatnonzero(begins[ids]), len(ids)))
+        found.append(ids)
+    rest = np.flatnonzero(~plain)
+    lists = [encoder.encode_ordinary(" " + words[i]) for i in rest]
+    lengths[rest] = [len(x) for x in lists]
     first = np.zeros(len(words) + 1, dtype=np.int64)
-    np.cumsum([len(x) for x in lists], out=first[1:])
-    return np.array([i for x in lists for i in x], dtype=np.int64), first
+    np.cumsum(lengths, out=first[1:])
+    out = np.empty(first[-1], dtype=np.int64)
+    is_plain = np.repeat(plain, lengths)
+    out[is_plain] = np.concatenate([*found, np.zeros(0, np.int64)])
+    out[~is_plain] = [i for x in lists for i in x]
+    return out, first
 
 
 def coded(counts: DataFrame, path: str) -> DataFrame:

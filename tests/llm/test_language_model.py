@@ -253,3 +253,28 @@ def test_trainers_are_averaged_by_what_they_learned_from():
         row = language_model.mean_moves(part).to_pylist()[0]
         means.update(zip(np.frombuffer(row["rows"], "<i4").tolist(), np.frombuffer(row["moves"], "<f4").reshape(-1, attention.SIZE)[:, 0].tolist(), strict=True))
     assert means == pytest.approx({5: 2.0, 9000: 1.0}, rel=1e-5)
+
+
+def test_many_words_are_encoded_by_few_calls(monkeypatch):
+    """Subwords are those of each word by itself, also beside words with blanks of other kinds; 20,000 words take no call for each."""
+    draw = np.random.default_rng(6)
+    letters = list("abcthe'sllred019!?#-_.|<>\x7f\x1c\xa0\u3000\u00e9\u00f1\u4e2d")
+    words = ["".join(draw.choice(letters, size=draw.integers(1, 9))) for _ in range(3000)] + ["'s", "'", "<|endoftext|>", "a" * 5000, "\u00a0", "x\u00a0", "\u2003y"]
+    encoder = language_model.subwords(PATH)
+    ids, first = language_model.parts_of(words, PATH)
+    assert [ids[s:e].tolist() for s, e in zip(first, first[1:], strict=False)] == [encoder.encode_ordinary(" " + w) for w in words]
+    assert [len(x) for x in language_model.parts_of([], PATH)] == [0, 1]
+    calls = collections.Counter()
+    for name in ("encode_ordinary", "encode_to_numpy"):
+        kept = getattr(encoder, name)
+        monkeypatch.setattr(encoder, name, lambda *a, name=name, kept=kept, **b: (calls.update([name]), kept(*a, **b))[1])
+    language_model.parts_of([f"word{i}" for i in range(20_000)], PATH)
+    assert sum(calls.values()) <= 20
+
+
+def test_sums_by_row_are_those_of_each_id():
+    draw = np.random.default_rng(7)
+    ids, values = draw.integers(0, 50, 1000).astype(np.uint16), draw.standard_normal((1000, 4)).astype(np.float32)
+    rows, sums = attention._sums_by_row(ids, values)
+    assert rows.tolist() == sorted(set(ids.tolist())) and sums.dtype == values.dtype
+    assert np.allclose(sums, [values[ids == i].sum(axis=0) for i in rows], atol=1e-5)
