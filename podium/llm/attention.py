@@ -22,13 +22,14 @@ SMOOTHING = 0.1
 _LENGTHS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, WINDOW])
 
 
-def _softmax(z: np.ndarray, seen: np.ndarray | None = None) -> None:
-    """The last axis in place, over what is ``seen``. Logits end at LIMIT, so no row's largest has to be found; what comes out adds up to one all the same."""
+def _exp(z: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
+    """The last axis' powers in place, zero for what is not ``seen``, and their sums. Logits end at LIMIT, so no row's largest has to be found; divided by the sums they add
+    up to one all the same."""
     np.clip(z, -LIMIT, LIMIT, out=z)
     np.exp(z, out=z)
     if seen is not None:
         z *= seen.astype(z.dtype)
-    z *= (1 / (z @ np.ones(z.shape[-1], z.dtype)))[..., None]
+    return z @ np.ones(z.shape[-1], z.dtype)
 
 
 def _sums(z: np.ndarray) -> np.ndarray:
@@ -44,14 +45,9 @@ def _turned(z: np.ndarray) -> np.ndarray:
 def _sums_by_row(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different ids in order, and the sum of the values of each."""
     order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    new = np.concatenate([[True], ids[1:] != ids[:-1]])
-    place = np.empty(len(ids), dtype=np.int64)
-    place[order] = np.cumsum(new) - 1
-    size = values.shape[1]
-    found = ids[new]
-    sums = np.bincount((place[:, None] * size + np.arange(size)).ravel(), weights=values.ravel(), minlength=len(found) * size)
-    return found, sums.reshape(-1, size).astype(values.dtype)
+    ids = ids.take(order)
+    new = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    return ids[new], np.add.reduceat(values.take(order, axis=0), new, axis=0)
 
 
 class Vocabulary:
@@ -99,7 +95,7 @@ class Attention:
         return x
 
     def _attend(self, x: np.ndarray, first: int) -> tuple[np.ndarray, ...]:
-        """For positions ``first`` on of windows x (n, length, SIZE): their queries, keys, values, weights and what they attend to."""
+        """For positions ``first`` on of windows x (n, length, SIZE): their queries, keys, values, weights before they are divided by their sums, and these."""
         p, (n, length, _) = self.p, x.shape
         flat = x.reshape(-1, SIZE)
         q = (x[:, first:].reshape(-1, SIZE) @ (p["q"] * np.float32(SIZE**-0.5))).reshape(n, -1, SIZE)
@@ -107,8 +103,7 @@ class Attention:
         back = np.arange(first, length)[:, None] - np.arange(length)
         s = q @ _turned(k)
         s += p["near"][np.maximum(back, 0)]
-        _softmax(s, back >= 0)
-        return q, k, v, s, s @ v
+        return q, k, v, s, _exp(s, back >= 0)
 
     def _outputs(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of hidden rows h in the order of their target's group: what precedes the two softmaxes, over groups and over the target group's classes,
@@ -128,18 +123,19 @@ class Attention:
     def log_class(self, x: np.ndarray, first: int, target: np.ndarray) -> np.ndarray:
         """Log probabilities of the target classes at positions ``first`` on."""
         p = self.p
-        *_, o = self._attend(x, first)
+        _, _, v, s, total = self._attend(x, first)
+        o = s @ v
+        o /= total[..., None]
         order = np.argsort((target.ravel() // GROUP).astype(np.uint8), kind="stable")
         wanted = target.ravel()[order]
-        h = x[:, first:].reshape(-1, SIZE) @ p["w1"][:SIZE]
-        h += o.reshape(-1, SIZE) @ p["w1"][SIZE:]
+        h = np.concatenate([x[:, first:], o], axis=2).reshape(-1, 2 * SIZE) @ p["w1"]
         h += p["c1"]
         np.maximum(h, 0, out=h)
         found = np.zeros(len(order), h.dtype)
         groups, classes, _ = self._outputs(h.take(order, axis=0), wanted)
         for z, hit in ((groups, wanted // GROUP), (classes, wanted % GROUP)):
-            _softmax(z)
-            found += np.log(z[np.arange(len(z)), hit])
+            total = _exp(z)
+            found += np.log(z[np.arange(len(z)), hit] / total)
         out = np.empty_like(found)
         out[order] = found
         return out.reshape(target.shape)
@@ -148,12 +144,14 @@ class Attention:
         """Mean loss over the positions of windows by their weights (0 or false: none), and its slopes."""
         p = self.p
         x = self.vectors(a, b)
-        q, k, v, s, o = self._attend(x, 0)
+        q, k, v, s, total = self._attend(x, 0)
+        s *= (1 / total)[..., None]
+        o = s @ v
         order = np.argsort((target.ravel() // GROUP).astype(np.uint8), kind="stable")
         wanted = target.ravel()[order]
-        flat, seen = x.reshape(-1, SIZE), o.reshape(-1, SIZE)
-        h = flat @ p["w1"][:SIZE]
-        h += seen @ p["w1"][SIZE:]
+        flat = x.reshape(-1, SIZE)
+        both = np.concatenate([flat, o.reshape(-1, SIZE)], axis=1)
+        h = both @ p["w1"]
         h += p["c1"]
         np.maximum(h, 0, out=h)
         h = h.take(order, axis=0)
@@ -161,11 +159,11 @@ class Attention:
         groups, classes, begin = self._outputs(h, wanted)
         loss = 0.0
         for e, hit in ((groups, wanted // GROUP), (classes, wanted % GROUP)):
-            _softmax(e)
+            total = _exp(e)
             at = (np.arange(len(e)), hit)
-            loss -= float((np.log(np.maximum(e[at], 1e-30)) * share).sum())
-            e[at] -= 1
-            e *= share[:, None]
+            loss -= float(np.log(np.maximum(e[at] / total, 1e-30)) @ share)
+            e *= (share / total)[:, None]
+            e[at] -= share
         g = {"w3": h.T @ groups, "c3": _sums(groups), "w2": np.zeros_like(p["w2"]), "c2": np.zeros_like(p["c2"])}
         dh = groups @ p["w3"].T
         for j, (i, e) in enumerate(zip(begin, begin[1:], strict=False)):
@@ -178,8 +176,10 @@ class Attention:
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         dpre = dh.take(place, axis=0)
-        g |= {"w1": np.concatenate([flat.T @ dpre, seen.T @ dpre]), "c1": _sums(dh)}
-        dx, do = dpre @ p["w1"][:SIZE].T, (dpre @ p["w1"][SIZE:].T).reshape(x.shape)
+        g |= {"w1": both.T @ dpre, "c1": _sums(dh)}
+        dboth = dpre @ p["w1"].T
+        dx, do = (np.ascontiguousarray(d) for d in (dboth[:, :SIZE], dboth[:, SIZE:]))
+        do = do.reshape(x.shape)
         ds = do @ _turned(v)
         dv = s.transpose(0, 2, 1) @ do
         ds -= np.einsum("nij,nij->ni", ds, s)[:, :, None]

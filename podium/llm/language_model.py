@@ -8,7 +8,7 @@ model shares out among them.
 
 Word counts cover all training documents, and so do the subword counts within the models' classes and the models' weights: they only start from a bounded
 sample, on the driver, and learn in tasks from every word of every training text, and from every counted word's subwords by its count. The trainers start from the same
-weights and are averaged. Documents are dealt into blocks; a block asks for each of its words once, however often it holds it.
+weights and are averaged. Documents are dealt into blocks and counted words into parts; a block asks each part once for all of its words that are there.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from podium.llm.attention import WINDOW, Adam, Attention, Vocabulary, score, train
-from podium.llm.words import WordBlock, blocks
+from podium.llm.words import WordBlock, blocks, split
 from podium.sources.scratch import stage
 
 SAMPLE_ROWS, SAMPLE_CHARS = 600, 8192  # texts the weights start from: how many, and of longer ones how much, from a place chosen by hash
@@ -34,10 +34,10 @@ WINDOWS_AT_ONCE, DIFFERENT_AT_ONCE = 16_384, 100_000  # windows, and different w
 PART_ROWS = 4096
 KNOWN_WORDS = 4_000_000  # whose subwords a task that trains keeps
 STEPS, WINDOWS_A_STEP, WORDS_A_STEP, WORD_PARTS = 400, 48, 384, 8
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS, PART_CHARS = 4 << 20, 8 << 20  # of text, in a block and for a part of the counted words
 ROW_CHARS = 256  # what a row counts besides its text, so that many empty texts are many blocks too
 WORDS_AT_ONCE = 4096  # that are encoded in one call
-HELD_WORDS = 300_000  # different words that a counting task holds
+HELD_WORDS = 500_000  # that a counting task holds, different ones of each portion of text
 PIECES = ((0, 2), (2, 3), (3, 4), (4, 6), (6, WORD_PARTS))  # lengths of pieces of words that are learned from together
 END = 50_256  # the vocabulary's free id: the end of a text, its beginning, and the end of a word
 TOKENS = END + 1
@@ -69,7 +69,11 @@ def parts_of(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Subword ids of all words one after the other, and where each word's begin. A word is encoded as after a blank."""
     encoder, begins = subwords(path), blank_first(path)
     # Between words that hold no blanks of any kind the pattern always cuts, so many are encoded at once. Only a word's first subword holds its blank.
-    plain = np.fromiter((w.isalnum() or w.split() == [w] for w in words), dtype=bool, count=len(words))
+    plain = np.ones(len(words), dtype=bool)
+    for at in range(0, len(words), WORDS_AT_ONCE):
+        part = words[at : at + WORDS_AT_ONCE]
+        if " ".join(part).split() != part:
+            plain[at : at + len(part)] = [w.split() == [w] for w in part]
     lengths = np.zeros(len(words), dtype=np.int64)
     some = np.flatnonzero(plain)
     found = []
@@ -91,16 +95,19 @@ def parts_of(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def coded(counts: DataFrame, path: str) -> DataFrame:
-    """The same words with ``ids``, each one's subwords as little-endian unsigned 16-bit integers, so that they are found once."""
+    """Each word of :func:`word_counts` once, with ``n`` and ``ids``, its subwords as little-endian unsigned 16-bit integers, so that they are found once. Each part of the
+    words is added up in one task."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, first = parts_of(batch.column("word").to_pylist(), path)
-            offsets = pa.py_buffer((2 * first).astype("<i4").tobytes())
-            column = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, offsets, pa.py_buffer(ids.astype("<u2").tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), column], ["word", "n", "ids"])
+    def run(table: pa.Table) -> pa.Table:
+        words = pc.split_pattern(table.column("words").combine_chunks(), "\n").flatten()
+        n = np.frombuffer(b"".join(table.column("n").to_pylist()), "<i8")
+        found = added_up([pa.table([words, pa.array(n)], ["word", "n"])])
+        # By hash: whatever the order in which they come.
+        found = found.take(pa.array(in_parts(found.column("word").combine_chunks(), 1)[0]))
+        ids, first = parts_of(found.column("word").to_pylist(), path)
+        return found.append_column("ids", binaries(ids.astype("<u2"), first))
 
-    return counts.select("word", "n").mapInArrow(run, "word string, n long, ids binary")
+    return counts.groupBy("part").applyInArrow(run, "word string, n long, ids binary")
 
 
 def parts_in(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -115,32 +122,69 @@ def held_out(doc_id: str = "doc_id", folds: int = 7, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """``word`` and ``n``, how often the training texts hold it; also words of held-out texts alone, with 0."""
+def in_parts(words: pa.Array, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different words by the parts that they are in, always in the same order: their places, and their parts."""
+    hashes = WordBlock(words).hashes()
+    order = np.argsort(hashes)
+    if (np.diff(hashes[order]) == 0).any():
+        order = np.asarray(pc.sort_indices(words)).astype(np.int64)
+    parts = (hashes % np.uint64(n_parts)).astype(np.int32)[order]
+    by_part = np.argsort(parts, kind="stable")
+    return order[by_part], parts[by_part]
+
+
+def in_lines(words: pa.Array, n_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The places of :func:`in_parts`, where in them each part begins and the last ends, the parts, and each part's words, one on each line."""
+    order, parts = in_parts(words, n_parts)
+    begin = np.append(np.flatnonzero(np.diff(parts, prepend=-1)), len(parts))
+    lists = pa.LargeListArray.from_arrays(pa.array(begin), words.take(pa.array(order)))
+    return order, begin, parts[begin[:-1]], pc.binary_join(lists, "\n")
+
+
+def binaries(values: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """The bytes of values[begin[i]] to values[begin[i + 1]], for each i."""
+    offsets = pa.py_buffer((begin * values.itemsize).astype("<i4").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(begin) - 1, [None, offsets, pa.py_buffer(values.tobytes())])
+
+
+def word_counts(rows: DataFrame, n_parts: int = 8) -> DataFrame:
+    """What tasks count: of each ``part`` its ``words``, one on each line, and ``n``, how often training texts hold each, as little-endian 64-bit integers; also words of
+    held-out texts alone, with 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, int] = {}
+        held: list[pa.Table] = []
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+            found = added_up(held)
             held.clear()
-            return batch
+            order, begin, parts, lines = in_lines(found.column("word").combine_chunks(), n_parts)
+            counts = np.asarray(found.column("n")).astype("<i8")[order]
+            return pa.RecordBatch.from_arrays([pa.array(parts), lines, binaries(counts, begin)], ["part", "words", "n"])
 
         for batch in batches:
             for part in blocks(batch):
                 for used in (True, False):
-                    texts = part.filter(pc.equal(part.column("held_out"), not used)).column("text")
-                    block = WordBlock(texts, lower=True)
-                    _, at, counts = np.unique(block.hashes(), return_index=True, return_counts=True)
-                    data, get = block.data.tobytes(), held.get
-                    for s, e, n in zip(block.starts[at].tolist(), block.ends[at].tolist(), counts.tolist() if used else [0] * len(at), strict=True):
-                        word = data[s:e]
-                        held[word] = get(word, 0) + n
-                if len(held) >= HELD_WORDS:
+                    found = split(part.filter(pc.equal(part.column("held_out"), not used)).column("text"))[0].value_counts()
+                    n = np.asarray(found.field("counts")) * used
+                    held.append(pa.table([found.field("values"), pa.array(n, pa.int64())], ["word", "n"]))
+                if sum(table.num_rows for table in held) >= HELD_WORDS:
                     yield flush()
-        yield flush()
+        if held:
+            yield flush()
+        give_back()
+
+    return rows.select("text", "held_out").mapInArrow(run, "part int, words string, n binary")
+
+
+def give_back() -> None:
+    """What Arrow keeps of freed memory: a worker goes on to other tasks, which may need it for other things."""
+    pa.default_memory_pool().release_unused()
 
-    return rows.select("text", "held_out").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+def added_up(tables: list[pa.Table]) -> pa.Table:
+    """Each word once, with the sum of its counts."""
+    found = pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum")])
+    return pa.table([found.column("word"), found.column("n_sum")], ["word", "n"])
 
 
 def subword_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -288,26 +332,30 @@ class OuterTrainer:
         self.known, self.ends = np.zeros(0, np.uint64), np.zeros((0, 2), np.uint16)
         self.held: list[tuple[np.ndarray, ...]] = []
 
-    def _subwords(self, block: WordBlock) -> np.ndarray:
-        """First and last subword of each word."""
-        hashes, at, word = np.unique(block.hashes(), return_index=True, return_inverse=True)
+    def _subwords(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """First and last subword of each word, and where each text's words begin."""
+        words, begin = split(texts)
+        coded = words.dictionary_encode()
+        hashes = WordBlock(coded.dictionary).hashes()
+        order = np.argsort(hashes)
+        hashes = hashes[order]
         if len(self.known) > KNOWN_WORDS:
             self.known, self.ends = self.known[:0], self.ends[:0]
         place = np.searchsorted(self.known, hashes)
         new = np.ones(len(hashes), dtype=bool)
         if len(self.known):
             new = self.known[np.minimum(place, len(self.known) - 1)] != hashes
-        data, some = block.data.tobytes(), at[new]
-        ids, first = parts_of([data[s:e].decode() for s, e in zip(block.starts[some].tolist(), block.ends[some].tolist(), strict=True)], self.model.path)
+        ids, first = parts_of(coded.dictionary.take(pa.array(order[new])).to_pylist(), self.model.path)
         ends = np.stack([ids[first[:-1]], ids[first[1:] - 1]], axis=1).astype(np.uint16)
         self.known = np.insert(self.known, place[new], hashes[new])
         self.ends = np.insert(self.ends, place[new], ends, axis=0)
-        return self.ends[np.searchsorted(self.known, hashes)][word]
+        found = np.empty((len(hashes), 2), np.uint16)
+        found[order] = self.ends[np.searchsorted(self.known, hashes)]
+        return found[np.asarray(coded.indices)], begin
 
     def learn(self, texts: pa.Array) -> None:
-        block = WordBlock(texts, lower=True)
-        found = self._subwords(block)
-        a, b, y, real = windows(block.first, found[:, 0], found[:, 1])
+        found, begin = self._subwords(texts)
+        a, b, y, real = windows(begin, found[:, 0], found[:, 1])
         self.seen += int(real.sum())
         self.held.append((a, b, self.model.outer_words.of[y].astype(np.uint8), real))
         if sum(len(v[0]) for v in self.held) >= WINDOWS_AT_ONCE:
@@ -412,6 +460,7 @@ def learned(model: Model, rows: DataFrame, counts: DataFrame, n_words: int, n_di
     """
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         own = copy.deepcopy(model)
         trainer = OuterTrainer(own)
         for batch in batches:
@@ -421,6 +470,7 @@ def learned(model: Model, rows: DataFrame, counts: DataFrame, n_words: int, n_di
         yield moves("outer ", model.outer, own.outer, trainer.seen)
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         own = copy.deepcopy(model)
         trainer = InnerTrainer(own)
         for batch in batches:
@@ -439,6 +489,35 @@ def learned(model: Model, rows: DataFrame, counts: DataFrame, n_words: int, n_di
         weights[at] += np.frombuffer(row["moves"], "<f4").reshape(len(at), *weights.shape[1:])
 
 
+ASKED, TOLD = "part int, block int, words string", "block int, part int, facts binary"
+FACTS = np.dtype([("n", "<i8"), ("head", "<u2"), ("tail", "<u2"), ("rest", "<f8")])  # of a word
+
+
+def ask(table: pa.Table, n_parts: int) -> pa.Table:
+    """For each part, the different words of a block that are in it."""
+    _, begin, parts, lines = in_lines(split(table.column("text").combine_chunks())[0].unique(), n_parts)
+    number = pa.array(np.full(len(parts), table.column("block")[0].as_py(), dtype=np.int32))
+    return pa.table([pa.array(parts), number, lines], ["part", "block", "words"])
+
+
+def tell(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """What is known of each word that blocks ask a part for, as FACTS in the order in which they ask."""
+    words = pc.split_pattern(asked.column("words").combine_chunks(), "\n")
+    facts = np.empty(known.num_rows, FACTS)
+    for name in FACTS.names:
+        facts[name] = np.asarray(known.column(name))
+    found = facts[np.asarray(pc.index_in(words.flatten(), value_set=known.column("word").combine_chunks()))]
+    begin = np.append(0, np.cumsum(np.asarray(pc.list_value_length(words)), dtype=np.int64))
+    return pa.table([asked.column("block"), asked.column("part"), binaries(found, begin)], ["block", "part", "facts"])
+
+
+def facts_of(told: pa.Table, words: pa.Array, n_parts: int) -> list[np.ndarray]:
+    """The facts of a block's different words, from what all parts told it."""
+    facts = np.empty(len(words), FACTS)
+    facts[in_parts(words, n_parts)[0]] = np.frombuffer(b"".join(told.sort_by("part").column("facts").to_pylist()), FACTS)
+    return [facts[name].astype(np.float64 if name == "rest" else np.int64) for name in FACTS.names]
+
+
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -451,9 +530,10 @@ def scored(docs: DataFrame, path: str) -> DataFrame:
     # A to Z become a to z where words are taken.
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text.alias("text"))
-    counts = stage(coded(word_counts(rows), path), "lm-counts")
-    totals = counts.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     shape = rows.agg(F.count_if(~F.col("held_out")).alias("ends"), F.sum(F.length("text") + ROW_CHARS).alias("chars")).first()
+    n_blocks, n_parts = (max(1, -(-(shape["chars"] or 0) // size)) for size in (BLOCK_CHARS, PART_CHARS))
+    counts = stage(coded(word_counts(rows, n_parts), path), "lm-counts")
+    totals = counts.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     n_ends = shape["ends"] or 0
     n_train = (totals["n"] or 0) + n_ends
     n_words = (totals["v"] or 0) + (n_ends > 0)
@@ -463,40 +543,32 @@ def scored(docs: DataFrame, path: str) -> DataFrame:
     model.train(sample(rows))
     learned(model, rows, counts, totals["n"] or 0, totals["v"] or 0)
 
+
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             head, tail, rest = model.inside_parts(*parts_in(batch.column("ids")), np.asarray(batch.column("n")))
-            columns = [batch.column("word"), batch.column("n"), pa.array(head.astype(np.int32)), pa.array(tail.astype(np.int32)), pa.array(rest)]
-            yield pa.RecordBatch.from_arrays(columns, ["of", "n", "head", "tail", "rest"])
+            part = WordBlock(batch.column("word")).hashes() % np.uint64(n_parts)
+            columns = [pa.array(part.astype(np.int32)), batch.column("word"), batch.column("n"), pa.array(head.astype(np.int32)), pa.array(tail.astype(np.int32)), pa.array(rest)]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "word", "n", "head", "tail", "rest"])
 
-    known = counts.mapInArrow(inside, "of string, n long, head int, tail int, rest double")
-    n_blocks = max(1, -(-(shape["chars"] or 0) // BLOCK_CHARS))
+    known = counts.mapInArrow(inside, "part int, word string, n long, head int, tail int, rest double")
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")
     dealt = rows.select(block.alias("block"), "doc_id", "held_out", "text")
-
-    def ask(table: pa.Table) -> pa.Table:
-        block = WordBlock(table.column("text").combine_chunks(), lower=True)
-        hashes, at = np.unique(block.hashes(), return_index=True)
-        data = block.data.tobytes()
-        words = [data[s:e] for s, e in zip(block.starts[at].tolist(), block.ends[at].tolist(), strict=True)]
-        number = pa.array(np.full(len(words), table.column("block")[0].as_py(), dtype=np.int32))
-        return pa.table([number, pa.array(words, pa.binary()).cast(pa.string()), pa.array(hashes.view(np.int64))], ["block", "word", "hash"])
-
-    asked = dealt.groupBy("block").applyInArrow(ask, "block int, word string, hash long")
-    told = asked.join(known, F.col("word") == F.col("of")).select("block", "hash", "n", "head", "tail", "rest")
+    asked = dealt.groupBy("block").applyInArrow(lambda table: ask(table, n_parts), ASKED)
+    told = asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(tell, TOLD)
 
     def answer(table: pa.Table, told: pa.Table) -> pa.Table:
-        block = WordBlock(table.column("text").combine_chunks(), lower=True)
-        hashes = np.asarray(told.column("hash")).view(np.uint64)
-        order = np.argsort(hashes)
-        n, head, tail, rest = (np.asarray(told.column(c))[order] for c in ("n", "head", "tail", "rest"))
-        word = np.searchsorted(hashes[order], block.hashes())
-        first, texts = block.first, table.num_rows
-        sums = lambda values: np.bincount(block.doc, weights=values[word], minlength=texts)
+        words, first = split(table.column("text").combine_chunks())
+        words, texts = words.dictionary_encode(), table.num_rows
+        n, head, tail, rest = facts_of(told, words.dictionary, n_parts)
+        word, doc = np.array(words.indices), np.repeat(np.arange(texts, dtype=np.int32), np.diff(first))
+        del words
+        give_back()
+        sums = lambda values: np.bincount(doc, weights=values[word], minlength=texts)
         base = sums(np.log10(n + 1.0) - np.log10(n_train + n_words + 1.0)) if len(word) else np.zeros(texts)
         base += np.log10(n_ends + 1.0) - np.log10(n_train + n_words + 1.0)
         known_words = sums((n > 0).astype(float)).astype(np.int64) if len(word) else np.zeros(texts, dtype=np.int64)
-        total = model.across_words(head.astype(np.int64), tail.astype(np.int64), word, first)
+        total = model.across_words(head, tail, word, first)
         total = total + (sums(rest) if len(word) else 0)
         return pa.table({
             "doc_id": table.column("doc_id"),

@@ -27,6 +27,15 @@ def words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode().split()
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, A to Z as a to z, and where each text's begin: text i has words first[i] to first[i + 1]."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = lists.flatten()
+    real = np.asarray(pc.binary_length(words)) > 0  # blanks at an end or beside each other are split too
+    first = np.append(0, np.cumsum(real))[np.asarray(lists.offsets)]
+    return (words if real.all() else words.filter(pa.array(real))).cast(pa.string()), first
+
+
 def blocks(batch: pa.RecordBatch, column: str = "text", size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts are about ``size`` bytes together."""
     lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0))

@@ -6,9 +6,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from podium.llm import attention, language_model
+from podium.llm.words import split
 from tests.llm.rows import ROWS, awkward, empty
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -278,3 +280,57 @@ def test_sums_by_row_are_those_of_each_id():
     rows, sums = attention._sums_by_row(ids, values)
     assert rows.tolist() == sorted(set(ids.tolist())) and sums.dtype == values.dtype
     assert np.allclose(sums, [values[ids == i].sum(axis=0) for i in rows], atol=1e-5)
+
+
+def test_words_of_texts_are_those_between_the_six_blanks():
+    texts = ["", " ", "a", "  The\tthe\n\x0b\x0c\rTHE ", "Äb c \x1c\x1d  ", "a\x00b 中文 \U0001f600X", "x  y", ""]
+    words, first = split(pa.array(["left out", *texts], pa.string()).slice(1))
+    assert [[w.encode() for w in words[s:e].to_pylist()] for s, e in zip(first, first[1:], strict=False)] == [t.encode().lower().split() for t in texts]
+    assert split(pa.array([], pa.string()))[1].tolist() == [0]
+
+
+@pytest.mark.parametrize("n_parts", [1, 7, 5000])
+def test_a_block_asks_each_part_once_and_is_told_of_every_word(monkeypatch, n_parts):
+    """A row for each part that has words of the block, not one for each word, and for each word what is known of it, whatever the order of the rows; also where hashes are alike."""
+    texts = [" ".join(f"w{i}" for i in range(s, 3000, s)) for s in (1, 2, 3)] + ["", "é 中"]
+    words = sorted({w for t in texts for w in t.split(" ") if w} | {"elsewhere"})
+    for alike in (False, True):
+        if alike:
+            monkeypatch.setattr(language_model.WordBlock, "hashes", lambda self: np.zeros(len(self.starts), np.uint64) + 3)
+        of = language_model.in_parts(pa.array(words), n_parts)
+        part = dict(zip(of[0].tolist(), of[1].tolist(), strict=True))
+        blocks = {b: pa.table({"block": pa.array([b] * len(t), pa.int32()), "text": t}) for b, t in {4: texts, 9: texts[:2], 2: ["", " "]}.items()}
+        asked = pa.concat_tables([language_model.ask(t, n_parts) for t in blocks.values()])
+        assert len({(r["part"], r["block"]) for r in asked.to_pylist()}) == asked.num_rows <= min(n_parts, 3000) * 2
+        told = []
+        for p in set(asked.column("part").to_pylist()):
+            mine = [i for i in range(len(words)) if part[i] == p]
+            known = pa.table({"word": [words[i] for i in mine], "n": mine, "head": [i + 1 for i in mine], "tail": [i + 2 for i in mine], "rest": [-0.5 * i for i in mine]})
+            told.append(language_model.tell(asked.filter(language_model.pc.equal(asked.column("part"), p)), known))
+        told = pa.concat_tables(told[::-1])
+        for b, table in blocks.items():
+            different = split(table.column("text").combine_chunks().take(pa.array(range(table.num_rows))[::-1]))[0].unique()
+            n, head, tail, rest = language_model.facts_of(told.filter(language_model.pc.equal(told.column("block"), b)), different, n_parts)
+            assert [words[i] for i in n] == different.to_pylist()
+            assert (head == n + 1).all() and (tail == n + 2).all() and (rest == -0.5 * n).all()
+
+
+def test_words_are_counted_in_parts_and_flushes(spark, monkeypatch):
+    """Counts of a word that is held more than once, in many parts, and with 0 of held-out texts alone."""
+    monkeypatch.setattr(language_model, "HELD_WORDS", 10)
+    rows = [(i % 5 == 0, f"The word{i % 7} only{i}  ") for i in range(60)]
+    frame = spark.createDataFrame(rows, "held_out boolean, text string").repartition(3)
+    want = collections.Counter({w: 0 for _, t in rows for w in t.lower().split()})
+    want.update(w for out, t in rows for w in t.lower().split() if not out)
+    for n_parts in (1, 11):
+        got = language_model.coded(language_model.word_counts(frame, n_parts), PATH).collect()
+        assert [[*np.frombuffer(r.ids, "<u2")] for r in got] == [language_model.subwords(PATH).encode_ordinary(" " + r.word) for r in got]
+        assert len(got) == len(want) and {r.word: r.n for r in got} == dict(want)
+
+
+def test_each_stage_has_one_python_worker_for_a_task(spark):
+    """No Python step hands its rows to another in one stage: each would have a worker of its own, and all stay in memory."""
+    rows = spark.createDataFrame([(False, "a b")], "held_out boolean, text string")
+    plan = language_model.coded(language_model.word_counts(rows), PATH)._jdf.queryExecution().executedPlan().toString()
+    steps = [line for line in plan.split("Initial Plan")[0].splitlines() if "InArrow" in line or "Exchange" in line]
+    assert ["Exchange" in line for line in steps] == [False, True, False], plan
